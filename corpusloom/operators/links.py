@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.commonmark import markdown_links
 from ..functions.paths import resolve_markdown_target, resolve_wikilink_target
 from ..functions.text import nfc, trim_space
+from ..session import materialise
 from .skew import lookup_join
 
 WIKILINK = r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"
@@ -79,7 +80,12 @@ def extract_links(docs: DataFrame) -> DataFrame:
 
 
 def resolve_links(links: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links with a `known` flag: does dst name a document? Popular targets are split."""
+    """Links with a `known` flag: does dst name a document? Popular targets are split.
+
+    The links are checkpointed first: bodies are scanned once, and finding popular targets,
+    the join and its consumers all read the small link rows.
+    """
+    links = materialise(links)
     known = docs.select(F.col("id").alias("dst"), F.lit(True).alias("known"))
     joined = lookup_join(links, known, "dst", "left", salt_by=F.struct("src", "seq"))
     return joined.withColumn("known", F.coalesce("known", F.lit(False)))

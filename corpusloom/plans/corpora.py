@@ -95,7 +95,23 @@ def doc_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bench_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall queries: the first three words of every benchmark item."""
+    """Recall queries: the text of every benchmark item."""
     return table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.substring_index("text", " ", 3).alias("query")
+        F.col("item_id").alias("query_id"), F.col("text").alias("query")
+    )
+
+
+def two_vaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as the project vault, benchmark items as personal pages sharing their ids."""
+    number = F.substring_index("id", "/", -1).cast("bigint")
+    project = docs_headed(spark, sf_dir).withColumn("vault", F.lit("project"))
+    items = table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("docs/"), _text("item_id")).alias("id"),
+        F.concat(F.lit("docs/"), _text("item_id"), F.lit(".md")).alias("path"),
+        F.lit("note").alias("type"), F.lit("Item").alias("title"), F.lit("bench").alias("category"),
+        F.lit("bench note").alias("tags"), F.col("text").alias("body"),
+        F.lit("personal").alias("vault"),
+    )
+    return project.unionByName(items).withColumn(
+        "type", F.when(number % 4 == 0, "skill").when(number % 4 == 1, "case").otherwise(F.col("type"))
     )

@@ -67,19 +67,20 @@ def compact(column: str) -> str:
     return rf"regexp_replace(lower({column}), '[\p{{P}}\p{{S}}\s]+', '', 'g')"
 
 
-def term_rows(source: str, key: str, text: str) -> str:
-    """CTEs ending in terms(key, pos, term): distinct terms in generation order, 30 at most."""
-    return rf"""nq as (select {key} as k, {norm(text)} as n from {source}),
-raw_terms as (
+def term_rows(source: str, key: str, text: str, prefix: str = "") -> str:
+    """CTEs ending in {prefix}terms(k, pos, term): distinct terms in generation order, 30 at most."""
+    p = prefix
+    return rf"""{p}nq as (select {key} as k, {norm(text)} as n from {source}),
+{p}raw_terms as (
   select k, list_concat(
     case when n <> '' then [n] else [] end,
     case when replace(n, ' ', '') <> '' and replace(n, ' ', '') <> n then [replace(n, ' ', '')] else [] end,
     list_filter(string_split(n, ' '), lambda w: length(w) >= 2),
-    regexp_extract_all(n, '[a-z0-9]{{2,}}')) as ts from nq),
-pos_terms as (select k, unnest(ts) as term, generate_subscripts(ts, 1) as p from raw_terms),
-first_terms as (select k, term, min(p) as p from pos_terms group by k, term),
-terms as (select k, term, pos from (
-  select k, term, row_number() over (partition by k order by p) - 1 as pos from first_terms) where pos < 30)"""
+    regexp_extract_all(n, '[a-z0-9]{{2,}}')) as ts from {p}nq),
+{p}pos_terms as (select k, unnest(ts) as term, generate_subscripts(ts, 1) as p from {p}raw_terms),
+{p}first_terms as (select k, term, min(p) as p from {p}pos_terms group by k, term),
+{p}terms as (select k, term, pos from (
+  select k, term, row_number() over (partition by k order by p) - 1 as pos from {p}first_terms) where pos < 30)"""
 
 
 def slug(column: str) -> str:
@@ -132,8 +133,8 @@ union all select concat(d1, '/', d2), 2, name, concat('- [', {_ESC.format("coale
   case when description is not null then concat(' — ', description) else '' end) from pg"""
 
 ORACLES["identity_collisions"] = f"""with {DOCS},
-paths as (select path from docs union all select replace(path, 'docs/', 'Docs/') from docs where doc_id % 7 = 0
-  union all select replace(path, 'docs/', 'DOCS/') from docs where doc_id % 11 = 0),
+paths as (select path from docs union all select concat('Docs/', cast(doc_id as varchar), '.md') from labels
+  union all select concat('DOCS/', cast(vec_id as varchar), '.md') from embeddings),
 firsts as (select lower(path) as k, min(path) as f from paths group by 1)
 select 'error' as severity, 'concept_identity_collision' as code, p.path, concat('Identity collision between ', f, ' and ', p.path) as message
 from paths p join firsts on lower(p.path) = k where p.path <> f"""
@@ -185,3 +186,118 @@ ORACLES["slugs"] = f"""with {DOCS},
 src as (select id, body as text from docs union all select concat('title/', id), title from docs
   union all select concat('part/', cast(p_partkey as varchar)), p_name from part)
 select id, {slug('text')} as slug from src"""
+
+BENCH = "bq as (select item_id as query_id, text as query from benchmark)"
+
+
+def recall_ctes(cosine: bool = False, layered: bool = False) -> str:
+    """CTEs ending in scored(k, vault, id, lex, cos, rank1) and detail(k, vault, id, score, rank, ...).
+
+    Page keys are vault|id, so that two vaults may hold the same id.
+    """
+    keyed = HEADED.replace("headed as (", "plain as (") + (
+        f"""), headed as (
+  select concat('project|', id) as id, 'project' as vault, {KINDS.format('type')} as type, title, category, tags, body from plain
+  union all select concat('personal|docs/', cast(item_id as varchar)), 'personal', {KINDS.format("'note'").replace('doc_id', 'item_id')},
+    'Item', 'bench', 'bench note', text from benchmark)"""
+        if layered
+        else "), headed as (select concat('main|', id) as id, 'main' as vault, type, title, category, tags, body from plain)"
+    ).replace("), headed", ", headed", 1)
+    chunks = CHUNKS.replace(HEADED, keyed)
+    own = "split_part(id, '|', 2)"
+    vec = (
+        """vecs as (select e.vec_id, concat('main|docs/', cast(e.vec_id as varchar)) as id, embedding::double[] as v from embeddings e),
+cosines as (select q.vec_id as k, p.id, list_cosine_similarity(q.v, p.v) as cos from vecs q, vecs p where q.vec_id in (select query_id from bq)),"""
+        if cosine
+        else "cosines as (select 0 as k, '' as id, 0.0::double as cos where false),"
+    )
+    expand = term_rows("expansion", "(k, vault)", "joined", "e")
+    named = f"coalesce(nullif(trim(title), ''), split_part({own}, '/', 2))"
+    return rf"""{chunks}, {BENCH}, {term_rows('bq', 'query_id', 'query')},
+tc as (select k, replace(term, ' ', '') as t from terms),
+{vec}
+fields as (
+  select id, 3.0::double as w, {compact(own)} as text_c from headed
+  union all select id, case when trim(title) <> '' then 10.0 else 5.0 end, {compact(named)} from headed
+  union all select id, 4.0, {compact('category')} from headed
+  union all select id, 4.0, {compact('tags')} from headed
+  union all select id, 1.0, {compact('type')} from headed),
+field_score as (select k, id, sum(w) as s from fields join tc on contains(text_c, t) group by k, id),
+chunk_c as (select id, chunk_no, {compact('heading')} as h, {compact('content')} as c from chunks),
+chunk_score as (
+  select k, id, chunk_no, sum(case when contains(h, t) then 4.0 else 0 end + case when contains(c, t) then 1.0 else 0 end)::double as s
+  from chunk_c join tc on contains(h, t) or contains(c, t) group by k, id, chunk_no),
+best as (select k, id, s, chunk_no from (select *, row_number() over (partition by k, id order by s desc, chunk_no) as rn from chunk_score) where rn = 1),
+lexical as (
+  select k, id, sum(s)::double as lex from (select k, id, s from field_score union all select k, id, s from best) group by k, id),
+scored as (
+  select *, row_number() over (partition by k, vault order by lex desc, id) as rank1 from (
+    select coalesce(l.k, c.k) as k, coalesce(l.id, c.id) as id, split_part(coalesce(l.id, c.id), '|', 1) as vault,
+      coalesce(l.lex, 0.0)::double as lex, coalesce(c.cos, 0.0)::double as cos
+    from lexical l full join (select * from cosines where id in (select id from headed)) c on c.k = l.k and c.id = l.id)
+  where lex > 0 or cos >= 0.2),
+words as (
+  select s.k, s.vault, unnest(string_split({norm(f"concat_ws(' ', {named}, tags, body)")}, ' ')) as word
+  from scored s join (select * exclude (vault) from headed) using (id) where rank1 <= 3),
+fresh as (
+  select w.k, vault, word, count(*) as n from words w join nq on nq.k = w.k
+  where length(word) >= 4 and not contains(nq.n, word) and word not in ({STOP}) group by w.k, vault, word),
+expansion as (
+  select k, vault, string_agg(word, ' ' order by pos) as joined from (
+    select *, row_number() over (partition by k, vault order by n desc, word) as pos from fresh) where pos <= 6 group by k, vault),
+{expand},
+etc as (select k, replace(term, ' ', '') as t from eterms),
+boost as (
+  select k, id, max(v) as b from (
+    select s.k, s.id, chunk_no, sum(case when contains(h, t) then 2.0 else 0 end + case when contains(c, t) then 0.5 else 0 end)::double as v
+    from scored s join chunk_c using (id) join etc on etc.k = (s.k, s.vault) where rank1 <= 25 group by s.k, s.id, chunk_no)
+  group by k, id),
+boosted as (
+  select s.k, s.vault, s.id, s.lex + 6.0 * greatest(s.cos, 0) + coalesce(b.b, 0) * 0.4::double as score
+  from scored s left join boost b on b.k = s.k and b.id = s.id),
+final as (select *, row_number() over (partition by k, vault order by score desc, id) as rank from boosted),
+detail as (
+  select f.k, f.vault, split_part(f.id, '|', 2) as id, f.score, f.rank, p.type, {named.replace(own, "split_part(f.id, '|', 2)")} as title,
+    case when ch.content <> '' then concat(case when ch.heading <> '' then concat('#', ch.heading, ' — ') else '' end, replace(substring(ch.content, 1, 180), chr(10), ' '))
+      else replace(substring(trim(p.body, e' \t\n\r'), 1, 200), chr(10), ' ') end as preview, p.body
+  from final f join headed p on p.id = f.id
+  left join best b on b.k = f.k and b.id = f.id left join chunks ch on ch.id = b.id and ch.chunk_no = b.chunk_no)"""
+
+
+# Words that never expand a query.
+STOP = "'" + (
+    "the this that with from have been were they their them will would could should about "
+    "there which what when where than then also just more some such only other into over "
+    "very after before because between through during without within along these those "
+    "page section note info type used using"
+).replace(" ", "', '") + "'"
+KINDS = "case doc_id % 4 when 0 then 'skill' when 1 then 'case' else {} end"
+
+
+ORACLES["recall_lexical"] = f"""with {recall_ctes()}
+select s.k as query_id, rank1 as rank, split_part(s.id, '|', 2) as id, round(lex, 6) as score, coalesce(chunk_no, -1) as chunk_no
+from scored s left join best b on b.k = s.k and b.id = s.id where rank1 <= 25"""
+ORACLES["recall_feedback"] = f"""with {recall_ctes()}
+select k as query_id, rank, id, title, type, preview, round(score, 6) as score from detail where rank <= 5"""
+ORACLES["recall_hybrid"] = f"""with {recall_ctes(cosine=True)}
+select k as query_id, rank, id, type, round(score, 6) as score from detail where rank <= 8 and score >= 5"""
+ORACLES["semantic_topk"] = """with vecs as (select vec_id, embedding::double[] as v from embeddings),
+pairs as (select q.vec_id as query_id, concat('docs/', cast(p.vec_id as varchar)) as id, list_cosine_similarity(q.v, p.v) as cosine from vecs q, vecs p)
+select query_id, id, round(cosine, 6) as cosine from (
+  select *, row_number() over (partition by query_id order by cosine desc, id) as rn from pairs where cosine >= 0.2) where rn <= 5"""
+
+_LAYERED = """layered as (
+  select *, row_number() over (partition by k order by layer, rank) as pos from (
+    select *, row_number() over (partition by k, id order by layer, rank) as rn from (
+      select *, case when vault = 'personal' then 0 else 1 end as layer from detail where rank <= {n}))
+  where rn = 1)"""
+ORACLES["recall_layered"] = f"""with {recall_ctes(layered=True)}, {_LAYERED.format(n=5)}
+select k as query_id, vault, pos as rank, id, title, type, round(score, 6) as score from layered where pos <= 5"""
+ORACLES["recall_skill"] = f"""with {recall_ctes(layered=True)}, {_LAYERED.format(n=20)}
+select k as query_id, rank2 as rank, id, type, vault, round(score, 6) as score from (
+  select *, row_number() over (partition by k order by pos) as rank2 from layered where pos <= 20 and type in ('skill', 'case')) where rank2 <= 5"""
+ORACLES["recall_render"] = f"""with {recall_ctes()}
+select k as query_id, concat('## Relevant Wiki Knowledge', chr(10), chr(10), '_', cast(count(*) as varchar), ' page(s) matched your query._', chr(10), chr(10),
+  string_agg(concat('- **[[', id, ']]** — *', type, '* — ', title, case when preview = '' then '' else concat(chr(10), '  ', substring(preview, 1, 120), case when length(preview) > 120 then '…' else '' end) end, chr(10)), chr(10) order by rank),
+  chr(10), 'Use `read` to view full pages. Add new findings via wiki_ensure_page or wiki_retro.', chr(10)) as text
+from detail where rank <= 5 group by k"""

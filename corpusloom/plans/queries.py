@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import normalize_text, query_terms, slugify
 from ..operators import lint, links, registry
+from ..operators import recall as rc
 from ..operators.chunks import chunk_pages
 from . import corpora
 
@@ -83,11 +84,11 @@ def directory_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def identity_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpora.docs_corpus(spark, sf_dir)
-    number = F.substring_index("id", "/", -1).cast("bigint")
-    paths = docs.select("path").unionByName(
-        docs.where(number % 7 == 0).select(F.replace("path", F.lit("docs/"), F.lit("Docs/")).alias("path"))
-    ).unionByName(
-        docs.where(number % 11 == 0).select(F.replace("path", F.lit("docs/"), F.lit("DOCS/")).alias("path"))
+    variant = lambda folder, name, key: corpora.table(spark, sf_dir, name).select(
+        F.concat(F.lit(folder), F.col(key).cast("string"), F.lit(".md")).alias("path")
+    )
+    paths = docs.select("path").unionByName(variant("Docs/", "labels", "doc_id")).unionByName(
+        variant("DOCS/", "embeddings", "vec_id")
     )
     return registry.identity_collisions(paths)
 
@@ -209,3 +210,80 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .unionByName(names)
         .select("id", slugify(F.col("text")).alias("slug"))
     )
+
+
+@query
+def recall_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best pages per benchmark query by terms alone, before feedback."""
+    index = rc.search_index(corpora.docs_headed(spark, sf_dir))
+    queries = rc.prepare_queries(corpora.bench_queries(spark, sf_dir))
+    ranked = rc.rank_lexical(rc.score_pages(index, queries), 25)
+    return ranked.select(
+        "query_id", F.col("rank").cast("bigint").alias("rank"), "id",
+        F.round("lexical", 6).alias("score"), F.col("chunk_no").cast("bigint").alias("chunk_no"),
+    )
+
+
+def _rounded(results):
+    return results.withColumn("score", F.round("score", 6)).drop("vault")
+
+
+@query
+def recall_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full ranking with relevance feedback and previews."""
+    results = rc.recall(corpora.docs_headed(spark, sf_dir), corpora.bench_queries(spark, sf_dir))
+    return _rounded(results)
+
+
+def _query_vectors(spark, sf_dir):
+    return corpora.table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("vector")
+    )
+
+
+@query
+def recall_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = rc.recall(
+        corpora.docs_headed(spark, sf_dir), corpora.bench_queries(spark, sf_dir), max_results=8,
+        min_score=5.0, vectors=corpora.doc_vectors(spark, sf_dir),
+        query_vectors=_query_vectors(spark, sf_dir),
+    )
+    return _rounded(results).drop("preview", "title")
+
+
+@query
+def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest pages of every vector."""
+    found = rc.semantic_topk(corpora.doc_vectors(spark, sf_dir), _query_vectors(spark, sf_dir), 5)
+    return found.withColumn("cosine", F.round("cosine", 6)).drop("rank")
+
+
+@query
+def recall_layered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = rc.recall(corpora.two_vaults(spark, sf_dir), corpora.bench_queries(spark, sf_dir))
+    merged = rc.recall_layered(results)
+    return merged.withColumn("score", F.round("score", 6)).drop("preview")
+
+
+@query
+def recall_skill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skill and case pages: over-fetch by four, merge the vaults, then filter by type."""
+    results = rc.recall(corpora.two_vaults(spark, sf_dir), corpora.bench_queries(spark, sf_dir), 20)
+    kept = rc.only_kinds(rc.recall_layered(results, 20), ["skill", "case"])
+    return kept.select("query_id", "rank", "id", "type", "vault", F.round("score", 6).alias("score"))
+
+
+@query
+def recall_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpora.docs_headed(spark, sf_dir)
+    results = rc.recall(docs, corpora.bench_queries(spark, sf_dir))
+    return rc.render_context(results.withColumn("path", F.concat(F.lit("wiki/"), "id", F.lit(".md"))))
+
+
+@query
+def recall_render_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links-first rendering of merged vaults, with skill and case bodies inlined."""
+    pages = corpora.two_vaults(spark, sf_dir)
+    results = rc.recall_layered(rc.recall(pages, corpora.bench_queries(spark, sf_dir), 3), 3)
+    results = results.withColumn("path", F.concat("vault", F.lit("/"), "id", F.lit(".md")))
+    return rc.render_context(results, pages, links_first=True, skill_inline_max=200)
