@@ -166,15 +166,29 @@ def _slug(titles: pd.Series) -> pd.Series:
     return titles.map(slug_of, na_action="ignore")
 
 
-def slugify(title: Column) -> Column:
-    """Kebab-case page slug that keeps Unicode letters and digits."""
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _slug_array(titles: pd.Series) -> pd.Series:
+    return titles.map(lambda ts: [slug_of(t) for t in ts], na_action="ignore")
+
+
+def _plain_slug(title: Column) -> Column:
     kept = F.regexp_replace(F.lower(title), rf"[^\p{{L}}\p{{N}}{SPACE}-]", "")
     joined = F.btrim(F.regexp_replace(trim_space(kept), rf"[{SPACE}-]+", "-"), F.lit("-"))
     slug = F.btrim(F.substring(joined, 1, SLUG_UNITS), F.lit("-"))
-    slug = F.regexp_replace(slug, rf"^\z", "untitled")
+    slug = F.regexp_replace(slug, r"^\z", "untitled")
     slug = F.regexp_replace(slug, rf"^({_DEVICE})\z", "_$1")
-    slug = F.regexp_replace(slug, rf"^({_RESERVED})\z", "$1-page")
-    return F.coalesce(_slug(F.when(title.rlike(_HARD_TITLE), title)), slug)
+    return F.regexp_replace(slug, rf"^({_RESERVED})\z", "$1-page")
+
+
+def slugify(title: Column) -> Column:
+    """Kebab-case page slug that keeps Unicode letters and digits."""
+    return F.coalesce(_slug(F.when(title.rlike(_HARD_TITLE), title)), _plain_slug(title))
+
+
+def slugify_all(titles: Column) -> Column:
+    """Slugs of an array of titles."""
+    hard = F.exists(titles, lambda t: t.rlike(_HARD_TITLE))
+    return F.coalesce(_slug_array(F.when(hard, titles)), F.transform(titles, _plain_slug))
 
 
 def observation_slug(title: Column, day: Column) -> Column:

@@ -301,3 +301,311 @@ select k as query_id, concat('## Relevant Wiki Knowledge', chr(10), chr(10), '_'
   string_agg(concat('- **[[', id, ']]** — *', type, '* — ', title, case when preview = '' then '' else concat(chr(10), '  ', substring(preview, 1, 120), case when length(preview) > 120 then '…' else '' end) end, chr(10)), chr(10) order by rank),
   chr(10), 'Use `read` to view full pages. Add new findings via wiki_ensure_page or wiki_retro.', chr(10)) as text
 from detail where rank <= 5 group by k"""
+
+FILES = """files as (select concat('notes/', cast(doc_id as varchar)) as id, doc_id, doc_id % 10 as n, lang, source,
+  regexp_replace(text, '\r\n?', chr(10), 'g') as text from documents)"""
+_GOOD = """concat('{"producer":{"weights":[1,2.5,true],"when":"2026-08-02"}}')"""
+ORACLES["frontmatter_parse"] = f"""with {FILES}
+select id, case when n = 5 then 'note' else lang end as type, case when n <> 5 then concat('Doc ', cast(doc_id as varchar)) end as title,
+  case when n <> 5 then concat(source, ' yes') end as tags, case when n = 5 then '2024-05-01' end as created,
+  case when n = 5 then '{{}}' else {_GOOD} end as extensions, case when n = 5 then 'legacy-list' else 'canonical' end as sources_kind,
+  case when n = 5 then '["raw one"]' else concat('[{{"id":"S', cast(doc_id as varchar), '"}}]') end as sources,
+  case when n = 5 then 'created,sources' else '' end as legacy_fields,
+  regexp_replace(text, '^\n', '') as body from files where n in (5, 8, 9)"""
+_CODE = """case n when 0 then 'frontmatter_missing' when 1 then 'frontmatter_parse_error' when 2 then 'concept_missing_type'
+  when 3 then 'frontmatter_duplicate_key' when 4 then 'frontmatter_alias_forbidden' when 6 then 'frontmatter_custom_tag_forbidden'
+  when 7 then 'frontmatter_multiple_documents' end"""
+ORACLES["frontmatter_diagnostics"] = f"""with {FILES}
+select 'error' as severity, {_CODE} as code, concat(id, '.md') as path from files where n not in (5, 8, 9)"""
+ORACLES["diagnostics_by_path"] = f"with {FILES} select {_CODE} as code, count(*) as pages from files where n not in (5, 8, 9) group by 1"
+ORACLES["serialise_documents"] = f"""with {FILES}
+select concat(id, '.md') as path, concat(case when n = 5 then concat('---', chr(10), 'type: note', chr(10), 'sources:', chr(10), '  - raw one', chr(10),
+    'created: 2024-05-01', chr(10), '---', chr(10))
+  else concat('---', chr(10), 'type: ', lang, chr(10), 'title: Doc ', cast(doc_id as varchar), chr(10), 'tags:', chr(10), '  - ', source, chr(10), '  - yes', chr(10),
+    'sources:', chr(10), '  - id: S', cast(doc_id as varchar), chr(10), 'producer:', chr(10), '  weights:', chr(10), '    - 1', chr(10), '    - 2.5', chr(10),
+    '    - true', chr(10), '  when: 2026-08-02', chr(10), '---', chr(10)) end,
+  case when rtrim(text, chr(10)) <> '' then concat(chr(10), rtrim(regexp_replace(text, '^\n', ''), chr(10)), chr(10)) else '' end) as content
+from files where n in (5, 8, 9)"""
+ORACLES["serialise_documents"] = ORACLES["serialise_documents"].replace(
+    """'sources:', chr(10), '  - raw one', chr(10),
+    'created: 2024-05-01', chr(10), '---', chr(10))""",
+    """'created: 2024-05-01', chr(10), 'sources:', chr(10), '  - raw one', chr(10), '---', chr(10))""",
+)
+ORACLES["patch_documents"] = f"""with {FILES}
+select id, case when n = 5 then '{{"created":"2024-05-01","status":"ingested","title":"NOTE","type":"note"}}'
+  else concat('{{"status":"ingested","tags":["', source, '","yes"],"title":"', upper(lang), '","type":"', lang, '"}}') end as frontmatter,
+  case when n = 5 then '{{}}' else {_GOOD} end as extensions
+from files where n in (5, 8, 9)"""
+
+EVENTS = """ev as (
+  select event_id as seq, ts, trim(event_type) as kind, user_id, replace(props, ' ', '') as props,
+    case when event_id % 97 = 0 then 'event_invalid_json' when event_id % 101 = 0 then 'event_invalid_timestamp'
+      when event_id % 103 = 0 then 'event_missing_kind' end as code from events)"""
+ORACLES["event_day_log"] = f"""with {EVENTS}
+select strftime(ts, '%Y-%m-%d') as event_date, row_number() over (partition by cast(ts as date) order by epoch_us(ts) // 1000 desc, seq desc) as position,
+  concat('- **', replace(kind, '_', '\\_'), '**: {{"props":', props, ',"user_id":', cast(user_id as varchar), '}}') as line
+from ev where code is null""".replace("'\\\\_'", "'\\_'")
+ORACLES["event_diagnostics"] = f"""with {EVENTS}
+select 'warning' as severity, code, 'meta/events.jsonl' as path, concat(case code when 'event_invalid_json' then 'Invalid JSON at line '
+  when 'event_invalid_timestamp' then 'Invalid timestamp at line ' else 'Missing kind at line ' end, cast(seq + 1 as varchar)) as message
+from ev where code is not null"""
+ORACLES["event_activity_log"] = f"""with {EVENTS}
+select seq, concat('## [', case when seq % 101 = 0 then 'bad' else strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') end, '] ', case when seq % 103 = 0 then ' ' else kind end) as heading,
+  concat('- user_id: ', cast(user_id as varchar), ', props: ', props) as details from ev where seq % 97 <> 0"""
+ORACLES["event_digest_daily"] = f"with {EVENTS} select strftime(ts, '%Y-%m-%d') as period_start, kind, count(*) as events from ev where code is null group by 1, 2"
+ORACLES["event_digest_weekly"] = f"with {EVENTS} select strftime(date_trunc('week', ts), '%Y-%m-%d') as period_start, kind, count(*) as events from ev where code is null group by 1, 2"
+ORACLES["event_requests"] = """select event_id, case when event_id % 9 = 0 then '  ' else event_type end as kind,
+  case when event_id % 8 = 0 then replace(props, '"k"', '"timestamp"') else props end as details,
+  case when event_id % 9 = 0 then 'event_missing_kind' when event_id % 8 = 0 then 'event_reserved_field' end as error from events"""
+ORACLES["reminder_state"] = """with a as (
+  select cast(user_id as varchar) as session_id, event_id as seq, ts,
+    case when event_type = 'error' and event_id % 40 = 0 then 'session_start' when event_type = 'error' and event_id % 7 = 0 then 'compact'
+      when event_type = 'error' then 'retry' when event_type = 'purchase' and event_id % 5 = 0 then 'observe' else 'turn' end as action from events),
+g as (select *, sum(case when action in ('session_start', 'compact') then 1 else 0 end) over w as rg,
+    sum(case when action = 'session_start' then 1 else 0 end) over w as sg from a
+  window w as (partition by session_id order by ts, seq rows unbounded preceding)),
+c as (select *, sum(case when action = 'turn' then 1 else 0 end) over (partition by session_id, rg order by ts, seq rows unbounded preceding) as counter,
+    max(case when action = 'observe' then 1 else 0 end) over (partition by session_id, sg order by ts, seq rows unbounded preceding) = 1 as observed from g)
+select session_id, seq, cast(counter as bigint) as counter, observed, action = 'turn' and counter >= 5 and not observed as emit from c"""
+
+EMBED = DOCS + r""",
+emb_text as (
+  select id, doc_id, concat('title: ', coalesce(nullif(trim(title), ''), id), chr(10), 'type: ', type, chr(10), 'tags: ', tags, chr(10), 'category: ', category,
+    case when trim(body, e' \t\n\r') <> '' then concat(chr(10), chr(10), substring(trim(body, e' \t\n\r'), 1, 8000)) else '' end) as text from docs),
+hashed as (select id, doc_id, text, sha256(text) as hash from emb_text),
+store as (
+  select case when doc_id % 10 = 9 then concat('old/', id) else id end as id, case when doc_id % 10 = 1 then '0' else hash end as hash,
+    case when doc_id % 10 = 2 then 'other' else 'mock' end as model,
+    e.embedding[1]::double as first, coalesce(len(e.embedding), 0) as dim
+  from hashed left join embeddings e on e.vec_id = doc_id),
+stale as (select h.* from hashed h left join store s on s.id = h.id where s.id is null or s.hash <> h.hash or s.model <> 'mock')"""
+ORACLES["embedding_text_hash"] = f"with {EMBED} select id, hash from hashed"
+ORACLES["embedding_stale"] = f"with {EMBED} select id, hash from stale"
+ORACLES["embedding_prune"] = f"with {EMBED} select id from store where id not in (select id from docs)"
+ORACLES["embedding_stats"] = f"""with {EMBED}
+select (select count(*) from stale) as embedded, (select count(*) from docs) - (select count(*) from stale) as skipped,
+  (select count(*) from docs) as total, (select count(*) from store where id not in (select id from docs)) as pruned"""
+ORACLES["embed_batches"] = f"with {EMBED} select count(*) as texts, cast(sum(length(text)) as bigint) as chars, 0 as over_count, 0 as over_chars from emb_text"
+_COUNT = "(length(text) - length(replace(text, '{0}', '')))::double"
+_NORM = "sqrt(" + " + ".join(f"{_COUNT.format(c)} * {_COUNT.format(c)}" for c in "aent") + ")"
+ORACLES["embedding_refresh"] = f"""with {EMBED}
+select id, hash, 'mock' as model, 4 as dim, '2024-02-01' as updated, round({_COUNT.format('a')} / {_NORM}, 6) as first from stale
+union all
+select id, hash, model, dim, '2024-01-01', coalesce(round(first, 6), -9.0) from store
+where id in (select id from docs) and id not in (select id from stale)"""
+
+_SP = r"[\t\n\v\f\r \x{00A0}]"
+_STRIP = "html"
+for _tag in ("head", "script", "style", "nav", "header", "footer", "noscript"):
+    _STRIP = rf"regexp_replace({_STRIP}, '(?is)<{_tag}.*?</{_tag}>', '', 'g')"
+ORACLES["html_noise_strip"] = rf"""select concat('pages/', cast(page_id as varchar)) as id,
+  trim(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)) as title, {_STRIP} as stripped from pages"""
+
+_XML = r"regexp_replace(html, '(?i)<!DOCTYPE[^>]*>\s*', '', 'g')"
+_XML = rf"regexp_replace({_XML}, '(?i)</(p|div|section|article|li|h\d|tr|blockquote|pre)>', chr(10), 'g')"
+_XML = rf"regexp_replace({_XML}, '(?i)<br\s*/?>', chr(10), 'g')"
+for _ in range(3):
+    _XML = rf"regexp_replace({_XML}, '<[a-zA-Z/!?][^>]*>', '', 'g')"
+_XML = f"replace({_XML}, '<', '')"
+for _name, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("amp", "&")):
+    _XML = f"regexp_replace({_XML}, '(?i)&{_name};', '{_char}', 'g')"
+_XML = rf"trim(regexp_replace({_XML}, '\n{{3,}}', concat(chr(10), chr(10)), 'g'), e' \t\n\r')"
+ORACLES["xml_to_markdown"] = rf"""select id, case when t = '' then html when title <> '' then concat('# ', title, chr(10), chr(10), chr(10), t) else t end as markdown
+from (select concat('pages/', cast(page_id as varchar)) as id, html, trim(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)) as title, {_XML} as t from pages)"""
+ORACLES["json_to_markdown"] = r"""select event_id, concat('# ', event_type, chr(10), chr(10), '- **Name:** ', event_type, chr(10), '- **User id:** ', cast(user_id as varchar), chr(10),
+  '## Props', chr(10), chr(10), '- **K:** ', regexp_extract(props, '(\d+)', 1), chr(10), chr(10),
+  '## Tag List', chr(10), chr(10), '- a', chr(10), '- 2', chr(10), '- null', chr(10), chr(10),
+  '## Items', chr(10), chr(10), '### i', chr(10), chr(10), '  - **Id:** i') as markdown from events"""
+ORACLES["binary_sniff"] = """select concat('pages/', cast(page_id as varchar)) as id,
+  (['zip','pdf','7z','gzip','png','jpeg','gif','bmp','tiff','tiff','riff','exe','macho','macho','macho','macho','class','elf','wasm','sqlite','mp3',null])[(page_id % 22) + 1] as format
+from pages"""
+ORACLES["extractor_route"] = r"""with r as (
+  select concat('pages/', cast(page_id as varchar)) as id, page_id % 9 as n,
+    concat(regexp_extract(url, '^[^?#]*'), (['.pdf','.MD','.txt','.htm','.Xml','.json','.docx','.csv',''])[(page_id % 9) + 1]) as name from pages)
+select id, name, (['pdf','markdown','text','html','xml','json','docx','file','file'])[n + 1] as format,
+  (['markitdown','passthrough','passthrough','passthrough','xmlToMarkdown','jsonToMarkdown','markitdown','passthrough','passthrough'])[n + 1] as extractor,
+  (['application/pdf','text/markdown','text/plain','text/html','application/xml','application/json',
+    'application/vnd.openxmlformats-officedocument.wordprocessingml.document',null,null])[n + 1] as content_type,
+  case when name like '%/.%' then 'source.html' else (['source.pdf','source.md','source.txt','source.htm','source.xml','source.json','source.html','source.html','source.html'])[n + 1] end as original from r"""
+
+CAPTURE = r"""raw as (
+  select concat('url-', lpad(cast(page_id as varchar), 12, '0')) as capture_order, 'url' as kind, url as name, url as url, page_id as n, html as payload, null as title from pages
+  union all select concat('text-', lpad(cast(doc_id as varchar), 12, '0')), 'text', null, null, doc_id, text, case when lang = 'en' then concat('Doc ', cast(doc_id as varchar)) end from documents
+  union all select concat('file-', lpad(cast(event_id as varchar), 12, '0')), 'file',
+    concat('/data/e', cast(event_id as varchar), (['.json','.bin','.docx','.TXT'])[(event_id % 4) + 1]), null, event_id % 4, props, null from events),
+numbered as (select *, row_number() over (order by capture_order) + (select max(doc_id) from labels) as num from raw),
+packets as (
+  select *, concat('SRC-2024-06-01-', case when num < 1000 then lpad(cast(num as varchar), 3, '0') else cast(num as varchar) end) as id from numbered)"""
+ORACLES["capture_packets"] = f"""with {CAPTURE}
+select capture_order, id,
+  case kind when 'text' then coalesce(title, 'Pasted text — 2024-06-01') when 'file' then split_part(name, '/', 3)
+    else coalesce(nullif(regexp_replace(replace(trim(regexp_extract(payload, '(?i)<title[^>]*>([^<]*)</title>', 1)), '&amp;', '&'), '([\\\\`*_~\\[\\]])', '\\\\\\1', 'g'), ''), url) end as title,
+  case kind when 'url' then 'web' when 'text' then 'text' else (['json','file','docx','text'])[n + 1] end as format,
+  case kind when 'url' then 'htmlToMarkdown' when 'text' then 'passthrough' else (['jsonToMarkdown','magicBytes','markitdown','passthrough'])[n + 1] end as extractor,
+  case when kind = 'file' then (['success','unsupported','failed','success'])[n + 1] else 'success' end as extraction_status,
+  case when kind = 'file' then (['application/json',null,'application/vnd.openxmlformats-officedocument.wordprocessingml.document','text/plain'])[n + 1] end as content_type,
+  concat('{{"source_id":"', id, '"', case when kind = 'url' then concat(',"url":"', url, '"') else '' end, ',"format":"',
+    case kind when 'url' then 'web' when 'text' then 'text' else (['json','file','docx','text'])[n + 1] end, '"}}') as event
+from packets"""
+ORACLES["packet_pages"] = rf"""with {CAPTURE},
+ex as (select *, case when kind = 'text' then payload else case n
+    when 0 then concat('# JSON Extract', chr(10), chr(10), '- **K:** ', regexp_extract(payload, '(\d+)', 1))
+    when 1 then concat('_Binary file could not be converted to markdown (detected format: zip).', chr(10), 'Capture a text-based version or a URL pointing to readable content instead._', chr(10))
+    when 2 then concat('_DOCX content could not be converted to markdown from ', name, '. Ensure uvx and markitdown are installed._', chr(10))
+    else payload end end as extracted,
+  case kind when 'text' then coalesce(title, 'Pasted text — 2024-06-01') else split_part(name, '/', 3) end as ptitle from packets where kind <> 'url')
+select concat('sources/', id) as page_id,
+  concat('# ', ptitle, chr(10), chr(10), '## Summary', chr(10), chr(10), '[LLM: Replace with 2-3 paragraph summary of key content]', chr(10), chr(10),
+    '> _Auto-preview: ', substring(trim(regexp_replace(regexp_replace(extracted, '[#*_`]', '', 'g'), '\s+', ' ', 'g')), 1, 500), case when length(extracted) > 500 then '...' else '' end, '_', chr(10), chr(10),
+    '## Key Takeaways', chr(10), chr(10), '- [LLM: Most important point]', chr(10), '- [LLM: Second important point]', chr(10), '- [LLM: Third important point]', chr(10), chr(10),
+    '## Entities Mentioned', chr(10), chr(10), '- [LLM: Add linked entities after review]', chr(10), chr(10), '## Concepts Mentioned', chr(10), chr(10), '- [LLM: Add linked concepts after review]', chr(10), chr(10),
+    '## Notable Quotes', chr(10), chr(10), '> [LLM: Important quote] — attribution', chr(10), chr(10), '## Source Packet', chr(10), chr(10),
+    '- **ID:** `sources/', id, '`', chr(10), '- **Extracted:** `raw/sources/', id, '/extracted.md`', chr(10), '- **Manifest:** `raw/sources/', id, '/manifest.json`', chr(10)) as page_body,
+  concat('{{"id":"', id, '","captured":"2024-06-01","packet_version":"1.0","title":"', ptitle, '"', case when kind = 'file' then concat(',"file_path":"', name, '"') else '' end,
+    ',"format":"', case kind when 'text' then 'text' else (['json','file','docx','text'])[n + 1] end, '","extractor":"',
+    case kind when 'text' then 'passthrough' else (['jsonToMarkdown','magicBytes','markitdown','passthrough'])[n + 1] end, '","extraction_status":"',
+    case when kind = 'file' then (['success','unsupported','failed','success'])[n + 1] else 'success' end, '"',
+    case when kind = 'file' and n <> 1 then concat(',"content_type":"', (['application/json','','application/vnd.openxmlformats-officedocument.wordprocessingml.document','text/plain'])[n + 1], '"') else '' end, '}}') as manifest
+from ex"""
+
+PENDING = """pend as (
+  select concat('SRC-', lpad(cast(d.doc_id as varchar), 9, '0')) as id from documents d left join labels l on l.doc_id = d.doc_id where coalesce(l.quality, 0) <> 1)"""
+ORACLES["pending_ingest"] = f"with {PENDING} select id from pend"
+ORACLES["pending_batch"] = f"with {PENDING} select id, (select greatest(count(*) - 5, 0) from pend) as remaining from pend order by id limit 5"
+
+COMMIT = f"""parts as (select *, concat('SRC-', lpad(cast(p_partkey as varchar), 9, '0')) as source_id, case when p_partkey % 3 = 0 then 'de' else 'en' end as lang from part),
+mentions as (
+  select source_id, lang, 'entity' as kind, 0 as pos, p_brand as title, ' ' as txt from parts
+  union all select source_id, lang, 'entity', 1, p_name, p_type from parts
+  union all select source_id, lang, 'concept', 0, p_type, p_name from parts),
+slugged as (select *, {slug('title')} as slug from mentions),
+ids as (select *, concat(case kind when 'entity' then 'entities/' else 'concepts/' end, slug) as id from slugged),
+ranked as (select *, row_number() over (partition by id order by source_id, pos) as rn,
+  id in (select concat('entities/brand', cast(n_nationkey as varchar)) from nation) as existing from ids),
+outcomes as (select source_id, kind, pos, slug, id, case when rn = 1 and not existing then 'created' else 'linked' end as outcome from ranked)"""
+ORACLES["commit_new_pages"] = f"""with {COMMIT}
+select id, kind as type, title, case when trim(txt) <> '' then trim(txt) when kind = 'concept' then 'One-line definition.' else 'One-line description.' end as description,
+  '2024-07-01' as created, '2024-07-01' as updated, concat('[{{"id":"', source_id, '","resource":"/sources/', source_id, '.md"}}]') as sources,
+  concat('# ', title, chr(10), chr(10), case when trim(txt) <> '' then trim(txt) when kind = 'concept' then 'One-line definition.' else 'One-line description.' end, chr(10), chr(10),
+    '## ', case when kind = 'concept' then 'Definition' when lang = 'de' then 'Übersicht' else 'Overview' end, chr(10), chr(10),
+    case when kind = 'concept' then '[Clear explanation]' else '[Key facts]' end, chr(10), chr(10), '## Links', chr(10), chr(10), '- [', source_id, '](/sources/', source_id, '.md)') as body
+from ranked where rn = 1 and not existing"""
+ORACLES["commit_outcomes"] = f"with {COMMIT} select source_id, kind, pos, slug, id, outcome from outcomes"
+ORACLES["commit_stats"] = f"""with {COMMIT}
+select p.source_id, count(*) filter (where kind = 'entity' and outcome = 'created') as entities_created, count(*) filter (where kind = 'entity' and outcome = 'linked') as entities_linked,
+  count(*) filter (where kind = 'concept' and outcome = 'created') as concepts_created, count(*) filter (where kind = 'concept' and outcome = 'linked') as concepts_linked,
+  case when p.p_partkey % 5 = 0 then 2 else 0 end as contradictions
+from parts p join outcomes o using (source_id) group by p.source_id, p.p_partkey"""
+ORACLES["touched_pages"] = f"with {COMMIT} select id from outcomes union select concat('sources/', source_id) from outcomes"
+ORACLES["commit_sources"] = f"""with {COMMIT},
+own as (select concat('sources/SRC-', lpad(cast(s_suppkey as varchar), 9, '0')) as id, s_name from supplier),
+h as (select p.*, lang = 'de' as de from parts p)
+select concat('sources/', source_id) as id, case when own.id is not null then 'patched' else 'created' end as action, coalesce(s_name, p_name) as title,
+  'ingested' as status, '2024-07-01' as updated, source_id, 'web' as format, '2024-06-01' as captured,
+  concat('# ', p_name, case when p_partkey % 2 = 0 then concat(chr(10), '> _Original: [https://example.com/', cast(p_partkey as varchar), '](https://example.com/', cast(p_partkey as varchar), ')_') else '' end,
+    chr(10), chr(10), '## ', case when de then 'Zusammenfassung' else 'Summary' end, chr(10), chr(10), trim(concat('About ', p_name)),
+    chr(10), chr(10), '## ', case when de then 'Wichtige Erkenntnisse' else 'Key Takeaways' end, chr(10), chr(10), '- ', trim(p_name), chr(10), '- ', trim(p_type),
+    chr(10), chr(10), '## ', case when de then 'Erwähnte Entitäten' else 'Entities Mentioned' end, chr(10), chr(10),
+    '- [', p_brand, '](/entities/', {slug('p_brand')}, '.md)', chr(10), '- [', p_name, '](/entities/', {slug('p_name')}, '.md)',
+    chr(10), chr(10), '## ', case when de then 'Erwähnte Konzepte' else 'Concepts Mentioned' end, chr(10), chr(10), '- [', p_type, '](/concepts/', {slug('p_type')}, '.md)',
+    chr(10), chr(10), '## ', case when de then 'Bemerkenswerte Zitate' else 'Notable Quotes' end, chr(10), chr(10),
+    case when p_partkey % 4 = 0 then concat('> ', trim(p_name), ' — ', p_brand) when de then '> [Keine aufgezeichnet]' else '> [None recorded]' end, chr(10),
+    case when p_partkey % 5 <> 0 then '' when de then concat(chr(10), '## Widersprüche', chr(10), chr(10), '⚠️ **Widerspruch**: x', chr(10), '⚠️ **Widerspruch**: y', chr(10))
+      else concat(chr(10), '## Contradictions', chr(10), chr(10), '⚠️ **Contradiction**: x', chr(10), '⚠️ **Contradiction**: y', chr(10)) end,
+    '## ', case when de then 'Quellenpaket' else 'Source Packet' end, chr(10), chr(10), '- **ID:** `sources/', source_id, '`', chr(10),
+    '- **', case when de then 'Extrahiert' else 'Extracted' end, ':** `raw/sources/', source_id, '/extracted.md`', chr(10), '- **Manifest:** `raw/sources/', source_id, '/manifest.json`', chr(10)) as body
+from h left join own on own.id = concat('sources/', source_id)"""
+
+ENSURE = f"""reqs as (
+  select p_partkey as request_id, (['entity','concept','synthesis','analysis','requirement','skill','case','other'])[(p_partkey % 8) + 1] as type, p_name as title,
+    (['entities','concepts','syntheses','analyses','requirements','skills','cases','concepts'])[(p_partkey % 8) + 1] as folder,
+    case when p_partkey % 16 = 3 then p_brand end as content from part),
+rids as (select *, concat(folder, '/', {slug('title')}) as id from reqs),
+rr as (select *, row_number() over (partition by id order by request_id) as rn, id in (select concat('entities/brand', cast(n_nationkey as varchar)) from nation) as existing from rids)"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _templates() -> str:
+    from ..operators.pages import TEMPLATES
+
+    cases = " ".join(f"when {_quoted(t)} then {_quoted(body)}" for t, body in TEMPLATES.items() if t)
+    return f"case type {cases} else {_quoted(TEMPLATES[''])} end"
+
+
+ORACLES["ensure_pages"] = f"""with {ENSURE}
+select id, type, title, '2024-07-01' as created, '2024-07-01' as updated, coalesce(content, concat('# ', title, chr(10), chr(10), {_templates()})) as body
+from rr where rn = 1 and not existing"""
+ORACLES["ensure_outcomes"] = f"with {ENSURE} select request_id, id, rn = 1 and not existing as created from rr"
+
+ORACLES["observations"] = r"""with o as (
+  select concat('obs-2024-06-01-turn-', cast(turn as varchar), '-of-', role) as slug,
+    concat('2024-06-01T00:00:', lpad(cast(turn as varchar), 6, '0'), '.', lpad(cast(conv_id as varchar), 9, '0')) as observed_at,
+    concat('Observation: Turn ', cast(turn as varchar), ' of ', role) as title, (['low','medium','high','critical'])[(conv_id % 4) + 1] as relevance,
+    (['📝','🔍','⭐','🔴'])[(conv_id % 4) + 1] as icon, text, role, turn from conversations),
+b as (select *, concat('# ', icon, ' ', title, chr(10), chr(10), text, chr(10), chr(10), '*Relevance: ', relevance, '*',
+    case when turn = 0 then concat(chr(10), '*Context: start*') else '' end, case when role = 'user' then concat(chr(10), '*Tags:  a  user*') else '' end,
+    chr(10), chr(10), '---', chr(10), '*Observed: ', observed_at, '*') as body from o),
+r as (select *, row_number() over (partition by slug order by observed_at desc, body desc) as rn, count(*) over (partition by slug) - 1 as replaced from b)
+select concat('sources/', slug) as id, 'source' as type, title, slug, 'observation' as status, '2024-06-01' as created, '2024-06-01' as updated, relevance, observed_at,
+  case when role = 'user' then 'a,user' end as tags, case when turn = 0 then 'start' end as source_context, body, replaced from r where rn = 1"""
+ORACLES["insights"] = r"""select case when doc_id % 6 = 0 then concat('Bad Slug ', cast(doc_id as varchar)) else concat('sources/note-', cast(doc_id as varchar)) end as id,
+  source as title, case when lang = 'en' then 'en' end as category,
+  case when doc_id % 6 = 0 then text else concat('# ', source, chr(10), chr(10), text, chr(10), chr(10), case when lang = 'en' then '*Category: en*' else '' end,
+    chr(10), chr(10), '---', chr(10), '*Captured: 2024-07-01*', chr(10), chr(10), '## Related', chr(10), chr(10), '_Add links to related pages._') end as body,
+  case when doc_id % 6 = 0 then concat('Invalid insight slug: Bad Slug ', cast(doc_id as varchar)) end as error from documents"""
+
+STEPS = r"""steps as (
+  select concat('chat/', cast(conv_id as varchar)) as session_id, turn, case when role = 'assistant' then 'assistant' else 'user' end as role,
+    case when role = 'assistant' then substring(trim(text, e' \t\n\r'), 1, 1200) else substring(text, 1, 1200) end as text,
+    case when role = 'assistant' then concat('m', cast(turn as varchar)) end as model,
+    case when role = 'assistant' then (['read','bash','edit'])[((conv_id + turn) % 3) + 1] end as tool from conversations),
+summary as (
+  select session_id, trim(coalesce(arg_min(text, turn) filter (where role = 'user' and text <> ''), ''), e' \t\n\r') as prompt, arg_min(model, turn) filter (where model is not null) as model,
+    count(*) as step_count, count(tool) as tool_call_count from steps group by session_id),
+trj as (
+  select *, row_number() over (order by session_id) as num from summary),
+manifests as (select *, concat('TRJ-2024-06-01-', case when num < 1000 then lpad(cast(num as varchar), 3, '0') else cast(num as varchar) end) as id from trj)"""
+ORACLES["trajectory_steps"] = f"""with {STEPS}
+select session_id, turn, role, text, model, case when tool is not null then concat('c', cast(turn as varchar), ':', tool, ':{{}}') else '' end as calls from steps"""
+_TITLE = r"case when prompt <> '' then substring(trim(regexp_replace(prompt, '\s+', ' ', 'g')), 1, 60) else concat('Task ', id) end"
+ORACLES["trajectory_manifest"] = f"""with {STEPS}
+select session_id, id, '2024-06-01' as captured, prompt, {_TITLE} as title, 'trajectory' as format, coalesce(model, 'unknown') as model, 'success' as outcome, step_count, tool_call_count
+from manifests"""
+ORACLES["tool_usage"] = f"with {STEPS} select session_id, tool as name, count(*) as calls, min(turn) as first_turn, 0 as first_pos from steps where tool is not null group by session_id, tool"
+ORACLES["tool_sequence"] = f"""with {STEPS}
+select session_id, position, concat(cast(position as varchar), '. `', tool, '`') as line from (
+  select session_id, tool, row_number() over (partition by session_id order by turn) as position from steps where tool is not null)"""
+ORACLES["undistilled"] = f"""with {STEPS}
+select id, {_TITLE} as title from manifests where id not in (select concat('TRJ-2024-06-01-', lpad(cast((doc_id * 3) % 999 as varchar), 3, '0')) from labels)"""
+
+ORACLES["repair_documents"] = rf"""with raw_files as (
+  select concat('notes/', cast(doc_id as varchar), '.md') as path, doc_id, doc_id % 10 as n, text,
+    case doc_id % 10 when 0 then text when 1 then concat('---', chr(10), 'type: note', chr(10), text)
+      else concat('---', chr(10), 'title: Doc ', cast(doc_id as varchar), chr(10), '---', chr(10), text) end as content
+  from documents where doc_id % 10 in (0, 1, 2)),
+known as (
+  select f.*, case when l.quality = 1 then 'entity' else 'concept' end as type,
+    case when l.toxic = 1 then 'Known' else cast(f.doc_id as varchar) end as title from raw_files f left join labels l using (doc_id)),
+fixed as (
+  select *, case n when 2 then concat('---', chr(10), 'type: "', type, '"', chr(10), substring(content, 5))
+    when 0 then concat('---', chr(10), 'type: ', type, chr(10), 'title: ', case when title = 'Known' then 'Known' else concat('"', title, '"') end, chr(10), 'legacy_repair: true', chr(10), '---', chr(10),
+      case when rtrim(text, chr(10)) <> '' then concat(chr(10), rtrim(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), chr(10)) else '' end)
+    else content end as done from known)
+select path, case n when 0 then 'frontmatter_missing' when 1 then 'frontmatter_parse_error' else 'concept_missing_type' end as code,
+  case n when 0 then 'rebuilt' when 1 then 'refused' else 'typed' end as status, sha256(content) as before_sha256, done as content from fixed"""
+ORACLES["snapshot_diff"] = f"""with {DOCS},
+kept as (select d.path, d.body, l.quality from docs d left join labels l using (doc_id) where coalesce(l.toxic, 0) = 0),
+aft as (select case when quality = 0 then concat('new/', path) else path end as path, sha256(case when quality = 1 then concat(body, '!') else body end) as h from kept),
+bef as (select path, sha256(body) as h from docs)
+select coalesce(b.path, a.path) as path, case when b.path is null then 'added' when a.path is null then 'missing' when a.h <> b.h then 'changed' else 'same' end as change
+from bef b full join aft a on a.path = b.path"""
+ORACLES["ownership_audit"] = """with c as (
+  select doc_id % 6 as n, case when doc_id % 6 < 4 then concat((['raw/','meta/','wiki/','outputs/'])[(doc_id % 6) + 1], cast(doc_id as varchar), '.md')
+    else (['wiki/a/Index.md','meta/events.jsonl'])[(doc_id % 6) - 3] end as path from documents)
+select path, n in (0, 1, 4, 5) as protected, case n when 0 then 'Raw sources are immutable. Use wiki_capture_source to add sources.'
+  when 1 then 'Metadata is auto-generated. Use wiki_rebuild_meta or wiki_log_event instead.' when 4 then 'Generated index or log page.'
+  when 5 then 'Event history is append-only authoritative state. Use wiki_log_event or an owning wiki operation instead.' end as reason from c"""
+ORACLES["requirement_counts"] = """select lower(p_type) as status, concat('p', cast(p_size % 4 as varchar)) as priority, count(*) as requirements from part group by 1, 2"""

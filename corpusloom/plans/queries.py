@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.text import normalize_text, query_terms, slugify
 from ..operators import lint, links, registry
 from ..operators import recall as rc
+from ..operators import embeddings as emb
+from ..operators.sessions import reminder_state as run_reminders
+from ..operators import audit, ingest, pages as pageops, repair, trajectories as traj
+from ..sources import convert, packets
+from ..sources import documents as srcdocs
+from ..sources import events as srcevents
 from ..operators.chunks import chunk_pages
 from . import corpora
 
@@ -287,3 +293,420 @@ def recall_render_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = rc.recall_layered(rc.recall(pages, corpora.bench_queries(spark, sf_dir), 3), 3)
     results = results.withColumn("path", F.concat("vault", F.lit("/"), "id", F.lit(".md")))
     return rc.render_context(results, pages, links_first=True, skill_inline_max=200)
+
+
+@query
+def frontmatter_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = srcdocs.discover_documents(corpora.markdown_files(spark, sf_dir))
+    return documents.select(
+        "id", "type", "title", "tags", "created", "extensions", "sources_kind", "sources",
+        F.array_join("legacy_fields", ",").alias("legacy_fields"), "body",
+    )
+
+
+@query
+def frontmatter_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, diagnostics = srcdocs.discover_documents(corpora.markdown_files(spark, sf_dir))
+    return diagnostics.select("severity", "code", "path")
+
+
+@query
+def diagnostics_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct codes with the number of pages that have each."""
+    _, diagnostics = srcdocs.discover_documents(corpora.markdown_files(spark, sf_dir))
+    return diagnostics.select("path", "code").distinct().groupBy("code").agg(
+        F.count(F.lit(1)).cast("bigint").alias("pages")
+    )
+
+
+@query
+def serialise_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = srcdocs.discover_documents(corpora.markdown_files(spark, sf_dir))
+    return srcdocs.serialise_documents(documents)
+
+
+@query
+def patch_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set status and updated on every parsed page; other values survive."""
+    documents, _ = srcdocs.discover_documents(corpora.markdown_files(spark, sf_dir))
+    patches = documents.select(
+        "id",
+        F.create_map(F.lit("status"), F.lit("ingested"), F.lit("title"), F.upper("type")).alias("fields"),
+        F.lit(None).cast("string").alias("body"),
+    )
+    return srcdocs.patch_documents(documents, patches).select("id", "frontmatter", "extensions")
+
+
+def _events(spark, sf_dir):
+    return srcevents.parse_events(corpora.event_log(spark, sf_dir))
+
+
+@query
+def event_day_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = srcevents.day_log_positions(srcevents.valid_events(_events(spark, sf_dir)))
+    return lines.select(F.date_format("event_date", "yyyy-MM-dd").alias("event_date"), "position", "line")
+
+
+@query
+def event_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return srcevents.event_diagnostics(_events(spark, sf_dir))
+
+
+@query
+def event_activity_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return srcevents.activity_log(corpora.event_log(spark, sf_dir))
+
+
+@query
+def event_digest_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = srcevents.event_digest(srcevents.valid_events(_events(spark, sf_dir)))
+    return digest.withColumn("period_start", F.date_format("period_start", "yyyy-MM-dd"))
+
+
+@query
+def event_digest_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = srcevents.event_digest(srcevents.valid_events(_events(spark, sf_dir)), "week")
+    return digest.withColumn("period_start", F.date_format("period_start", "yyyy-MM-dd"))
+
+
+@query
+def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event requests at the boundary: accepted or rejected with a reason."""
+    requests = corpora.table(spark, sf_dir, "events").select(
+        "event_id",
+        F.when(F.col("event_id") % 9 == 0, "  ").otherwise(F.col("event_type")).alias("kind"),
+        F.when(F.col("event_id") % 8 == 0, F.replace("props", F.lit('"k"'), F.lit('"timestamp"')))
+        .otherwise(F.col("props")).alias("details"),
+    )
+    accepted, rejected = srcevents.accept_events(requests)
+    return accepted.withColumn("error", F.lit(None).cast("string")).unionByName(rejected)
+
+
+@query
+def reminder_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_reminders(corpora.session_events(spark, sf_dir))
+
+
+@query
+def embedding_text_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emb.page_texts(corpora.docs_corpus(spark, sf_dir)).select("id", "hash")
+
+
+def _store(spark, sf_dir, pages):
+    return corpora.embedding_store(spark, sf_dir, emb.page_texts(pages).select("id", "hash"))
+
+
+@query
+def embedding_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = corpora.docs_corpus(spark, sf_dir)
+    return emb.stale_texts(emb.page_texts(pages), _store(spark, sf_dir, pages), "mock").select("id", "hash")
+
+
+@query
+def embedding_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = corpora.docs_corpus(spark, sf_dir)
+    return emb.pruned_ids(_store(spark, sf_dir, pages), pages)
+
+
+@query
+def embedding_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = corpora.docs_corpus(spark, sf_dir)
+    return emb.refresh_stats(pages, _store(spark, sf_dir, pages), "mock")
+
+
+@query
+def embed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all batches add up to, and how many break a limit (a lone long text may)."""
+    batches = emb.embed_batches(emb.page_texts(corpora.docs_corpus(spark, sf_dir)))
+    return batches.agg(
+        F.sum("texts").cast("bigint").alias("texts"),
+        F.sum("chars").cast("bigint").alias("chars"),
+        F.count_if(F.col("texts") > emb.BATCH_TEXTS).cast("bigint").alias("over_count"),
+        F.count_if((F.col("chars") > emb.BATCH_CHARS) & (F.col("texts") > 1)).cast("bigint").alias("over_chars"),
+    )
+
+
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """A deterministic stand-in for an embedding model."""
+    return [[float(t.count(c)) for c in "aent"] for t in texts]
+
+
+@query
+def embedding_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The refreshed store; vectors as rounded text."""
+    pages = corpora.docs_corpus(spark, sf_dir)
+    store = _store(spark, sf_dir, pages).withColumn(
+        "vector", F.coalesce("vector", F.array().cast("array<double>"))
+    )
+    new = emb.refresh_embeddings(pages, store, letter_counts, "mock", "2024-02-01")
+    first = F.coalesce(F.round(F.get("vector", F.lit(0)), 6), F.lit(-9.0))
+    return new.select("id", "hash", "model", F.col("dim").cast("bigint").alias("dim"), "updated", first.alias("first"))
+
+
+@query
+def html_noise_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.col("html")
+    return corpora.html_pages(spark, sf_dir).select(
+        "id", convert.html_title(html).alias("title"), convert.strip_noise(html).alias("stripped")
+    )
+
+
+@query
+def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpora.html_pages(spark, sf_dir).select("id", convert.html_to_markdown(F.col("html")).alias("markdown"))
+
+
+@query
+def xml_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpora.html_pages(spark, sf_dir).select("id", convert.xml_to_markdown(F.col("html")).alias("markdown"))
+
+
+@query
+def json_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event properties, wrapped so that titles, lists and nested maps occur."""
+    wrapped = F.concat(
+        F.lit('{"name": "'), "event_type", F.lit('", "user_id": '), F.col("user_id").cast("string"),
+        F.lit(', "props": '), "props", F.lit(', "tagList": ["a", 2, null], "items": [{"id": "i"}]}'),
+    )
+    return corpora.table(spark, sf_dir, "events").select("event_id", convert.json_to_markdown(wrapped).alias("markdown"))
+
+
+@query
+def binary_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats of page payloads that got a signature in front, one in 22 none."""
+    heads = F.array(*[F.lit(s) for s, _ in convert.SIGNATURES], F.lit(""))
+    head = F.unhex(F.get(heads, (F.col("page_id") % (len(convert.SIGNATURES) + 1)).cast("int")))
+    return corpora.html_pages(spark, sf_dir).select(
+        "id", convert.sniff_binary(F.concat(head, F.col("html").cast("binary"))).alias("format")
+    )
+
+
+@query
+def extractor_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    endings = F.array(*[F.lit(e) for e in (".pdf", ".MD", ".txt", ".htm", ".Xml", ".json", ".docx", ".csv", "")])
+    name = F.concat(F.regexp_extract("url", "^[^?#]*", 0), F.get(endings, (F.col("page_id") % 9).cast("int")))
+    rows = corpora.html_pages(spark, sf_dir).select("id", "url", name.alias("name"))
+    return rows.select(
+        "id", "name", convert.file_route(F.col("name"))["format"].alias("format"),
+        convert.file_route(F.col("name"))["extractor"].alias("extractor"),
+        convert.file_route(F.col("name"))["content_type"].alias("content_type"),
+        convert.original_name(F.concat("name", F.lit("?x=1#y.pdf"))).alias("original"),
+    )
+
+
+def _packets(spark, sf_dir):
+    used = corpora.table(spark, sf_dir, "labels").select(
+        F.concat(F.lit("SRC-2024-06-01-"), F.lpad(F.col("doc_id").cast("string"), 4, "0")).alias("id")
+    )
+    return packets.capture_sources(corpora.raw_sources(spark, sf_dir), used)
+
+
+@query
+def capture_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifests of captured texts, files and pages (titles of pages come from their HTML)."""
+    return _packets(spark, sf_dir).select(
+        "capture_order", "id", "title", "format", "extractor", "extraction_status", "content_type", "event"
+    )
+
+
+@query
+def packet_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skeleton pages and manifests of pasted texts and files."""
+    return _packets(spark, sf_dir).where("kind <> 'url'").select("page_id", "page_body", "manifest")
+
+
+def _packet_registry(spark, sf_dir):
+    """Documents as packets, their pages ingested or not by label."""
+    docs = corpora.table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("SRC-"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("id")
+    )
+    labels = corpora.table(spark, sf_dir, "labels").select("doc_id", "quality")
+    status = F.when(F.col("quality") == 1, "ingested").otherwise("skeleton")
+    registry_rows = docs.join(labels, "doc_id", "left").select(
+        F.concat(F.lit("sources/"), "id").alias("id"), F.lit("source").alias("type"), status.alias("status")
+    )
+    return docs.select("id"), registry_rows
+
+
+@query
+def pending_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.pending_sources(*_packet_registry(spark, sf_dir))
+
+
+@query
+def pending_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.next_batch(ingest.pending_sources(*_packet_registry(spark, sf_dir)), 9)
+
+
+def _known_pages(spark, sf_dir):
+    """Some entity pages exist already: one per nation number, as brands."""
+    return corpora.table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("entities/brand"), F.col("n_nationkey").cast("string")).alias("id")
+    )
+
+
+def _commit(spark, sf_dir):
+    return ingest.commit_mentions(corpora.synthesis(spark, sf_dir), _known_pages(spark, sf_dir), "2024-07-01")
+
+
+@query
+def commit_new_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _commit(spark, sf_dir)[0]
+
+
+@query
+def commit_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _commit(spark, sf_dir)[1]
+
+
+@query
+def commit_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.commit_stats(corpora.synthesis(spark, sf_dir), _commit(spark, sf_dir)[1])
+
+
+@query
+def touched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.touched_pages(_commit(spark, sf_dir)[1])
+
+
+@query
+def commit_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source pages after the ingest; pages of suppliers' numbers exist with a title of their own."""
+    own = corpora.table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("sources/SRC-"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("id"),
+        F.col("s_name").alias("title"),
+    )
+    return ingest.commit_sources(corpora.synthesis(spark, sf_dir), own, "2024-07-01")
+
+
+def _ensured(spark, sf_dir):
+    types = F.array(*[F.lit(t) for t in [*pageops.FOLDERS, "other"]])
+    requests = corpora.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("request_id"),
+        F.get(types, (F.col("p_partkey") % 8).cast("int")).alias("type"), F.col("p_name").alias("title"),
+        F.when(F.col("p_partkey") % 16 == 3, F.col("p_brand")).alias("content"),
+    )
+    return pageops.ensure_pages(requests, _known_pages(spark, sf_dir), "2024-07-01")
+
+
+@query
+def ensure_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ensured(spark, sf_dir)[0]
+
+
+@query
+def ensure_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ensured(spark, sf_dir)[1]
+
+
+@query
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = F.array(*[F.lit(r) for r in pageops.RELEVANCE_ICONS])
+    rows = corpora.table(spark, sf_dir, "conversations").select(
+        F.lit("2024-06-01").alias("day"),
+        F.concat(F.lit("2024-06-01T00:00:"), F.lpad(F.col("turn").cast("string"), 6, "0"), F.lit("."), F.lpad(F.col("conv_id").cast("string"), 9, "0")).alias("observed_at"),
+        F.concat(F.lit("Turn "), F.col("turn").cast("string"), F.lit(" of "), "role").alias("title"),
+        F.col("text").alias("content"), F.get(levels, (F.col("conv_id") % 4).cast("int")).alias("relevance"),
+        F.when(F.col("role") == "user", F.concat(F.lit(" a  "), "role")).alias("tags"),
+        F.when(F.col("turn") == 0, F.lit("start")).alias("source_context"),
+    )
+    return pageops.observations_to_documents(rows).withColumn("tags", F.array_join("tags", ","))
+
+
+@query
+def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpora.table(spark, sf_dir, "documents").select(
+        F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("Bad Slug "), F.col("doc_id").cast("string")))
+        .otherwise(F.concat(F.lit("note-"), F.col("doc_id").cast("string"))).alias("slug"),
+        F.col("source").alias("title"), F.col("text").alias("body"),
+        F.when(F.col("lang") == "en", F.col("lang")).alias("category"),
+    )
+    good, bad = pageops.insights_to_documents(rows, "2024-07-01")
+    return good.select("id", "title", "category", "body", F.lit(None).cast("string").alias("error")).unionByName(
+        bad.select(F.col("slug").alias("id"), "title", "category", "body", "error")
+    )
+
+
+def _steps(spark, sf_dir):
+    return traj.message_steps(corpora.session_entries(spark, sf_dir))
+
+
+@query
+def trajectory_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _steps(spark, sf_dir).select(
+        "session_id", "turn", "role", "text", "model",
+        F.array_join(F.transform("tool_calls", lambda c: F.concat(c["id"], F.lit(":"), c["name"], F.lit(":"), c["arguments"])), ",").alias("calls"),
+    )
+
+
+@query
+def trajectory_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traj.trajectories(_steps(spark, sf_dir), "2024-06-01")
+
+
+@query
+def tool_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traj.tool_usage(traj.tool_calls(_steps(spark, sf_dir)))
+
+
+@query
+def tool_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traj.tool_sequence(traj.tool_calls(_steps(spark, sf_dir)))
+
+
+@query
+def undistilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trajectories that no skill page cites; every labelled document is a skill page."""
+    manifests = traj.trajectories(_steps(spark, sf_dir), "2024-06-01").select("id", "title")
+    skills = corpora.table(spark, sf_dir, "labels").select(
+        F.concat(F.lit("skills/"), F.col("doc_id").cast("string")).alias("id"),
+        F.concat(
+            F.lit("Distilled from [[trajectories/TRJ-2024-06-01-"),
+            F.lpad(((F.col("doc_id") * 3) % 999).cast("string"), 3, "0"), F.lit("]]"),
+        ).alias("body"),
+    )
+    return traj.undistilled(manifests, links.extract_links(skills))
+
+
+@query
+def repair_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = corpora.markdown_files(spark, sf_dir)
+    known = corpora.table(spark, sf_dir, "labels").select(
+        F.concat(F.lit("notes/"), F.col("doc_id").cast("string")).alias("id"),
+        F.when(F.col("quality") == 1, "entity").otherwise(" ").alias("type"),
+        F.when(F.col("toxic") == 1, "Known").alias("title"),
+    )
+    return repair.repair_documents(files, known).select("path", "code", "status", "before_sha256", "content")
+
+
+@query
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot of all documents against one where labels changed some and dropped others."""
+    docs = corpora.docs_corpus(spark, sf_dir)
+    labels = corpora.table(spark, sf_dir, "labels").select(
+        F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "quality", "toxic"
+    )
+    after = docs.select("path", "body").join(labels, "path", "left").where("coalesce(toxic, 0) = 0").select(
+        F.when(F.col("quality") == 0, F.concat(F.lit("new/"), "path")).otherwise(F.col("path")).alias("path"),
+        F.sha2(F.when(F.col("quality") == 1, F.concat("body", F.lit("!"))).otherwise(F.col("body")), 256).alias("sha256"),
+    )
+    return audit.snapshot_diff(docs.select("path", F.sha2("body", 256).alias("sha256")), after)
+
+
+@query
+def ownership_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folders = F.array(*[F.lit(f) for f in ("raw/", "meta/", "wiki/", "outputs/", "wiki/a/Index.md", "meta/events.jsonl")])
+    number = (F.col("doc_id") % 6).cast("int")
+    name = F.when(number < 4, F.concat(F.get(folders, number), F.col("doc_id").cast("string"), F.lit(".md"))).otherwise(F.get(folders, number))
+    rows = corpora.table(spark, sf_dir, "documents").select(name.alias("path"))
+    return audit.ownership_audit(rows)
+
+
+@query
+def requirement_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as requirements: size class as priority, type as status."""
+    rows = corpora.table(spark, sf_dir, "part").select(
+        F.lit("requirement").alias("type"), F.lower("p_type").alias("status"),
+        F.concat(F.lit('{"priority":"p'), (F.col("p_size") % 4).cast("string"), F.lit('"}')).alias("extensions"),
+    )
+    return pageops.requirement_counts(rows)
