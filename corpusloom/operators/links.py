@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.commonmark import markdown_links
 from ..functions.paths import resolve_markdown_target, resolve_wikilink_target
 from ..functions.text import nfc, trim_space
-from ..session import materialise
+from ..session import computed_once, materialise
 from .skew import lookup_join
 
 WIKILINK = r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"
@@ -73,7 +73,7 @@ def extract_links(docs: DataFrame) -> DataFrame:
     resolved = F.when(
         F.col("syntax") == "markdown", resolve_markdown_target(F.col("target"), F.col("src"))
     ).otherwise(resolve_wikilink_target(F.col("target")))
-    return raw.withColumn("_to", resolved).select(
+    return computed_once(raw, {"_to": resolved}).select(
         "src", "seq", "syntax", "target", F.col("_to.kind").alias("kind"),
         nfc(F.col("_to.dst")).alias("dst"),
     )

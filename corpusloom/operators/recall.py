@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import (
-    SPACE, _UNSTABLE, blank_to_null, collapse_space, compact_fold, compact_text, left_units,
+    SEPARATORS, _UNSTABLE, blank_to_null, collapse_space, compact_fold, compact_text, left_units,
     normalize_text, terms_of, trim_space,
 )
 from ..functions.vectors import SEMANTIC_MIN_COSINE, SEMANTIC_SCALE, SEMANTIC_WEIGHT, fuse_scores
-from ..session import materialise
+from ..session import computed_once, materialise
 from .chunks import chunk_array, chunk_preview, page_preview
 from .registry import semantic_title, with_fields
 
@@ -94,14 +94,15 @@ def search_index(pages: DataFrame, vectors: DataFrame | None = None) -> DataFram
     body = F.coalesce(F.col("body"), F.lit(""))
     lowered = F.flatten(
         F.transform(
-            chunk_array(body), lambda c: F.array(F.lower(c["heading"]), F.lower(c["content"]))
+            chunk_array(F.col("_body")), lambda c: F.array(F.lower(c["heading"]), F.lower(c["content"]))
         )
     )
     index = (
-        pages.select(
-            "vault", "id", weights.alias("weights"), texts.alias("texts"),
-            lowered.alias("_lowered"), body.rlike(_UNSTABLE).alias("_unstable"),
+        computed_once(
+            pages.select("vault", "id", weights.alias("weights"), texts.alias("texts"), body.alias("_body")),
+            {"_lowered": lowered},
         )
+        .withColumn("_unstable", F.col("_body").rlike(_UNSTABLE))
         .withColumn(
             "_folded",
             F.coalesce(_nfkc_array(F.when(F.col("_unstable"), F.col("_lowered"))), F.col("_lowered")),
@@ -109,7 +110,7 @@ def search_index(pages: DataFrame, vectors: DataFrame | None = None) -> DataFram
         .select(
             "vault", "id", "weights", "texts",
             F.transform(
-                "_folded", lambda t: F.regexp_replace(t, rf"[\p{{P}}\p{{S}}{SPACE}]+", "")
+                "_folded", lambda t: F.regexp_replace(t, SEPARATORS, "")
             ).alias("sections"),
         )
     )
@@ -246,14 +247,14 @@ def _scorer(batch: _Batch, weight: float, keep_lexical: int, keep_fused: int):
 
 def score_pages(
     index: DataFrame, queries: DataFrame, query_vectors: DataFrame | None = None,
-    weight: float = SEMANTIC_WEIGHT, keep: int = BOOSTED_PAGES,
+    weight: float = SEMANTIC_WEIGHT, keep: int = BOOSTED_PAGES, total: int | None = None,
 ) -> DataFrame:
     """scored(query_id, vault, id, lexical, chunk_no, cosine) of rows that may rank in `keep`.
 
     Terms of at most QUERIES_PER_SCAN queries are on the driver at a time; larger batches
     scan the pages once per slice of queries.
     """
-    total = queries.count()
+    total = queries.count() if total is None else total
     slices = max(1, -(-total // QUERIES_PER_SCAN))
     out = None
     for number in range(slices):
@@ -347,11 +348,12 @@ def recall(
     if "vault" not in pages.columns:
         pages = pages.withColumn("vault", F.lit("main"))
     prepared = prepare_queries(queries)
+    total = prepared.count()
     hybrid = vectors is not None and query_vectors is not None
     if index is None:
         index = search_index(pages, vectors if hybrid else None)
     scored = score_pages(
-        index, prepared, query_vectors if hybrid else None, weight, max(max_results, 1)
+        index, prepared, query_vectors if hybrid else None, weight, max(max_results, 1), total
     ).withColumn("base", fuse_scores(F.col("lexical"), F.col("cosine"), weight))
     if hybrid:
         ranked = scored.withColumn("rank", _rank("lexical")).withColumn("rank_base", _rank("base"))
@@ -363,7 +365,7 @@ def recall(
         ranked = scored.withColumn("rank", _rank("lexical")).where(
             F.col("rank") <= max(BOOSTED_PAGES, max_results)
         )
-    # At most (BOOSTED_PAGES + max_results) rows per query and vault, QUERIES_PER_SCAN per scan.
+    # At most BOOSTED_PAGES + max_results rows per query and vault: broadcast for one scan's queries.
     wanted = ranked.select("query_id", "vault", "id", "lexical", "chunk_no", "base", "rank")
     pages = with_fields(pages, META + ["body"])
     fetched = (
@@ -373,7 +375,7 @@ def recall(
             *[_text(pages, n).alias(f"meta_{n}") for n in META if n != "title"],
             F.coalesce("body", F.lit("")).alias("body"),
         )
-        .join(_bounded_broadcast(wanted, prepared), ["vault", "id"])
+        .join(F.broadcast(wanted) if total <= QUERIES_PER_SCAN else wanted, ["vault", "id"])
     )
     top = materialise(fetched.select("*", chunk_array(F.col("body")).alias("chunks")))
     expansion = _expansion_terms(top, prepared)
@@ -407,12 +409,6 @@ def recall(
     )
 
 
-def _bounded_broadcast(wanted: DataFrame, queries: DataFrame) -> DataFrame:
-    """Broadcast the ranked rows only for a single scan's worth of queries."""
-    small = queries.limit(QUERIES_PER_SCAN + 1).count() <= QUERIES_PER_SCAN
-    return F.broadcast(wanted) if small else wanted
-
-
 def recall_layered(results: DataFrame, max_results: int = 5, personal: str = "personal") -> DataFrame:
     """Merge per-vault results: personal block first, one row per id, cut to max_results.
 

@@ -419,14 +419,25 @@ ORACLES["json_to_markdown"] = r"""select event_id, concat('# ', event_type, chr(
 ORACLES["binary_sniff"] = """select concat('pages/', cast(page_id as varchar)) as id,
   (['zip','pdf','7z','gzip','png','jpeg','gif','bmp','tiff','tiff','riff','exe','macho','macho','macho','macho','class','elf','wasm','sqlite','mp3',null])[(page_id % 22) + 1] as format
 from pages"""
-ORACLES["extractor_route"] = r"""with r as (
-  select concat('pages/', cast(page_id as varchar)) as id, page_id % 9 as n,
+_ROUTES = [
+    (".pdf", "pdf", "markitdown", "application/pdf"), (".md", "markdown", "passthrough", "text/markdown"),
+    (".txt", "text", "passthrough", "text/plain"), (".html", "html", "passthrough", "text/html"),
+    (".htm", "html", "passthrough", "text/html"), (".xml", "xml", "xmlToMarkdown", "application/xml"),
+    (".json", "json", "jsonToMarkdown", "application/json"),
+    (".docx", "docx", "markitdown", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
+]
+
+
+def _route(at: int, default: str) -> str:
+    return "case " + " ".join(f"when lower(name) like '%{r[0]}' then '{r[at]}'" for r in _ROUTES) + f" else {default} end"
+
+
+ORACLES["extractor_route"] = rf"""with r as (
+  select concat('pages/', cast(page_id as varchar)) as id,
     concat(regexp_extract(url, '^[^?#]*'), (['.pdf','.MD','.txt','.htm','.Xml','.json','.docx','.csv',''])[(page_id % 9) + 1]) as name from pages)
-select id, name, (['pdf','markdown','text','html','xml','json','docx','file','file'])[n + 1] as format,
-  (['markitdown','passthrough','passthrough','passthrough','xmlToMarkdown','jsonToMarkdown','markitdown','passthrough','passthrough'])[n + 1] as extractor,
-  (['application/pdf','text/markdown','text/plain','text/html','application/xml','application/json',
-    'application/vnd.openxmlformats-officedocument.wordprocessingml.document',null,null])[n + 1] as content_type,
-  case when name like '%/.%' then 'source.html' else (['source.pdf','source.md','source.txt','source.htm','source.xml','source.json','source.html','source.html','source.html'])[n + 1] end as original from r"""
+select id, name, {_route(1, "'file'")} as format, {_route(2, "'passthrough'")} as extractor, {_route(3, "null")} as content_type,
+  case when regexp_extract(lower(name), '[^/.](\.[^./]*)$', 1) in ('.html', '.htm', '.md', '.pdf', '.txt', '.xml', '.json')
+    then concat('source', regexp_extract(lower(name), '[^/.](\.[^./]*)$', 1)) else 'source.html' end as original from r"""
 
 CAPTURE = r"""raw as (
   select concat('url-', lpad(cast(page_id as varchar), 12, '0')) as capture_order, 'url' as kind, url as name, url as url, page_id as n, html as payload, null as title from pages

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -41,3 +41,24 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, so every reader sees the same rows."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, most: int = 64) -> DataFrame:
+    """Repartition an input that comes in fewer splits than there are cores.
+
+    A file with one row group is one task however many cores wait. Large inputs have more
+    splits than cores and pass through without a shuffle.
+    """
+    target = min(df.sparkSession.sparkContext.defaultParallelism, most)
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are evaluated exactly once per row.
+
+    The optimizer otherwise copies an expression into every later use and into filters it
+    pushes down, which multiplies costly text work. A generator that yields one row is where
+    it stops doing so; nothing is shuffled.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline_outer(F.array(row)))

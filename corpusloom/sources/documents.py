@@ -14,6 +14,7 @@ from ..functions.frontmatter import (
 )
 from ..functions.paths import document_id, is_reserved
 from ..operators.registry import identity_collisions
+from ..session import computed_once
 
 DIAGNOSTIC = ["severity", "code", "path", "message"]
 
@@ -98,7 +99,7 @@ def parse_frontmatter(files: DataFrame, require_type: bool = True) -> DataFrame:
 
     Only the YAML block, at most 128 KiB, goes to Python; the body stays on the JVM.
     """
-    split = files.withColumn("_s", _split(F.col("content")))
+    split = computed_once(files, {"_s": _split(F.col("content"))})
     usable = (
         F.col("_s.opened") & F.col("_s.closed") & (F.octet_length("_s.yaml") <= MAX_BYTES)
     )
@@ -113,7 +114,7 @@ def parse_frontmatter(files: DataFrame, require_type: bool = True) -> DataFrame:
         untyped = F.col("_p.type").isNull() | (F.trim("_p.type") == "")
         error = error.when(untyped, F.struct(F.lit("concept_missing_type").alias("code"), F.lit("Missing or empty type field").alias("message")))
     wikilinks = F.col("_s.body").rlike(r"\[\[[^\]]+\]\]")
-    return parsed.withColumn("_e", error).select(
+    return computed_once(parsed, {"_e": error}).select(
         *files.columns,
         F.col("_e.code").alias("code"), F.col("_e.message").alias("message"),
         "_p.mapping", "_p.type", "_p.frontmatter", "_p.extensions", "_p.sources_kind", "_p.sources",

@@ -11,6 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions.text import blank_to_null, collapse_space, trim_space
 from ..operators.skew import with_positions
+from ..session import computed_once
 
 _RESERVED = ("timestamp", "kind")
 
@@ -37,35 +38,40 @@ def parse_events(raw_events: DataFrame) -> DataFrame:
 
     Blank lines are dropped. Timestamps are ISO 8601; the day is the UTC day.
     """
-    event = F.try_parse_json("raw")
-    is_object = F.coalesce(F.schema_of_variant(event).startswith("OBJECT"), F.lit(False))
-    rows = (
-        raw_events.where(trim_space(F.col("raw")) != "")
-        .withColumn("_v", event)
-        .withColumn("_members", F.when(is_object, F.col("_v").cast("map<string,variant>")))
-    )
+    rows = raw_events.where(trim_space(F.col("raw")) != "")
+    rows = computed_once(rows, {"_v": F.try_parse_json("raw")})
+    rows = computed_once(rows, {
+        "_members": F.when(
+            F.schema_of_variant("_v").startswith("OBJECT"), F.col("_v").cast("map<string,variant>")
+        )
+    })
     text = lambda key: F.when(
         F.schema_of_variant(F.col("_members")[key]) == "STRING",
         F.try_variant_get(F.col("_members")[key], "$", "string"),
     )
-    stamp = text("timestamp")
-    ts = F.when(stamp.rlike(r"^\d{4}-\d{2}(?:-\d{2}(?:[T ]\d{2}:\d{2}.*)?)?$"), F.try_to_timestamp(stamp))
-    kind = trim_space(blank_to_null(text("kind")))
-    details = F.map_filter("_members", lambda k, v: ~k.isin(*_RESERVED))
+    rows = computed_once(rows, {
+        "_stamp": text("timestamp"), "_kind": text("kind"),
+        "_rest": F.map_filter("_members", lambda k, v: ~k.isin(*_RESERVED)),
+    })
+    iso = F.col("_stamp").rlike(r"^\d{4}-\d{2}(?:-\d{2}(?:[T ]\d{2}:\d{2}.*)?)?$")
+    rows = computed_once(rows, {
+        "epoch_ms": F.unix_millis(F.when(iso, F.try_to_timestamp("_stamp"))),
+        "kind": trim_space(blank_to_null(F.col("_kind"))),
+        "details": F.when(F.size("_rest") > 0, F.to_json("_rest")).otherwise(""),
+        "_object": F.col("_members").isNotNull(),
+    })
     code = (
-        F.when(F.col("_members").isNull(), "event_invalid_json")
+        F.when(~F.col("_object"), "event_invalid_json")
         .when(F.col("epoch_ms").isNull(), "event_invalid_timestamp")
         .when(F.col("kind").isNull(), "event_missing_kind")
     )
-    others = [c for c in raw_events.columns if c not in ("raw",)]
-    return (
-        rows.withColumn("epoch_ms", F.unix_millis(ts)).withColumn("kind", kind)
-        .withColumn("details", F.when(F.size(details) > 0, F.to_json(details)).otherwise(""))
-        .select(
-            *others, "raw", code.alias("code"), "epoch_ms",
-            F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("epoch_ms") / 86_400_000).cast("int")).alias("event_date"),
-            "kind", "details",
-        )
+    others = [c for c in raw_events.columns if c != "raw"]
+    return rows.select(
+        *others, "raw", code.alias("code"), "epoch_ms",
+        F.date_add(
+            F.lit("1970-01-01").cast("date"), F.floor(F.col("epoch_ms") / 86_400_000).cast("int")
+        ).alias("event_date"),
+        "kind", "details",
     )
 
 
@@ -127,9 +133,9 @@ def activity_log(raw_events: DataFrame) -> DataFrame:
 
     Members keep the order they were written in; nested maps print with sorted keys.
     """
-    event = F.try_parse_json("raw")
-    rows = raw_events.withColumn("_v", event).where(F.schema_of_variant("_v").startswith("OBJECT"))
-    rows = rows.withColumn("_members", F.col("_v").cast("map<string,variant>"))
+    rows = computed_once(raw_events, {"_v": F.try_parse_json("raw")})
+    rows = rows.where(F.schema_of_variant("_v").startswith("OBJECT"))
+    rows = computed_once(rows, {"_members": F.col("_v").cast("map<string,variant>")})
     shown = lambda key, default: F.coalesce(
         F.nullif(F.try_variant_get(F.col("_members")[key], "$", "string"), F.lit("")), F.lit(default)
     )
