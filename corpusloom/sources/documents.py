@@ -74,7 +74,7 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     )
     return found.select(
         F.substr(strip(F.col("path")), F.length(base) + 1).alias("path"),
-        F.decode("content", F.lit("UTF-8")).alias("content"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
 
 
