@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import blank_to_null, left_units, trim_space
 from ..functions.vectors import content_hash, normalize_vector
+from ..session import broadcast_if_small, materialise
 from .registry import with_fields
 
 # Limits of an embedding text and of one embedding request.
@@ -53,12 +54,16 @@ def page_texts(pages: DataFrame) -> DataFrame:
 
 
 def stale_texts(texts: DataFrame, store: DataFrame, model: str, force: bool = False) -> DataFrame:
-    """Texts without a stored vector of the same hash and model."""
+    """Texts without a stored vector of the same hash and model.
+
+    Only ids and hashes meet the store; the texts are then picked by id.
+    """
     if force:
         return texts
     known = store.select("id", F.col("hash").alias("_hash"), F.col("model").alias("_model"))
     fresh = F.col("_hash").eqNullSafe(F.col("hash")) & F.col("_model").eqNullSafe(F.lit(model))
-    return texts.join(known, "id", "left").where(~fresh).drop("_hash", "_model")
+    stale = materialise(texts.select("id", "hash").join(known, "id", "left").where(~fresh).select("id"))
+    return texts.join(broadcast_if_small(stale), "id", "left_semi")
 
 
 def pruned_ids(store: DataFrame, pages: DataFrame) -> DataFrame:

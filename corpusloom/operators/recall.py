@@ -46,6 +46,8 @@ STOP_WORDS = (
 
 # Queries answered per scan of the pages; more are answered in further scans.
 QUERIES_PER_SCAN = 2000
+# Pages scored at a time within a task.
+BLOCK_ROWS = 512
 
 META = ["title", "aliases", "tags", "summary", "description"]
 
@@ -166,12 +168,15 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 
 def _scorer(batch: _Batch, weight: float, keep_lexical: int, keep_fused: int):
-    """mapInPandas function: index rows -> scored (query, page) rows that may still rank."""
+    """mapInPandas function: index rows -> scored (query, page) rows that may still rank.
+
+    A task returns at most keep_lexical + keep_fused rows per query and vault, ties included,
+    so the ranking shuffle is bounded by tasks, not by how many pages match.
+    """
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         auto, numbers, counts = batch.automaton()
         n = len(batch.query_ids)
-        best: dict[str, list[np.ndarray]] = {}
 
         def hits(text: str) -> np.ndarray | None:
             if not text or not len(auto):
@@ -184,7 +189,10 @@ def _scorer(batch: _Batch, weight: float, keep_lexical: int, keep_fused: int):
                 weights=np.concatenate([counts[s] for s in found]), minlength=n,
             )
 
-        for frame in frames:
+        def block(frame: pd.DataFrame) -> pd.DataFrame:
+            """Scored rows of a block that are among its best per vault and query."""
+            # In id order a stable sort by score breaks ties the way the ranking does.
+            frame = frame.sort_values("id", kind="stable").reset_index(drop=True)
             size = len(frame)
             lexical = np.zeros((size, n))
             chunk_no = np.full((size, n), -1, dtype="int32")
@@ -211,9 +219,7 @@ def _scorer(batch: _Batch, weight: float, keep_lexical: int, keep_fused: int):
                     chunk_no[row, better] = number // 2
                 lexical[row] += top
             for dim, (query_numbers, matrix) in batch.query_vectors.items():
-                rows = [
-                    i for i, v in enumerate(frame["vector"]) if v is not None and len(v) == dim
-                ]
+                rows = [i for i, v in enumerate(frame["vector"]) if v is not None and len(v) == dim]
                 if rows and dim:
                     pages = _unit_rows(np.array([frame["vector"].iat[i] for i in rows], dtype="float64"))
                     cosine[np.ix_(rows, query_numbers)] = pages @ matrix.T
@@ -223,24 +229,42 @@ def _scorer(batch: _Batch, weight: float, keep_lexical: int, keep_fused: int):
             vaults = frame["vault"].to_numpy()
             for vault in pd.unique(vaults):
                 mine = np.flatnonzero(vaults == vault)
-                floors = best.setdefault(vault, [np.full((0, n), 0.0), np.full((0, n), 0.0)])
-                for side, (values, k) in enumerate(((lexical, keep_lexical), (fused, keep_fused))):
-                    seen = np.where(candidate[mine], values[mine], -np.inf)
-                    ranked = np.sort(np.vstack([floors[side], seen]), axis=0)[-k:]
-                    # Ties with the k-th best stay, so the final order by id is exact.
-                    floor = ranked[0] if len(ranked) == k else np.full(n, -np.inf)
-                    keep[mine] |= candidate[mine] & (values[mine] >= floor)
-                    floors[side] = ranked
-            rows, cols = np.nonzero(keep)
-            if len(rows):
-                yield pd.DataFrame({
-                    "query_id": batch.query_ids[cols],
-                    "vault": vaults[rows],
-                    "id": frame["id"].to_numpy()[rows],
-                    "lexical": lexical[rows, cols],
-                    "chunk_no": chunk_no[rows, cols],
-                    "cosine": cosine[rows, cols],
-                })
+                for values, k in ((lexical, keep_lexical), (fused, keep_fused)):
+                    ranked = np.where(candidate[mine], -values[mine], np.inf)
+                    first = np.argsort(ranked, axis=0, kind="stable")[:k]
+                    keep[mine[first], np.arange(n)] = True
+            rows, cols = np.nonzero(keep & candidate)
+            return pd.DataFrame({
+                "query_id": batch.query_ids[cols],
+                "vault": vaults[rows],
+                "id": frame["id"].to_numpy()[rows],
+                "lexical": lexical[rows, cols],
+                "chunk_no": chunk_no[rows, cols],
+                "cosine": cosine[rows, cols],
+                "fused": fused[rows, cols],
+            })
+
+        def prune(rows: pd.DataFrame) -> pd.DataFrame:
+            """The best of all blocks so far; nothing a later ranking could need is dropped."""
+            keep = np.zeros(len(rows), dtype=bool)
+            rows = rows.sort_values("id", kind="stable").reset_index(drop=True)
+            for column, k in (("lexical", keep_lexical), ("fused", keep_fused)):
+                order = rows.sort_values(column, ascending=False, kind="stable")
+                place = order.groupby(["query_id", "vault"], sort=False).cumcount()
+                keep[place.index[place < k]] = True
+            return rows[keep]
+
+        kept, seen = [], 0
+        for frame in frames:
+            for start in range(0, len(frame), BLOCK_ROWS):
+                part = block(frame.iloc[start : start + BLOCK_ROWS])
+                kept.append(part)
+                seen += len(part)
+                if len(kept) > 1 and seen > 4 * n * (keep_lexical + keep_fused):
+                    kept = [prune(pd.concat(kept))]
+                    seen = len(kept[0])
+        if seen:
+            yield prune(pd.concat(kept)).drop(columns="fused")
 
     return score
 

@@ -62,12 +62,13 @@ def with_positions(
 ) -> DataFrame:
     """1-based position of each row within its group, no group confined to one task.
 
-    `order` columns (ascending) must be unique within a group. Local numbers are taken per
-    (group, slice); the offset of a slice is the sum of the group's earlier slices, of which
-    there are at most as many as slices.
+    `order` columns (ascending, not NULL) must be unique within a group. Local numbers are
+    taken per (group, slice); the offset of a slice is the sum of the group's earlier slices,
+    of which there are at most as many as slices. Only the key columns are sliced and
+    checkpointed; wide rows get their number by one join on the unique key.
     """
     cols = group + order
-    sliced = range_slices(df, [F.col(c) for c in cols], slices)
+    sliced = range_slices(df.select(*cols), [F.col(c) for c in cols], slices)
     part = group + ["_slice"]
     sizes = sliced.groupBy(*part).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(
@@ -76,8 +77,7 @@ def with_positions(
     offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(before), F.lit(0)))
     local = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
     numbered = sliced.withColumn("_local", local)
-    return (
-        numbered.join(offsets.drop("_size"), part)
-        .withColumn(name, (F.col("_offset") + F.col("_local")).cast("bigint"))
-        .drop("_slice", "_local", "_offset")
+    positions = numbered.join(offsets.drop("_size"), part).select(
+        *cols, (F.col("_offset") + F.col("_local")).cast("bigint").alias(name)
     )
+    return positions if set(df.columns) == set(cols) else df.join(positions, cols)

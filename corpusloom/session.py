@@ -62,3 +62,16 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """
     row = F.struct(*[c.alias(n) for n, c in columns.items()])
     return df.select("*", F.inline_outer(F.array(row)))
+
+
+# Rows of narrow keys that may be broadcast: a few tens of megabytes at most.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast after counting that df has at most `rows` rows; else leave it to a shuffle.
+
+    For narrow sides joined to page texts: a broadcast keeps the texts from being shuffled.
+    Pass a materialised or cheap df, it is read twice.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

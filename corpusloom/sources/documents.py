@@ -14,7 +14,7 @@ from ..functions.frontmatter import (
 )
 from ..functions.paths import document_id, is_reserved
 from ..operators.registry import identity_collisions
-from ..session import computed_once
+from ..session import broadcast_if_small, computed_once, materialise
 
 DIAGNOSTIC = ["severity", "code", "path", "message"]
 
@@ -131,8 +131,9 @@ def discover_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     `extensions` and `sources` keep them as JSON (try_parse_json makes them VARIANT).
     """
     pages = files.where(~is_reserved(F.col("path")))
-    collisions = identity_collisions(pages)
-    kept = pages.join(collisions.select("path"), "path", "left_anti")
+    # Paths alone decide collisions; the few that collide are kept away from the contents.
+    collisions = materialise(identity_collisions(pages.select("path")))
+    kept = pages.join(broadcast_if_small(collisions.select("path")), "path", "left_anti")
     parsed = parse_frontmatter(kept)
     names = [k for k in STANDARD_KEYS if k not in ("type", "sources")]
     documents = parsed.where("code is null").select(
@@ -182,7 +183,8 @@ def patch_documents(documents: DataFrame, patches: DataFrame) -> DataFrame:
 
     documents(id, frontmatter, body, ...), patches(id, fields MAP<STRING, STRING>, body).
     """
-    patched = documents.join(patches.select("id", F.col("fields").alias("_f"), F.col("body").alias("_b")), "id", "left")
+    wanted = patches.select("id", F.col("fields").alias("_f"), F.col("body").alias("_b"))
+    patched = documents.join(wanted, "id", "left")
     as_variants = lambda c: F.coalesce(c.cast("map<string,variant>"), F.expr("cast(map() as map<string,variant>)"))
     old = as_variants(F.try_parse_json("frontmatter"))
     new = F.transform_values("_f", lambda k, v: F.to_variant_object(F.struct(v.alias("v"))))
