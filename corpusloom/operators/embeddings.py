@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import blank_to_null, left_units, trim_space
+from ..functions.text import blank_to_null, left_units, normalize_text, trim_space
 from ..functions.vectors import content_hash, normalize_vector
 from ..session import broadcast_if_small, materialise
 from .registry import with_fields
+from .skew import lookup_join
 
 # Limits of an embedding text and of one embedding request.
 BODY_UNITS = 8000
@@ -182,3 +183,14 @@ def response_vectors(responses: DataFrame) -> DataFrame:
         "request_id", error.alias("error"),
         F.when(error.isNull(), F.transform(ordered, lambda d: d["embedding"])).alias("vectors"),
     )
+
+
+def embed_queries(queries: DataFrame, embed: EmbedFn) -> DataFrame:
+    """vectors(query_id, vector): queries(query_id, query) that normalise alike are embedded once."""
+    keyed = queries.select("query_id", "query", normalize_text(F.col("query")).alias("key"))
+    once = keyed.groupBy("key").agg(F.min_by("query", "query_id").alias("text"))
+    texts = once.select(F.col("key").alias("id"), "text", F.lit("").alias("hash"))
+    vectors = materialise(embed_texts(texts, embed)).select(F.col("id").alias("key"), "vector")
+    return lookup_join(keyed.select("query_id", "key"), vectors, "key", "inner", salt_by=F.col("query_id")).select(
+        "query_id", "vector"
+    )

@@ -65,6 +65,26 @@ def lint_summary(docs: DataFrame, resolved: DataFrame, inbound: DataFrame) -> Da
     )
 
 
+def lint_report(summary: DataFrame, finding_rows: DataFrame, day: str) -> DataFrame:
+    """The health report as ordered rows (part, id, seq, line)."""
+    text = lambda name: F.col(name).cast("string")
+    head = F.concat(
+        F.lit(f"# Wiki Lint Report\nGenerated: {day}\n## Summary\n- Total pages: "), text("pages"),
+        F.lit("\n- Orphans: "), text("orphans"), F.lit("\n- Missing pages: "), text("missing_links"),
+        F.lit("\n- Contradictions: "), text("contradictions"), F.lit("\n## Findings"),
+    )
+    edge = lambda frame, line: frame.select(
+        F.lit(0).alias("part"), F.lit("").alias("id"), F.lit(0).cast("bigint").alias("seq"), line.alias("line")
+    )
+    clean = (F.col("orphans") == 0) & (F.col("missing_links") == 0) & (F.col("contradictions") == 0)
+    rows = finding_rows.select(
+        F.when(F.col("kind") == "missing", 1).otherwise(2).alias("part"), "id", "seq",
+        F.concat(F.lit("- "), "finding").alias("line"),
+    )
+    none = edge(summary.where(clean), F.lit("✅ No issues found!")).withColumn("part", F.lit(3))
+    return edge(summary, head).unionByName(rows).unionByName(none).orderBy("part", "id", "seq")
+
+
 def stub_candidates(unresolved: DataFrame, docs: DataFrame) -> DataFrame:
     """stubs(topic, id, title, mentions): missing concepts that at least two pages mention.
 

@@ -195,6 +195,44 @@ def directory_index(docs: DataFrame, root_title: str = "Wiki") -> DataFrame:
     )
 
 
+def render_index_by_type(registry: DataFrame, last_updated: str) -> DataFrame:
+    """The page index as ordered rows of one text column; write it with df.write.text."""
+    lines = index_by_type(registry).withColumn(
+        "line", F.when(F.col("section") == 0, F.concat("line", F.lit("\n"))).otherwise(F.col("line"))
+    ).withColumn("part", F.lit(1))
+    # An empty line ends every type.
+    ends = registry.select("type").distinct().select(
+        "type", F.lit(2).cast("bigint").alias("section"), F.lit("").alias("id"), F.lit("").alias("line"), F.lit(1).alias("part")
+    )
+    one = registry.sparkSession.range(1)
+    edge = lambda line, part: one.select(
+        F.lit("").alias("type"), F.lit(0).cast("bigint").alias("section"), F.lit("").alias("id"),
+        line.alias("line"), F.lit(part).alias("part"),
+    )
+    head = edge(F.lit("# Wiki Index\n\n> Auto-generated from meta/registry.json. Do not edit manually.\n"), 0)
+    total = registry.agg(F.count(F.lit(1)).cast("string")).scalar()
+    foot = edge(F.concat(F.lit(f"---\n*Last updated: {last_updated}* | *Total pages: "), total, F.lit("*")), 2)
+    rows = lines.unionByName(ends).unionByName(head).unionByName(foot)
+    return rows.orderBy("part", "type", "section", "id").select(F.col("line").alias("value"))
+
+
+def render_directory_index(index: DataFrame) -> DataFrame:
+    """Index files as ordered rows (dir, section, name, line): the lines of dir/index.md.
+
+    Sections with entries get their heading; the root's title carries the format version.
+    """
+    # Frontmatter of the root index and the section headings.
+    root = F.lit('---\nokf_version: "0.2"\n---\n\n')
+    titled = index.withColumn(
+        "line", F.when((F.col("section") == 0) & (F.col("dir") == ""), F.concat(root, "line")).otherwise(F.col("line"))
+    )
+    heads = index.where("section > 0").select("dir", "section").distinct().select(
+        "dir", "section", F.lit("").alias("name"),
+        F.when(F.col("section") == 1, "\n## Directories\n").otherwise("\n## Concepts\n").alias("line"),
+    )
+    return titled.unionByName(heads).orderBy("dir", "section", "name")
+
+
 def identity_collisions(files: DataFrame) -> DataFrame:
     """Pages whose id equals an earlier page's id but for case or Unicode form.
 

@@ -620,3 +620,32 @@ select path, n in (0, 1, 4, 5) as protected, case n when 0 then 'Raw sources are
   when 1 then 'Metadata is auto-generated. Use wiki_rebuild_meta or wiki_log_event instead.' when 4 then 'Generated index or log page.'
   when 5 then 'Event history is append-only authoritative state. Use wiki_log_event or an owning wiki operation instead.' end as reason from c"""
 ORACLES["requirement_counts"] = """select lower(p_type) as status, concat('p', cast(p_size % 4 as varchar)) as priority, count(*) as requirements from part group by 1, 2"""
+
+_PAGE_LINE = f"""concat('- [', {_ESC.format("coalesce(nullif(trim(title), ''), cast(doc_id as varchar))")}, '](', cast(doc_id as varchar), '.md)')"""
+ORACLES["directory_index_lines"] = f"""with {DOCS}
+select '' as dir, 0 as section, '' as name, concat('---', chr(10), 'okf_version: "0.2"', chr(10), '---', chr(10), chr(10), '# Corpus') as line
+union all select '', 1, '', concat(chr(10), '## Directories', chr(10))
+union all select '', 1, 'docs', '- [docs/](docs/)'
+union all select 'docs', 0, '', '# docs'
+union all select 'docs', 2, '', concat(chr(10), '## Concepts', chr(10))
+union all select 'docs', 2, cast(doc_id as varchar), {_PAGE_LINE} from docs"""
+ORACLES["index_lines"] = f"""with {DOCS}
+select concat('- [[', id, ']] — ', coalesce(nullif(trim(title), ''), split_part(id, '/', 2)), ' *(created: unknown)*') as value from docs
+union all select distinct concat('## ', upper(substring(type, 1, 1)), substring(type, 2), 's', chr(10)) from docs
+union all select '' from (select distinct type from docs)
+union all select concat('# Wiki Index', chr(10), chr(10), '> Auto-generated from meta/registry.json. Do not edit manually.', chr(10))
+union all select concat('---', chr(10), '*Last updated: 2024-07-01* | *Total pages: ', cast(count(*) as varchar), '*') from docs"""
+ORACLES["lint_report"] = f"""with {MARKED_LINKS}
+select 0 as part, concat('# Wiki Lint Report', chr(10), 'Generated: 2024-07-01', chr(10), '## Summary', chr(10), '- Total pages: ', cast((select count(*) from linked) as varchar), chr(10),
+  '- Orphans: ', cast((select count(*) from inbound where n = 0) as varchar), chr(10), '- Missing pages: ', cast((select count(*) from unres) as varchar), chr(10),
+  '- Contradictions: ', cast((select count(*) from linked where contains(body, '⚠️ **Contradiction')) as varchar), chr(10), '## Findings') as line
+union all select 1, concat('- Missing page: ', dst, ' (in ', src, ')') from unres
+union all select 2, concat('- Orphan: ', id, ' has no inbound links') from inbound where n = 0
+union all select 2, concat('- Contradiction flagged in ', id) from linked where contains(body, '⚠️ **Contradiction')"""
+ORACLES["create_documents"] = r"""select concat('notes/', cast(doc_id as varchar), '.md') as path,
+  case when lang <> 'fr' then concat('{"title":"', source, '","type":"note"}') end as frontmatter,
+  case when lang <> 'fr' then concat('{"own":{"n":', cast(doc_id as varchar), '}}') end as extensions,
+  case when lang <> 'fr' then rtrim(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) else concat(text, chr(13), chr(10), chr(10)) end as body,
+  case when lang = 'fr' then 'Pass canonical sources in their own column' end as error from documents"""
+ORACLES["query_vectors"] = """with v as (select doc_id, length(source)::double as a, (length(source) - length(replace(source, '1', '')))::double as b from documents)
+select doc_id as query_id, round(a / sqrt(a * a + b * b + 1), 6) as first, round(b / sqrt(a * a + b * b + 1), 6) as second from v"""

@@ -710,3 +710,51 @@ def requirement_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit('{"priority":"p'), (F.col("p_size") % 4).cast("string"), F.lit('"}')).alias("extensions"),
     )
     return pageops.requirement_counts(rows)
+
+
+@query
+def directory_index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index file lines of all folders with their headings."""
+    docs = corpora.docs_corpus(spark, sf_dir).select("id", "title")
+    return registry.render_directory_index(registry.directory_index(docs, "Corpus"))
+
+
+@query
+def index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = registry.build_registry(corpora.docs_corpus(spark, sf_dir))
+    return registry.render_index_by_type(built, "2024-07-01")
+
+
+@query
+def lint_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _marked(spark, sf_dir)
+    resolved = links.resolve_links(links.extract_links(docs), docs)
+    inbound = links.inbound_counts(docs, links.edges(resolved))
+    report = lint.lint_report(lint.lint_summary(docs, resolved, inbound), lint.findings(docs, resolved, inbound), "2024-07-01")
+    return report.select(F.col("part").cast("bigint").alias("part"), "line")
+
+
+@query
+def create_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpora.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
+        F.concat(
+            F.lit('{"type":"note","own":{"n":'), F.col("doc_id").cast("string"), F.lit('},"title":"'), "source",
+            F.when(F.col("lang") == "fr", '","sources":"x"}').otherwise('"}'),
+        ).alias("fields"),
+        F.concat("text", F.lit("\r\n\n")).alias("body"), F.lit(None).cast("string").alias("sources"),
+    )
+    good, bad = srcdocs.create_documents(rows)
+    return good.select("path", "frontmatter", "extensions", "body", F.lit(None).cast("string").alias("error")).unionByName(
+        bad.select("path", F.lit(None).cast("string").alias("frontmatter"), F.lit(None).cast("string").alias("extensions"), "body", "error")
+    )
+
+
+@query
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of page titles as queries; titles that normalise alike are embedded once."""
+    asked = corpora.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("query_id"), F.col("source").alias("query")
+    )
+    found = emb.embed_queries(asked, lambda texts: [[float(len(t)), float(t.count("1")), 1.0] for t in texts])
+    return found.select("query_id", F.round(F.get("vector", F.lit(0)), 6).alias("first"), F.round(F.get("vector", F.lit(1)), 6).alias("second"))

@@ -178,6 +178,30 @@ def serialise_documents(documents: DataFrame) -> DataFrame:
     return documents.select("path", text.alias("content"))
 
 
+def create_documents(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, rejected) of rows(path, fields, body, sources): fields and sources as JSON.
+
+    Standard fields and extensions are told apart; `sources` among the fields is rejected.
+    """
+    members = F.try_parse_json("fields").cast("map<string,variant>")
+    checked = computed_once(rows, {"_f": members})
+    bad = F.coalesce(F.map_contains_key("_f", F.lit("sources")), F.lit(False))
+    part = lambda standard: F.to_json(
+        F.map_filter("_f", lambda k, v: k.isin(STANDARD_KEYS) if standard else ~k.isin(STANDARD_KEYS))
+    )
+    documents = checked.where(~bad).select(
+        document_id(F.col("path")).alias("id"), "path",
+        F.try_variant_get(F.try_parse_json("fields"), "$.type", "string").alias("type"),
+        part(True).alias("frontmatter"), part(False).alias("extensions"),
+        F.when(F.col("sources").isNull(), "absent").otherwise("canonical").alias("sources_kind"), "sources",
+        F.regexp_replace(F.regexp_replace("body", "\r\n?", "\n"), r"\n*\z", "").alias("body"),
+    )
+    rejected = checked.where(bad).drop("_f").withColumn(
+        "error", F.lit("Pass canonical sources in their own column")
+    )
+    return documents, rejected
+
+
 def patch_documents(documents: DataFrame, patches: DataFrame) -> DataFrame:
     """Overwrite the fields a patch names and, if given, the body; all other values survive.
 

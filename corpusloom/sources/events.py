@@ -150,6 +150,22 @@ def activity_log(raw_events: DataFrame) -> DataFrame:
     )
 
 
+def render_activity_log(raw_events: DataFrame) -> DataFrame:
+    """The activity log as ordered rows of one text column."""
+    entries = activity_log(raw_events)
+    lines = entries.select(
+        "seq", F.concat("heading", F.lit("\n"), F.when(F.col("details") != "", F.concat("details", F.lit("\n"))).otherwise("")).alias("value")
+    )
+    head = entries.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(-1).cast("bigint").alias("seq"),
+        F.concat(
+            F.lit("# Activity Log\n\n> Auto-generated from meta/events.jsonl. Do not edit manually.\n"),
+            F.when(F.col("n") == 0, "\n_No events recorded yet._\n").otherwise(""),
+        ).alias("value"),
+    )
+    return lines.unionByName(head).orderBy("seq").select("value")
+
+
 def accept_events(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split event requests(kind, details JSON) into accepted and rejected(…, error).
 

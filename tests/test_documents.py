@@ -176,3 +176,54 @@ def test_observation_pages(spark):
     row = pageops.observations_to_documents(df).first()
     assert row["id"] == "sources/obs-2024-01-02-" and row["replaced"] == 1 and row["tags"] == ["a", "b"]
     assert row["body"] == "# 📝 Observation: 题\n\nc2\n\n*Relevance: other*\n*Context: ctx*\n*Tags: a b*\n\n---\n*Observed: t2*"
+
+
+def index_text(spark, rows, title):
+    from corpusloom.operators.registry import directory_index, render_directory_index
+
+    docs = spark.createDataFrame(rows, "id string, title string, description string")
+    out = {}
+    for row in render_directory_index(directory_index(docs, title)).collect():
+        out.setdefault(row["dir"], []).append(row["line"])
+    return {folder: "\n".join(lines) + "\n" for folder, lines in out.items()}
+
+
+def test_directory_index_golden(spark):
+    got = index_text(spark, [
+        ("concepts/nested/deep", "Deep", "Deep concept."), ("welcome", "Welcome", "Entry point."),
+        ("concepts/retrieval augmented", "RAG [safe]", "Grounds  generation\nusing evidence."),
+    ], "Example Wiki")
+    assert sorted(got) == ["", "concepts", "concepts/nested"]
+    assert got[""] == (
+        '---\nokf_version: "0.2"\n---\n\n# Example Wiki\n\n## Directories\n\n- [concepts/](concepts/)\n\n'
+        "## Concepts\n\n- [Welcome](welcome.md) — Entry point.\n"
+    )
+    assert got["concepts"] == (
+        "# concepts\n\n## Directories\n\n- [nested/](nested/)\n\n## Concepts\n\n"
+        "- [RAG \\[safe\\]](retrieval%20augmented.md) — Grounds generation using evidence.\n"
+    )
+
+
+def test_empty_directory_index(spark):
+    assert index_text(spark, [], "Wiki") == {"": '---\nokf_version: "0.2"\n---\n\n# Wiki\n'}
+
+
+def test_page_index(spark):
+    from corpusloom.operators.registry import build_registry, render_index_by_type
+
+    docs = spark.createDataFrame([("b/y", "skill", None, None), ("a/x", "concept", "X", "2024-01-01")], "id string, type string, title string, created string")
+    text = "\n".join(r["value"] for r in render_index_by_type(build_registry(docs), "now").collect())
+    assert text == (
+        "# Wiki Index\n\n> Auto-generated from meta/registry.json. Do not edit manually.\n\n"
+        "## Concepts\n\n- [[a/x]] — X *(created: 2024-01-01)*\n\n## Skills\n\n- [[b/y]] — y *(created: unknown)*\n\n"
+        "---\n*Last updated: now* | *Total pages: 2*"
+    )
+
+
+def test_created_documents(spark):
+    rows = spark.createDataFrame([("a.md", '{"type":"x","k":1,"tags":["a"]}', "b\r\n\n", '[{"id":"S"}]'), ("b.md", '{"type":"x","sources":[]}', "", None)], "path string, fields string, body string, sources string")
+    good, bad = src.create_documents(rows)
+    row = good.first()
+    assert (row["frontmatter"], row["extensions"], row["body"]) == ('{"tags":["a"],"type":"x"}', '{"k":1}', "b")
+    assert bad.count() == 1
+    assert src.serialise_documents(good).first()["content"] == "---\ntype: x\ntags:\n  - a\nsources:\n  - id: S\nk: 1\n---\n\nb\n"

@@ -27,7 +27,7 @@ def raw(spark, lines):
 def test_day_log_golden(spark):
     parsed = ev.parse_events(raw(spark, LINES))
     text = "\n".join(r["value"] for r in ev.render_day_log(ev.valid_events(parsed)).collect())
-    assert text.replace("\n\n\n", "\n\n") == GOLDEN
+    assert text == GOLDEN
     codes = {r["message"]: r["code"] for r in ev.event_diagnostics(parsed).collect()}
     assert codes == {"Invalid JSON at line 2": "event_invalid_json", "Invalid timestamp at line 5": "event_invalid_timestamp"}
 
@@ -52,6 +52,13 @@ def test_activity_log_keeps_member_order(spark):
     assert [r["seq"] for r in rows] == [0, 2, 3, 4]
 
 
+def test_activity_log_text(spark):
+    text = "\n".join(r["value"] for r in ev.render_activity_log(raw(spark, LINES[3:4])).collect())
+    head = "# Activity Log\n\n> Auto-generated from meta/events.jsonl. Do not edit manually.\n"
+    assert text == head + "\n## [2026-08-02T10:00:00.000Z] observe\n"
+    assert ev.render_activity_log(raw(spark, ["no"])).first()["value"] == head + "\n_No events recorded yet._\n"
+
+
 def test_append_and_read(spark, tmp_path):
     path = str(tmp_path / "events")
     none, diagnostics = ev.read_event_lines(spark, path)
