@@ -18,11 +18,10 @@ from .skew import lookup_join
 
 WIKILINK = r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"
 _INLINE = r"\[[^\[\]]*\]\(([^()\s]+)\)"
-# Anything that makes plain pattern matching differ from a CommonMark reading.
-_NEEDS_SCAN = (
-    r"[`<\\&]|!\[|\]:|(?m:^(?: {4}| {0,3}\t|~~~))"
-    r"|\](?:\((?![^()\s\"']+\)))|\[[^\[\]]*\n[^\[\]]*\]\("
-)
+# Anything that makes plain pattern matching differ from a CommonMark reading: code, HTML,
+# escapes, images, definitions, indented lines, unusual targets, link texts over two lines.
+_SCAN_MARKS = ("`", "<", "\\", "![", "]:", "\n    ", "\t", "~~~")
+_SCAN_TARGET = r"\]\((?![^()\s\"'&]+\))|\[[^\[\]]*\n[^\[\]]*\]\("
 _LINKS = T.ArrayType(
     T.StructType([T.StructField("target", T.StringType()), T.StructField("offset", T.IntegerType())])
 )
@@ -41,10 +40,17 @@ def _targets(matches: Column) -> Column:
     )
 
 
+def _needs_scan(body: Column) -> Column:
+    found = body.startswith("    ")
+    for mark in _SCAN_MARKS:
+        found = found | body.contains(mark)
+    return found | body.rlike(_SCAN_TARGET)
+
+
 def markdown_link_targets(body: Column) -> Column:
     """Array of struct(target, offset); offset is NULL where the pattern pass found the link."""
     fast = _targets(F.regexp_extract_all(body, F.lit(_INLINE), F.lit(1)))
-    return F.coalesce(_scan(F.when(body.rlike(_NEEDS_SCAN), body)), fast)
+    return F.coalesce(_scan(F.when(_needs_scan(body), body)), fast)
 
 
 def wikilink_targets(body: Column) -> Column:
@@ -82,13 +88,13 @@ def extract_links(docs: DataFrame) -> DataFrame:
 def resolve_links(links: DataFrame, docs: DataFrame) -> DataFrame:
     """Links with a `known` flag: does dst name a document? Popular targets are split.
 
-    The links are checkpointed first: bodies are scanned once, and finding popular targets,
-    the join and its consumers all read the small link rows.
+    Links are checkpointed before and after: bodies are scanned once, and finding popular
+    targets, the join and all its consumers read the small link rows.
     """
     links = materialise(links)
     known = docs.select(F.col("id").alias("dst"), F.lit(True).alias("known"))
     joined = lookup_join(links, known, "dst", "left", salt_by=F.struct("src", "seq"))
-    return joined.withColumn("known", F.coalesce("known", F.lit(False)))
+    return materialise(joined.withColumn("known", F.coalesce("known", F.lit(False))))
 
 
 def edges(resolved: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from ..session import materialise
 # A key is hot when it holds more than 1/HOT_SHARE of all rows: at most HOT_SHARE keys.
 HOT_SHARE = 64
 SALTS = 64
+# Fewer left rows than this fit any task: no key can be too hot.
+SMALL_ROWS = 200_000
 
 
 def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
@@ -25,9 +27,11 @@ def lookup_join(
 
     Rows of a hot key spread over SALTS tasks and the one matching right row is copied
     to each; cold keys are not copied. The hot list is bounded (see hot_keys), so it is
-    the only thing broadcast.
+    the only thing broadcast. Inputs counted as small join directly.
     """
-    hot = F.broadcast(hot_keys(left, key).select(F.col(key).alias("_hot")))
+    if left.count() <= SMALL_ROWS:
+        return left.join(right, key, how)
+    hot = F.broadcast(materialise(hot_keys(left, key).select(F.col(key).alias("_hot"))))
     salt_source = salt_by if salt_by is not None else F.struct(*[F.col(c) for c in left.columns])
     left_salted = left.join(hot, F.col(key) == F.col("_hot"), "left").withColumn(
         "_salt",
@@ -58,17 +62,18 @@ def range_slices(df: DataFrame, order: list[Column], slices: int | None = None)
 
 def with_positions(
     df: DataFrame, group: list[str], order: list[str], name: str = "position",
-    slices: int | None = None,
+    slices: int | None = None, narrow: bool = False,
 ) -> DataFrame:
     """1-based position of each row within its group, no group confined to one task.
 
     `order` columns (ascending, not NULL) must be unique within a group. Local numbers are
     taken per (group, slice); the offset of a slice is the sum of the group's earlier slices,
     of which there are at most as many as slices. Only the key columns are sliced and
-    checkpointed; wide rows get their number by one join on the unique key.
+    checkpointed, and wide rows get their number by one join on the unique key; `narrow` rows
+    are carried along instead.
     """
-    cols = group + order
-    sliced = range_slices(df.select(*cols), [F.col(c) for c in cols], slices)
+    cols = df.columns if narrow else group + order
+    sliced = range_slices(df.select(*cols), [F.col(c) for c in group + order], slices)
     part = group + ["_slice"]
     sizes = sliced.groupBy(*part).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(
@@ -80,4 +85,4 @@ def with_positions(
     positions = numbered.join(offsets.drop("_size"), part).select(
         *cols, (F.col("_offset") + F.col("_local")).cast("bigint").alias(name)
     )
-    return positions if set(df.columns) == set(cols) else df.join(positions, cols)
+    return positions if set(df.columns) == set(cols) else df.join(positions, group + order)

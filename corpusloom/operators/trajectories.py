@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import collapse_space, left_units, trim_space
+from ..session import computed_once
 from ..sources.packets import daily_ids
 from .skew import with_positions
 
@@ -43,10 +44,15 @@ def message_steps(entries: DataFrame) -> DataFrame:
     entries(session_id, turn, entry): entry is the JSON of one session entry. Entries that are
     no message, and assistant messages without text and tool calls, give no step.
     """
+    rows = computed_once(entries, {"_m": F.from_json("entry", _ENTRY)})
     message = F.col("_m.message")
-    role, content = message["role"], message["content"]
+    content = F.col("content")
+    rows = rows.where(
+        (F.col("_m.type") == "message") & message["role"].isin("user", "assistant", "toolResult")
+    ).withColumns({"role": message["role"], "content": message["content"]})
+    rows = computed_once(rows, {"_calls": _blocks(content, "toolCall"), "_text": _content_text(content, TEXT_UNITS)})
     calls = F.transform(
-        _blocks(content, "toolCall"),
+        "_calls",
         lambda b: F.struct(
             F.coalesce(F.try_variant_get(b, "$.id", "string"), F.lit("")).alias("id"),
             F.coalesce(F.try_variant_get(b, "$.name", "string"), F.lit("unknown")).alias("name"),
@@ -54,23 +60,17 @@ def message_steps(entries: DataFrame) -> DataFrame:
         ),
     )
     no_calls = F.array().cast("array<struct<id:string,name:string,arguments:string>>")
-    is_tool = role == "toolResult"
-    steps = (
-        entries.withColumn("_m", F.from_json("entry", _ENTRY))
-        .where((F.col("_m.type") == "message") & role.isin("user", "assistant", "toolResult"))
-        .select(
-            "session_id", "turn", F.when(is_tool, "tool").otherwise(role).alias("role"),
-            F.when(is_tool, _content_text(content, TOOL_UNITS))
-            .otherwise(_content_text(content, TEXT_UNITS)).alias("text"),
-            F.when(role == "assistant", message["model"]).alias("model"),
-            F.when(role == "assistant", calls).otherwise(no_calls).alias("tool_calls"),
-            F.when(is_tool, message["toolCallId"]).alias("tool_call_id"),
-            F.when(is_tool, message["toolName"]).alias("tool_name"),
-            F.when(is_tool, F.coalesce(message["isError"], F.lit(False))).alias("is_error"),
-        )
+    is_tool, is_assistant = F.col("role") == "toolResult", F.col("role") == "assistant"
+    silent = is_assistant & (F.col("_text") == "") & (F.size("_calls") == 0)
+    return rows.where(~silent).select(
+        "session_id", "turn", F.when(is_tool, "tool").otherwise(F.col("role")).alias("role"),
+        F.when(is_tool, left_units(F.col("_text"), TOOL_UNITS)).otherwise(F.col("_text")).alias("text"),
+        F.when(is_assistant, message["model"]).alias("model"),
+        F.when(is_assistant, calls).otherwise(no_calls).alias("tool_calls"),
+        F.when(is_tool, message["toolCallId"]).alias("tool_call_id"),
+        F.when(is_tool, message["toolName"]).alias("tool_name"),
+        F.when(is_tool, F.coalesce(message["isError"], F.lit(False))).alias("is_error"),
     )
-    silent = (F.col("role") == "assistant") & (F.col("text") == "") & (F.size("tool_calls") == 0)
-    return steps.where(~silent)
 
 
 def tool_calls(steps: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def tool_usage(calls: DataFrame) -> DataFrame:
 
 def tool_sequence(calls: DataFrame) -> DataFrame:
     """Tool calls numbered through the session: (session_id, position, line)."""
-    numbered = with_positions(calls, ["session_id"], ["turn", "pos"])
+    numbered = with_positions(calls, ["session_id"], ["turn", "pos"], narrow=True)
     return numbered.select(
         "session_id", "position",
         F.concat(F.col("position").cast("string"), F.lit(". `"), "name", F.lit("`")).alias("line"),
@@ -110,7 +110,7 @@ def session_summary(steps: DataFrame) -> DataFrame:
 def trajectories(steps: DataFrame, day: str, existing: DataFrame | None = None) -> DataFrame:
     """Packet manifests, one per session: id, title, prompt, model, outcome, counts."""
     rows = session_summary(steps).withColumns({"day": F.lit(day), "capture_order": F.col("session_id")})
-    numbered = daily_ids(rows, "TRJ", existing)
+    numbered = daily_ids(rows, "TRJ", existing, narrow=True)
     line = left_units(collapse_space(F.col("prompt")), TITLE_UNITS)
     return numbered.select(
         "session_id", "id", F.col("day").alias("captured"), "prompt",
@@ -138,7 +138,7 @@ def summary_lines(packets: DataFrame, usage: DataFrame, sequence: DataFrame) ->
     )
     ids = packets.select("session_id", "id")
     tools = with_positions(
-        usage.join(ids, "session_id").withColumn("_n", -F.col("calls")), ["id"], ["_n", "first_turn", "first_pos"]
+        usage.join(ids, "session_id").withColumn("_n", -F.col("calls")), ["id"], ["_n", "first_turn", "first_pos"], narrow=True
     ).select(
         "id", F.lit(1).alias("section"), "position",
         F.concat(F.col("name"), F.lit("×"), F.col("calls").cast("string")).alias("line"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import spread
+from ..session import computed_once, spread
 
 
 TEXT_TABLES = {"documents", "pages", "events", "conversations"}
@@ -41,13 +41,12 @@ def docs_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = F.when(
         F.col("doc_id") % 10 == 0, " [x](../../out.md) [e](https://example.com/y.md)"
     ).otherwise("")
-    return docs.select(
-        F.concat(F.lit("docs/"), _text("doc_id")).alias("id"),
-        F.concat(
-            "text", F.lit("\n\n[a](/docs/"), number(7, 3), F.lit(".md) [b]("), number(11, 1),
-            F.lit(".md#s) [[docs/"), number(13, 5), F.lit("|w]]"), extra,
-        ).alias("body"),
+    body = F.concat(
+        "text", F.lit("\n\n[a](/docs/"), number(7, 3), F.lit(".md) [b]("), number(11, 1),
+        F.lit(".md#s) [[docs/"), number(13, 5), F.lit("|w]]"), extra,
     )
+    rows = docs.select(F.concat(F.lit("docs/"), _text("doc_id")).alias("id"), body.alias("_body"))
+    return computed_once(rows, {"body": F.col("_body")}).drop("_body")
 
 
 def docs_headed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ def rebuild(
         for folder, rows in (packets or {}).items()
     ]
     table = registry.full_registry(documents, *fallbacks)
-    resolved = materialise(links.resolve_links(links.extract_links(documents), documents))
+    resolved = links.resolve_links(links.extract_links(documents), documents)
     edge_rows = links.edges(resolved)
     unresolved = links.unresolved_links(resolved)
     inbound = links.inbound_counts(documents, edge_rows)

@@ -68,10 +68,11 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Hint a broadcast after counting that df has at most `rows` rows; else leave it to a shuffle.
 
     For narrow sides joined to page texts: a broadcast keeps the texts from being shuffled.
     Pass a materialised or cheap df, it is read twice.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    most = BROADCAST_ROWS if rows is None else rows
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -107,7 +107,7 @@ def day_log(events: DataFrame) -> DataFrame:
 def day_log_positions(events: DataFrame) -> DataFrame:
     """Log lines numbered within their day, however many a day has."""
     lines = day_log(events).withColumns({"_ms": -F.col("epoch_ms"), "_seq": -F.col("seq")})
-    return with_positions(lines, ["event_date"], ["_ms", "_seq"]).drop("_ms", "_seq")
+    return with_positions(lines, ["event_date"], ["_ms", "_seq"], narrow=True).drop("_ms", "_seq")
 
 
 def render_day_log(events: DataFrame) -> DataFrame:

@@ -11,13 +11,15 @@ from ..operators.skew import with_positions
 from . import convert
 
 
-def daily_ids(rows: DataFrame, prefix: str, existing: DataFrame | None = None, name: str = "id") -> DataFrame:
+def daily_ids(
+    rows: DataFrame, prefix: str, existing: DataFrame | None = None, name: str = "id", narrow: bool = False
+) -> DataFrame:
     """Add ids PREFIX-day-NNN in capture order, going on from the day's highest existing number.
 
     rows(day, capture_order, ...). All rows may fall on one day: numbering is spread over
     slices, see operators.skew.with_positions.
     """
-    numbered = with_positions(rows, ["day"], ["capture_order"], "_n")
+    numbered = with_positions(rows, ["day"], ["capture_order"], "_n", narrow=narrow)
     if existing is not None:
         used = existing.select(
             F.regexp_extract("id", rf"^{prefix}-(\d{{4}}-\d{{2}}-\d{{2}})-(\d+)$", 1).alias("day"),

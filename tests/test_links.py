@@ -3,7 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions.commonmark import markdown_links
-from corpusloom.operators import lint, links
+from corpusloom.operators import lint, links, skew
 from corpusloom.operators.skew import hot_keys, lookup_join, with_positions
 
 BODY = "\n".join([
@@ -68,8 +68,9 @@ def test_lint_pair(spark):
     assert [(s["id"], s["title"], s["mentions"]) for s in stubs] == [("concepts/missing-topic", "missing topic", 2)]
 
 
-def test_hot_lookup_keeps_every_row(spark):
+def test_hot_lookup_keeps_every_row(spark, monkeypatch):
     """One key holds most rows: it is found hot, split, and joins like any other."""
+    monkeypatch.setattr(skew, "SMALL_ROWS", 0)
     left = spark.range(20_000).select(
         F.col("id").alias("n"), F.when(F.col("id") % 5 < 4, "hot").otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("key")
     )
@@ -91,5 +92,8 @@ def test_positions_span_slices(spark):
     got = with_positions(df, ["g"], ["o"], slices=7)
     from pyspark.sql import Window
 
+    wide = with_positions(df.withColumn("text", F.repeat(F.lit("x"), 5)), ["g"], ["o"], slices=7)
+    carried = with_positions(df.withColumn("text", F.repeat(F.lit("x"), 5)), ["g"], ["o"], slices=3, narrow=True)
+    assert wide.drop("text").exceptAll(got).isEmpty() and carried.drop("text").exceptAll(got).isEmpty()
     want = df.withColumn("position", F.row_number().over(Window.partitionBy("g").orderBy("o")).cast("bigint"))
     assert got.exceptAll(want.select(got.columns)).isEmpty() and got.count() == 10_000
