@@ -20,7 +20,7 @@ from ..functions.text import (
     SEPARATORS, _UNSTABLE, blank_to_null, collapse_space, compact_fold, compact_text, left_units,
     normalize_text, terms_of, trim_space,
 )
-from ..functions.vectors import SEMANTIC_MIN_COSINE, SEMANTIC_SCALE, SEMANTIC_WEIGHT, fuse_scores
+from ..functions.vectors import SEMANTIC_MIN_COSINE, SEMANTIC_SCALE, SEMANTIC_WEIGHT, cosine_similarity, fuse_scores
 from ..session import computed_once, materialise
 from .chunks import chunk_array, chunk_preview, page_preview
 from .registry import semantic_title, with_fields
@@ -46,6 +46,8 @@ STOP_WORDS = (
 
 # Queries answered per scan of the pages; more are answered in further scans.
 QUERIES_PER_SCAN = 2000
+# Up to this many queries are scored by JVM expressions over the stored index.
+FEW_QUERIES = 3
 # Pages scored at a time within a task.
 BLOCK_ROWS = 512
 
@@ -269,6 +271,45 @@ def _scorer(batch: _Batch, weight: float, keep_lexical: int, keep_fused: int):
     return score
 
 
+def _hits(text: Column, terms: list[str]) -> Column:
+    """How many of the compact terms the compact text contains; repeated terms count again."""
+    total = F.lit(0.0)
+    for term in terms:
+        total = total + F.when(text.contains(F.lit(term)), 1.0).otherwise(0.0)
+    return total
+
+
+def _score_few(index: DataFrame, rows, vectors: dict) -> DataFrame:
+    """Score pages for a handful of queries with JVM expressions, no Python workers."""
+    found = []
+    for row in rows:
+        terms = [t.replace(" ", "") for t in row["terms"]]
+        fields = F.zip_with("weights", "texts", lambda w, t: w * _hits(t, terms))
+        numbers = F.sequence(F.lit(0), (F.size("sections") / 2 - 1).cast("int"))
+        scores = F.transform(
+            numbers,
+            lambda i: _hits(F.get(F.col("sections"), 2 * i), terms) * HEADING_WEIGHT
+            + _hits(F.get(F.col("sections"), 2 * i + 1), terms) * CONTENT_WEIGHT,
+        )
+        vector = vectors.get(row["query_id"])
+        cosine = F.lit(0.0) if vector is None else cosine_similarity(
+            F.col("vector"), F.array(*[F.lit(float(x)) for x in vector])
+        )
+        found.append(F.struct(
+            F.lit(row["query_id"]).cast("bigint").alias("query_id"),
+            F.aggregate(fields, F.lit(0.0), lambda acc, v: acc + v).alias("field_score"),
+            F.when(F.size("sections") > 0, scores).alias("scores"), cosine.alias("cosine"),
+        ))
+    rows = index.select("vault", "id", F.inline(F.array(*found)))
+    rows = computed_once(rows, {"best": F.coalesce(F.array_max("scores"), F.lit(0.0))})
+    scored = rows.select(
+        "query_id", "vault", "id", (F.col("field_score") + F.col("best")).alias("lexical"),
+        F.when(F.col("best") > 0, F.array_position("scores", F.col("best")) - 1).otherwise(-1).cast("int").alias("chunk_no"),
+        "cosine",
+    )
+    return scored.where((F.col("lexical") > 0) | (F.col("cosine") >= SEMANTIC_MIN_COSINE))
+
+
 def score_pages(
     index: DataFrame, queries: DataFrame, query_vectors: DataFrame | None = None,
     weight: float = SEMANTIC_WEIGHT, keep: int = BOOSTED_PAGES, total: int | None = None,
@@ -276,7 +317,7 @@ def score_pages(
     """scored(query_id, vault, id, lexical, chunk_no, cosine) of rows that may rank in `keep`.
 
     Terms of at most QUERIES_PER_SCAN queries are on the driver at a time; larger batches
-    scan the pages once per slice of queries.
+    scan the pages once per slice of queries. A few queries stay on the JVM.
     """
     total = queries.count() if total is None else total
     slices = max(1, -(-total // QUERIES_PER_SCAN))
@@ -290,6 +331,8 @@ def score_pages(
         if query_vectors is not None:
             mine = query_vectors.join(part.select("query_id"), "query_id", "left_semi")
             vectors = {r["query_id"]: r["vector"] for r in mine.select("query_id", "vector").collect()}
+        if 0 < total <= FEW_QUERIES:
+            return _score_few(index, rows, vectors)
         batch = _Batch(rows, vectors)
         scored = index.mapInPandas(_scorer(batch, weight, max(keep, BOOSTED_PAGES), keep), _SCORED)
         out = scored if out is None else out.unionAll(scored)

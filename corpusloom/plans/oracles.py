@@ -649,3 +649,8 @@ ORACLES["create_documents"] = r"""select concat('notes/', cast(doc_id as varchar
   case when lang = 'fr' then 'Pass canonical sources in their own column' end as error from documents"""
 ORACLES["query_vectors"] = """with v as (select doc_id, length(source)::double as a, (length(source) - length(replace(source, '1', '')))::double as b from documents)
 select doc_id as query_id, round(a / sqrt(a * a + b * b + 1), 6) as first, round(b / sqrt(a * a + b * b + 1), 6) as second from v"""
+
+_SINGLE = """bq as (select 1 as query_id, concat(lang, ' ', source, ' the tion') as query from (
+  select lang, count(*) as n, min(source) as source from documents group by lang order by n desc, lang desc limit 1))"""
+ORACLES["recall_single"] = f"""with {recall_ctes().replace(BENCH, _SINGLE)}
+select k as query_id, rank, id, title, type, preview, round(score, 6) as score from detail where rank <= 10"""

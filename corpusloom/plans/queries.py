@@ -230,6 +230,16 @@ def recall_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def recall_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One query, scored on the JVM: the most frequent language's name and source as query text."""
+    asked = corpora.table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("source"))
+    asked = asked.agg(F.max_by(F.struct("lang", "source"), F.struct("n", "lang")).alias("q")).select("q.*").select(
+        F.lit(1).cast("bigint").alias("query_id"), F.concat("lang", F.lit(" "), "source", F.lit(" the tion")).alias("query")
+    )
+    return _rounded(rc.recall(corpora.docs_headed(spark, sf_dir), asked, 10))
+
+
 def _rounded(results):
     return results.withColumn("score", F.round("score", 6)).drop("vault")
 

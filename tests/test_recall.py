@@ -115,9 +115,10 @@ def random_pages(seed, count):
     return rows
 
 
-@pytest.mark.parametrize("seed, block", [(1, 512), (2, 7)])
-def test_batch_recall_matches_page_by_page_reading(spark, monkeypatch, seed, block):
+@pytest.mark.parametrize("seed, block, few", [(1, 512, 0), (2, 7, 0), (3, 512, 20)])
+def test_batch_recall_matches_page_by_page_reading(spark, monkeypatch, seed, block, few):
     monkeypatch.setattr(rc, "BLOCK_ROWS", block)
+    monkeypatch.setattr(rc, "FEW_QUERIES", few)
     rows = random_pages(seed, 90)
     queries = ["login form", "继续学习pi", "Postgres", "数据库 cache", "！！", "proxy key value", "日", "strasse abc"]
     got = ranked(rc.recall(pages(spark, rows).repartition(5), asked(spark, *queries), 6))
@@ -125,8 +126,9 @@ def test_batch_recall_matches_page_by_page_reading(spark, monkeypatch, seed, blo
     assert got == want
 
 
-@pytest.mark.parametrize("weight", [0.5])
-def test_hybrid_recall_matches_page_by_page_reading(spark, weight):
+@pytest.mark.parametrize("few", [0, 20])
+def test_hybrid_recall_matches_page_by_page_reading(spark, monkeypatch, few, weight=0.5):
+    monkeypatch.setattr(rc, "FEW_QUERIES", few)
     rows = random_pages(3, 70)
     rng = random.Random(5)
     vector = lambda d: [rng.uniform(-1, 1) for _ in range(d)]
@@ -144,10 +146,11 @@ def test_hybrid_recall_matches_page_by_page_reading(spark, weight):
     assert got == want
 
 
-def test_many_ties_stay_bounded_and_ordered(spark):
+def test_many_ties_stay_bounded_and_ordered(spark, monkeypatch):
     """All pages score alike: a task hands on its first ids only, and the ranking is by id."""
     rows = [(f"p/{i:04}", "concept", "same words", None, None, None, None, "") for i in range(1500)]
     df = pages(spark, rows).repartition(3)
+    monkeypatch.setattr(rc, "FEW_QUERIES", 0)
     scored = rc.score_pages(rc.search_index(df), rc.prepare_queries(asked(spark, "same")))
     assert scored.count() <= 3 * 50
     assert [r[2] for r in ranked(rc.recall(df, asked(spark, "same"), 30))] == [f"p/{i:04}" for i in range(30)]
