@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..operators import links, lint, registry
-from ..session import materialise
+from ..session import broadcast_if_small, materialise
 from ..sources import documents as docs_source
 from ..sources import events as event_source
 
@@ -72,6 +73,14 @@ def rebuild(
     return Projections(True, diagnostics, frames)
 
 
+_MARKS = "name string, version bigint, kind string"
+
+
+def _mark(spark: SparkSession, root: str, names: list[str], version: int, kind: str) -> None:
+    rows = spark.createDataFrame([(name, version, kind) for name in names], _MARKS)
+    rows.coalesce(1).write.mode("append").parquet(f"{root}/_current")
+
+
 def publish(projections: Projections, root: str, version: int) -> bool:
     """Write every frame as root/<name>/v<version>, then make the version current.
 
@@ -82,28 +91,74 @@ def publish(projections: Projections, root: str, version: int) -> bool:
         return False
     for name, frame in projections.frames.items():
         frame.write.mode("overwrite").parquet(f"{root}/{name}/v{version}")
-    spark = projections.diagnostics.sparkSession
-    marks = [(name, version) for name in projections.frames]
-    spark.createDataFrame(marks, "name string, version bigint").coalesce(1).write.mode("append").parquet(
-        f"{root}/_current"
-    )
+    _mark(projections.diagnostics.sparkSession, root, list(projections.frames), version, "base")
     return True
 
 
-def read_current(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    """The newest published version of a table, None before the first one."""
+def publish_changes(
+    spark: SparkSession, root: str, changes: dict[str, tuple[DataFrame, DataFrame]], version: int
+) -> None:
+    """Publish changed rows only: per table (keys, rows), where rows replace all rows of keys.
+
+    A key without rows is a deletion. Nothing else of the table is read or written.
+    """
+    for name, (keys, rows) in changes.items():
+        keys.distinct().write.mode("overwrite").parquet(f"{root}/{name}/d{version}/keys")
+        rows.write.mode("overwrite").parquet(f"{root}/{name}/d{version}/rows")
+    _mark(spark, root, list(changes), version, "changes")
+
+
+def _versions(spark: SparkSession, root: str, name: str, before: int | None) -> tuple[int | None, list[int]]:
+    """(newest base version, versions of the changes after it)."""
     try:
-        marks = spark.read.schema("name string, version bigint").parquet(f"{root}/_current")
+        marks = spark.read.schema(_MARKS).parquet(f"{root}/_current")
     except AnalysisException:
+        return None, []
+    marks = marks.where(F.col("name") == name)
+    if before is not None:
+        marks = marks.where(F.col("version") < before)
+    # One row per published version of one table.
+    rows = marks.select("version", "kind").distinct().collect()
+    base = max((r["version"] for r in rows if r["kind"] == "base"), default=None)
+    later = sorted(r["version"] for r in rows if r["kind"] == "changes" and base is not None and r["version"] > base)
+    return base, later
+
+
+def read_current(spark: SparkSession, root: str, name: str, before: int | None = None) -> DataFrame | None:
+    """The table as published (before a version, if given); None before its first version.
+
+    Changes since the base replace the rows of their keys. Their keys are few, so the base is
+    filtered by a broadcast without a shuffle.
+    """
+    base, later = _versions(spark, root, name, before)
+    if base is None:
         return None
-    version = marks.where(F.col("name") == name).agg(F.max("version")).first()[0]
-    return None if version is None else spark.read.parquet(f"{root}/{name}/v{version}")
+    table = spark.read.parquet(f"{root}/{name}/v{base}")
+    if not later:
+        return table
+    read = lambda part: reduce(
+        DataFrame.unionByName,
+        [spark.read.parquet(f"{root}/{name}/d{v}/{part}").withColumn("_version", F.lit(v)) for v in later],
+    )
+    keys = read("keys")
+    key = next(c for c in keys.columns if c != "_version")
+    latest = keys.groupBy(key).agg(F.max("_version").alias("_version"))
+    rows = read("rows").join(broadcast_if_small(latest), [key, "_version"], "left_semi").drop("_version")
+    return table.join(broadcast_if_small(latest.select(key)), key, "left_anti").select(table.columns).unionByName(rows)
 
 
-def obsolete_versions(spark: SparkSession, root: str, keep: int = 2) -> DataFrame:
-    """Published versions (name, version) that newer ones have replaced."""
-    from pyspark.sql import Window
+def compact(spark: SparkSession, root: str, name: str, version: int) -> bool:
+    """Write the table as a new base if there are changes; run it when reading gets slow."""
+    _, later = _versions(spark, root, name, version)
+    if not later:
+        return False
+    read_current(spark, root, name, version).write.mode("overwrite").parquet(f"{root}/{name}/v{version}")
+    _mark(spark, root, [name], version, "base")
+    return True
 
-    marks = spark.read.schema("name string, version bigint").parquet(f"{root}/_current").distinct()
+
+def obsolete_versions(spark: SparkSession, root: str, keep: int = 2) -> DataFrame:
+    """Base versions (name, version) that newer ones have replaced."""
+    marks = spark.read.schema(_MARKS).parquet(f"{root}/_current").where("kind = 'base'").distinct()
     newest = Window.partitionBy("name").orderBy(F.desc("version"))
-    return marks.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") > keep).drop("_n")
+    return marks.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") > keep).select("name", "version")

@@ -1,52 +1,71 @@
-"""Incremental refresh: a micro-batch of changed pages updates the link graph and vectors."""
+"""Incremental refresh: a micro-batch of changed pages updates documents, links and vectors.
+
+Work follows the batch. The large tables are only scanned for a few columns against broadcast
+keys; what changed is published as changes to the current version, not as a new copy.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.paths import document_id
 from ..operators.embeddings import EmbedFn, refresh_embeddings
 from ..operators.links import extract_links, resolve_links
-from ..operators.skew import lookup_join
-from ..plans.rebuild import Projections, publish, read_current
-from ..session import materialise
+from ..plans.rebuild import Projections, publish, publish_changes, read_current
+from ..session import broadcast_if_small, materialise
 from ..sources.documents import discover_documents
 
+_STORE = "id string, hash string, model string, dim int, vector array<double>, updated string"
+
 
-def merge_documents(documents: DataFrame | None, changed: DataFrame, deleted: DataFrame) -> DataFrame:
-    """Documents after a batch: changed ones replaced or added, deleted(id) ones gone."""
-    if documents is None:
-        return changed
-    touched = changed.select("id").unionByName(deleted.select("id"))
-    return documents.join(touched, "id", "left_anti").unionByName(changed, allowMissingColumns=True)
+def _among(table: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of a large table whose column is one of few keys."""
+    return table.join(broadcast_if_small(keys), column, "left_semi")
 
 
-def refresh_links(
-    links: DataFrame, before: DataFrame, after: DataFrame, changed: DataFrame, deleted: DataFrame
-) -> DataFrame:
-    """Resolved links after a batch, equal to a full rebuild.
+def link_changes(
+    links: DataFrame, documents: DataFrame, changed: DataFrame, deleted: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """(sources, rows): the sources whose links a batch changes, and all their links after it.
 
-    Links of edited and deleted pages are replaced; other pages' links are kept, and only
-    their `known` flag follows ids that appeared or went.
+    links and documents are the tables before the batch. Edited and deleted pages change their
+    own links; pages that appear or go also change the `known` flag of links to them.
     """
-    touched = changed.select(F.col("id").alias("src")).unionByName(deleted.select(F.col("id").alias("src")))
-    added = changed.select("id").join(before.select("id"), "id", "left_anti").select(
-        F.col("id").alias("dst"), F.lit(True).alias("_now")
+    changed_ids, gone_ids = changed.select("id"), deleted.select("id")
+    existing = materialise(_among(documents.select("id"), changed_ids, "id"))
+    added = changed_ids.join(existing, "id", "left_anti")
+    flips = materialise(
+        added.select(F.col("id").alias("dst"), F.lit(True).alias("_now"))
+        .unionByName(gone_ids.select(F.col("id").alias("dst"), F.lit(False).alias("_now")))
     )
-    gone = deleted.select(F.col("id").alias("dst"), F.lit(False).alias("_now"))
-    kept = links.join(touched, "src", "left_anti")
-    kept = lookup_join(kept, added.unionByName(gone), "dst", "left", salt_by=F.struct("src", "seq"))
-    kept = kept.withColumn("known", F.coalesce("_now", "known")).drop("_now")
-    return kept.unionByName(resolve_links(extract_links(changed), after))
+    own = materialise(changed_ids.unionByName(gone_ids).select(F.col("id").alias("src")).distinct())
+
+    new_links = materialise(extract_links(changed))
+    targets = new_links.where("dst is not null").select(F.col("dst").alias("id")).distinct()
+    known = (
+        _among(documents.select("id"), targets, "id").join(gone_ids, "id", "left_anti")
+        .unionByName(changed_ids).distinct()
+    )
+    fresh = resolve_links(new_links, known)
+
+    pointing = _among(links.select("src", "dst"), flips.select("dst"), "dst").select("src").distinct()
+    pointing = materialise(pointing.join(own, "src", "left_anti"))
+    others = (
+        _among(links, pointing, "src").join(broadcast_if_small(flips), "dst", "left")
+        .withColumn("known", F.coalesce("_now", "known")).select(fresh.columns)
+    )
+    return own.unionByName(pointing), fresh.unionByName(others)
 
 
 def refresh_batch(
     batch: DataFrame, version: int, root: str, embed: EmbedFn | None = None, model: str = ""
 ) -> None:
-    """One coalesced pass over batch(path, content, deleted): publishes a new version under root.
+    """One coalesced pass over batch(path, content, deleted, mtime).
 
-    The newest row per path counts (`mtime` decides). A batch with a page that does not parse
-    publishes nothing, so the earlier version stays; vectors follow only after the pages.
+    The newest row per path counts. A batch with a page that does not parse publishes nothing,
+    so the earlier version stays; vectors follow only after the pages. Tables are read as they
+    were before `version`, so a repeated batch publishes the same again.
     """
     spark = batch.sparkSession
     last = batch.groupBy("path").agg(F.max_by(F.struct("content", "deleted"), "mtime").alias("r")).select("path", "r.*")
@@ -55,23 +74,26 @@ def refresh_batch(
     changed, diagnostics = materialise(changed), materialise(diagnostics)
     if not diagnostics.where("severity = 'error'").isEmpty():
         return
-    deleted = last.where("deleted").select(F.regexp_replace("path", r"\.md$", "").alias("id"))
-    before = read_current(spark, root, "documents")
-    links = read_current(spark, root, "links")
-    after = materialise(merge_documents(before, changed, deleted))
-    if before is None or links is None:
-        resolved = resolve_links(extract_links(after), after)
-    else:
-        resolved = refresh_links(links, before, after, changed, deleted)
-    frames = {"documents": after, "links": resolved}
-    if embed is not None:
-        store = read_current(spark, root, "embeddings")
-        if store is None:
-            store = spark.createDataFrame(
-                [], "id string, hash string, model string, dim int, vector array<double>, updated string"
-            )
-        frames["embeddings"] = refresh_embeddings(after, store, embed, model, str(version))
-    publish(Projections(True, diagnostics, frames), root, version)
+    deleted = last.where("deleted").select(document_id(F.col("path")).alias("id"))
+    documents = read_current(spark, root, "documents", version)
+    links = read_current(spark, root, "links", version)
+    empty = spark.createDataFrame([], _STORE)
+    if documents is None or links is None:
+        frames = {"documents": changed, "links": resolve_links(extract_links(changed), changed)}
+        if embed is not None:
+            frames["embeddings"] = refresh_embeddings(changed, empty, embed, model, str(version))
+        publish(Projections(True, diagnostics, frames), root, version)
+        return
+    touched = changed.select("id").unionByName(deleted)
+    changes = {
+        "documents": (touched, changed),
+        "links": link_changes(links, documents, changed, deleted),
+    }
+    store = read_current(spark, root, "embeddings", version)
+    if embed is not None and store is not None:
+        mine = materialise(_among(store, touched, "id"))
+        changes["embeddings"] = (touched, refresh_embeddings(changed, mine, embed, model, str(version)))
+    publish_changes(spark, root, changes, version)
 
 
 def refresh_stream(
@@ -79,8 +101,7 @@ def refresh_stream(
 ) -> StreamingQuery:
     """Run refresh_batch per micro-batch of changes(path, content, deleted, mtime), then stop.
 
-    All writes waiting at a trigger are one pass; writes during it make the next batch. A
-    batch that is retried writes the same version again.
+    All writes waiting at a trigger are one pass; writes during it make the next batch.
     """
     return (
         changes.writeStream.option("checkpointLocation", checkpoint)

@@ -10,9 +10,9 @@ from corpusloom.functions.vectors import cosine_similarity, normalize_vector
 from corpusloom.operators import embeddings as emb
 from corpusloom.operators import ingest, trajectories as traj
 from corpusloom.plans.queries import letter_counts as letters
-from corpusloom.plans.rebuild import obsolete_versions, publish, read_current, rebuild
+from corpusloom.plans.rebuild import compact, obsolete_versions, publish, read_current, rebuild
 from corpusloom.sources import convert, packets
-from corpusloom.streaming.refresh import refresh_stream
+from corpusloom.streaming.refresh import refresh_batch, refresh_stream
 
 
 def one(spark, value, expr):
@@ -289,7 +289,19 @@ def test_incremental_refresh_equals_rebuild(spark, tmp_path):
     )
     full = rebuild(final)
     columns = ["src", "seq", "syntax", "dst", "known"]
-    got = read_current(spark, str(tmp_path / "out"), "links").select(columns)
-    assert rows_of(got) == rows_of(full.frames["links"].select(columns))
-    store = {r["id"]: r["updated"] for r in read_current(spark, str(tmp_path / "out"), "embeddings").collect()}
-    assert store == {"concepts/b": "1", "concepts/c": "1"}
+    out = str(tmp_path / "out")
+
+    def check():
+        assert rows_of(read_current(spark, out, "links").select(columns)) == rows_of(full.frames["links"].select(columns))
+        assert rows_of(read_current(spark, out, "documents")) == rows_of(full.frames["documents"])
+        store = {r["id"]: r["updated"] for r in read_current(spark, out, "embeddings").collect()}
+        assert store == {"concepts/b": "1", "concepts/c": "1"}
+
+    check()
+    # A batch that runs again after it was published changes nothing.
+    again = spark.createDataFrame(batches[1], schema)
+    refresh_batch(again, 1, out, letters, "m")
+    check()
+    assert [compact(spark, out, name, 9) for name in ("documents", "links", "embeddings")] == [True] * 3
+    check()
+    assert not compact(spark, out, "links", 10)
