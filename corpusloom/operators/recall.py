@@ -20,8 +20,8 @@ from ..functions.text import (
     SEPARATORS, _UNSTABLE, blank_to_null, collapse_space, compact_fold, compact_text, left_units,
     normalize_text, terms_of, trim_space,
 )
-from ..functions.vectors import SEMANTIC_MIN_COSINE, SEMANTIC_SCALE, SEMANTIC_WEIGHT, cosine_similarity, fuse_scores
-from ..session import computed_once, materialise
+from ..functions.vectors import SEMANTIC_MIN_COSINE, SEMANTIC_SCALE, SEMANTIC_WEIGHT, fuse_scores
+from ..session import broadcast_if_small, computed_once, materialise
 from .chunks import chunk_array, chunk_preview, page_preview
 from .registry import semantic_title, with_fields
 
@@ -279,8 +279,8 @@ def _hits(text: Column, terms: list[str]) -> Column:
     return total
 
 
-def _score_few(index: DataFrame, rows, vectors: dict) -> DataFrame:
-    """Score pages for a handful of queries with JVM expressions, no Python workers."""
+def _score_few(index: DataFrame, rows) -> DataFrame:
+    """Lexical scores for a handful of queries with JVM expressions, no Python workers."""
     found = []
     for row in rows:
         terms = [t.replace(" ", "") for t in row["terms"]]
@@ -291,23 +291,18 @@ def _score_few(index: DataFrame, rows, vectors: dict) -> DataFrame:
             lambda i: _hits(F.get(F.col("sections"), 2 * i), terms) * HEADING_WEIGHT
             + _hits(F.get(F.col("sections"), 2 * i + 1), terms) * CONTENT_WEIGHT,
         )
-        vector = vectors.get(row["query_id"])
-        cosine = F.lit(0.0) if vector is None else cosine_similarity(
-            F.col("vector"), F.array(*[F.lit(float(x)) for x in vector])
-        )
         found.append(F.struct(
             F.lit(row["query_id"]).cast("bigint").alias("query_id"),
             F.aggregate(fields, F.lit(0.0), lambda acc, v: acc + v).alias("field_score"),
-            F.when(F.size("sections") > 0, scores).alias("scores"), cosine.alias("cosine"),
+            F.when(F.size("sections") > 0, scores).alias("scores"),
         ))
     rows = index.select("vault", "id", F.inline(F.array(*found)))
     rows = computed_once(rows, {"best": F.coalesce(F.array_max("scores"), F.lit(0.0))})
-    scored = rows.select(
+    return rows.select(
         "query_id", "vault", "id", (F.col("field_score") + F.col("best")).alias("lexical"),
         F.when(F.col("best") > 0, F.array_position("scores", F.col("best")) - 1).otherwise(-1).cast("int").alias("chunk_no"),
-        "cosine",
-    )
-    return scored.where((F.col("lexical") > 0) | (F.col("cosine") >= SEMANTIC_MIN_COSINE))
+        F.lit(0.0).alias("cosine"),
+    ).where(F.col("lexical") > 0)
 
 
 def score_pages(
@@ -317,7 +312,8 @@ def score_pages(
     """scored(query_id, vault, id, lexical, chunk_no, cosine) of rows that may rank in `keep`.
 
     Terms of at most QUERIES_PER_SCAN queries are on the driver at a time; larger batches
-    scan the pages once per slice of queries. A few queries stay on the JVM.
+    scan the pages once per slice of queries. A few queries without vectors stay on the JVM;
+    their rows are cut by the rank filter, which Spark applies before the shuffle.
     """
     total = queries.count() if total is None else total
     slices = max(1, -(-total // QUERIES_PER_SCAN))
@@ -331,8 +327,8 @@ def score_pages(
         if query_vectors is not None:
             mine = query_vectors.join(part.select("query_id"), "query_id", "left_semi")
             vectors = {r["query_id"]: r["vector"] for r in mine.select("query_id", "vector").collect()}
-        if 0 < total <= FEW_QUERIES:
-            return _score_few(index, rows, vectors)
+        if 0 < total <= FEW_QUERIES and query_vectors is None:
+            return _score_few(index, rows)
         batch = _Batch(rows, vectors)
         scored = index.mapInPandas(_scorer(batch, weight, max(keep, BOOSTED_PAGES), keep), _SCORED)
         out = scored if out is None else out.unionAll(scored)
@@ -432,8 +428,8 @@ def recall(
         ranked = scored.withColumn("rank", _rank("lexical")).where(
             F.col("rank") <= max(BOOSTED_PAGES, max_results)
         )
-    # At most BOOSTED_PAGES + max_results rows per query and vault: broadcast for one scan's queries.
-    wanted = ranked.select("query_id", "vault", "id", "lexical", "chunk_no", "base", "rank")
+    # At most BOOSTED_PAGES + max_results rows per query and vault.
+    wanted = materialise(ranked.select("query_id", "vault", "id", "lexical", "chunk_no", "base", "rank"))
     pages = with_fields(pages, META + ["body"])
     fetched = (
         pages.select(
@@ -442,7 +438,7 @@ def recall(
             *[_text(pages, n).alias(f"meta_{n}") for n in META if n != "title"],
             F.coalesce("body", F.lit("")).alias("body"),
         )
-        .join(F.broadcast(wanted) if total <= QUERIES_PER_SCAN else wanted, ["vault", "id"])
+        .join(broadcast_if_small(wanted), ["vault", "id"])
     )
     top = materialise(fetched.select("*", chunk_array(F.col("body")).alias("chunks")))
     expansion = _expansion_terms(top, prepared)

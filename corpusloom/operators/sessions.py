@@ -10,8 +10,11 @@ from .skew import range_slices
 REMINDER_TURNS = 5
 
 
-def reminder_state(events: DataFrame, turns: int = REMINDER_TURNS, slices: int | None = None) -> DataFrame:
-    """state(session_id, seq, counter, observed, emit) for every event.
+def reminder_state(
+    events: DataFrame, turns: int = REMINDER_TURNS, slices: int | None = None,
+    initial: DataFrame | None = None,
+) -> DataFrame:
+    """state(session_id, seq, ts, counter, observed, emit) for every event.
 
     events(session_id, seq, ts, action): action is session_start, compact, turn, retry, closed
     or observe. A turn counts; retry (will be retried) and closed (no corpus applies) do not.
@@ -19,7 +22,8 @@ def reminder_state(events: DataFrame, turns: int = REMINDER_TURNS, slices: int |
     counted turn emits once the counter reaches `turns` and nothing was observed.
 
     Running values are taken per (session, slice) and completed with what earlier slices of
-    the session carry over, so a long session spreads over many tasks.
+    the session carry over, so a long session spreads over many tasks. initial(session_id,
+    counter, observed) is the state sessions start from.
     """
     action = F.col("action")
     marked = events.select(
@@ -58,13 +62,23 @@ def reminder_state(events: DataFrame, turns: int = REMINDER_TURNS, slices: int |
         .withColumn("_seen", F.max("seen").over(in_seen))
         .withColumn("carry_turns", F.coalesce(F.last("_turns").over(before), F.lit(0)))
         .withColumn("carry_seen", F.coalesce(F.last("_seen").over(before), F.lit(0)))
-        .select("session_id", "_slice", "carry_turns", "carry_seen")
     )
+    if initial is not None:
+        start = initial.select("session_id", F.col("counter").alias("_c"), F.col("observed").cast("int").alias("_o"))
+        carried = carried.join(start, "session_id", "left")
+        # Before the first reset (start) of these events the initial state still counts.
+        no_reset = F.coalesce(F.sum("resets").over(before), F.lit(0)) == 0
+        no_start = F.coalesce(F.sum("starts").over(before), F.lit(0)) == 0
+        carried = carried.withColumns({
+            "carry_turns": F.col("carry_turns") + F.when(no_reset, F.coalesce("_c", F.lit(0))).otherwise(0),
+            "carry_seen": F.greatest("carry_seen", F.when(no_start, F.coalesce("_o", F.lit(0))).otherwise(0)),
+        })
+    carried = carried.select("session_id", "_slice", "carry_turns", "carry_seen")
     counter = F.col("turns") + F.when(F.col("resets") == 0, F.col("carry_turns")).otherwise(0)
     observed = F.greatest(
         F.col("seen"), F.when(F.col("starts") == 0, F.col("carry_seen")).otherwise(0)
     ) == 1
     return local.join(carried, ["session_id", "_slice"]).select(
-        "session_id", "seq", counter.cast("bigint").alias("counter"), observed.alias("observed"),
+        "session_id", "seq", "ts", counter.cast("bigint").alias("counter"), observed.alias("observed"),
         ((F.col("turn") == 1) & (counter >= turns) & ~observed).alias("emit"),
     )

@@ -394,7 +394,7 @@ def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def reminder_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_reminders(corpora.session_events(spark, sf_dir))
+    return run_reminders(corpora.session_events(spark, sf_dir)).drop("ts")
 
 
 @query

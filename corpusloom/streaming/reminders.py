@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.sessions import REMINDER_TURNS
+from ..operators.sessions import REMINDER_TURNS, reminder_state
+from ..plans.rebuild import Projections, publish, publish_changes, read_current
+from ..session import broadcast_if_small, materialise
 
 _OUT = "session_id string, seq long, counter long, observed boolean, emit boolean"
 _STATE = "counter long, observed boolean"
@@ -18,7 +21,8 @@ def reminder_stream(events: DataFrame, turns: int = REMINDER_TURNS) -> DataFrame
     """state rows for a stream of events(session_id, seq, ts, action), append mode.
 
     A session's state is two values. Rows of a micro-batch are put in (ts, seq) order; rows
-    must not be later than an earlier batch's (the source delivers sessions in order).
+    must not be later than an earlier batch's (the source delivers sessions in order). One
+    session's rows of a batch meet in one task; reminder_batches has no such limit.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -40,3 +44,34 @@ def reminder_stream(events: DataFrame, turns: int = REMINDER_TURNS) -> DataFrame
     return events.groupBy("session_id").applyInPandasWithState(
         step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout
     )
+
+
+def reminder_batch(events: DataFrame, version: int, root: str, turns: int = REMINDER_TURNS) -> None:
+    """One micro-batch with the batch operator: writes root/reminders/v<version> and the state.
+
+    Sessions of any size spread over tasks. The state is read as before `version`, so a
+    repeated batch writes the same again.
+    """
+    spark = events.sparkSession
+    state = read_current(spark, root, "session_state", version)
+    if state is not None:
+        mine = materialise(events.select("session_id").distinct())
+        state = state.join(broadcast_if_small(mine), "session_id", "left_semi")
+    rows = materialise(reminder_state(events, turns, initial=state))
+    rows.write.mode("overwrite").parquet(f"{root}/reminders/v{version}")
+    last = rows.groupBy("session_id").agg(
+        F.max_by(F.struct("counter", "observed"), F.struct("ts", "seq")).alias("s")
+    ).select("session_id", "s.*")
+    if state is None:
+        publish(Projections(True, rows, {"session_state": last}), root, version)
+    else:
+        publish_changes(spark, root, {"session_state": (last.select("session_id"), last)}, version)
+
+
+def reminder_batches(events: DataFrame, root: str, checkpoint: str, turns: int = REMINDER_TURNS) -> StreamingQuery:
+    """Run reminder_batch per micro-batch of streaming events, then stop."""
+    return (
+        events.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(lambda df, epoch: reminder_batch(df, epoch, root, turns))
+        .trigger(availableNow=True).start()
+    )
