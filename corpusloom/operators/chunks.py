@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import SPACE, compact_fold, left_units, one_line, trim_space
+from ..functions.text import SPACE, left_units, one_line, trim_space
 
 _BLANK = SPACE.replace(r"\n", "")
 # A heading line: up to six '#', white space, text. Fences are not special.
@@ -43,6 +43,3 @@ def chunk_preview(heading: Column, content: Column) -> Column:
 
 def page_preview(body: Column) -> Column:
     return one_line(left_units(trim_space(body), 200))
-
-
-__all__ = ["chunk_array", "chunk_pages", "chunk_preview", "page_preview", "compact_fold"]

@@ -3,7 +3,6 @@ from __future__ import annotations
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from corpusloom.functions.frontmatter import core_scalar, read_mapping, write_yaml
 from corpusloom.operators import audit, pages as pageops
