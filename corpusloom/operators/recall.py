@@ -542,12 +542,13 @@ def render_context(
 ) -> DataFrame:
     """context(query_id, text): one rendered block per query from at most ten results.
 
-    results need a `path` column; bodies(id, body) supply skill and case texts to inline.
+    results need a `path` column; bodies(vault?, id, body) supply skill and case texts to inline.
     """
     skill = is_skill_or_case(F.col("type"), F.col("id"))
     rows = results.withColumn("skill", skill)
     if bodies is not None and skill_inline_max > 0:
-        rows = rows.join(bodies.select("id", F.col("body").alias("_body")), "id", "left")
+        keys = ["vault", "id"] if "vault" in bodies.columns else ["id"]
+        rows = rows.join(bodies.select(*keys, F.col("body").alias("_body")), keys, "left")
     else:
         rows = rows.withColumn("_body", F.lit(None).cast("string"))
     rows = rows.withColumn(

@@ -654,3 +654,21 @@ _SINGLE = """bq as (select 1 as query_id, concat(lang, ' ', source, ' the tion')
   select lang, count(*) as n, min(source) as source from documents group by lang order by n desc, lang desc limit 1))"""
 ORACLES["recall_single"] = f"""with {recall_ctes().replace(BENCH, _SINGLE)}
 select k as query_id, rank, id, title, type, preview, round(score, 6) as score from detail where rank <= 10"""
+
+_CUT = "'…(truncated — `read` the path above for the full page)'"
+ORACLES["recall_render_links"] = f"""with {recall_ctes(layered=True)}, {_LAYERED.format(n=3)},
+shown as (select *, trim(regexp_replace(preview, '\\s+', ' ', 'g')) as snip, trim(body, e' \\t\\n\\r') as b, type in ('skill', 'case') as skill from layered where pos <= 3),
+lines as (
+  select k, pos, vault, skill, concat(cast(pos as varchar), '. **[[', id, ']]** — *', type, '* — score ', printf('%.1f', score),
+    case when vault = 'personal' then ' 📓 personal' else '' end, ' — ', title,
+    case when snip = '' then '' else concat(' — ', substring(snip, 1, 80), case when length(snip) > 80 then '…' else '' end) end,
+    chr(10), '   ↳ `read ', vault, '/', id, '.md`',
+    case when skill and b <> '' then concat(chr(10), chr(10), '   ```', chr(10), '   ',
+      replace(case when length(b) > 200 then concat(substring(b, 1, 200), chr(10), {_CUT}) else b end, chr(10), concat(chr(10), '   ')), chr(10), '   ```') else '' end) as line from shown)
+select k as query_id, concat('## Relevant Wiki Knowledge (links-first)', chr(10),
+  case when bool_or(skill) then concat(chr(10), '⚠️ A distilled skill/case below matches this task — read and APPLY it BEFORE experimenting on your own.', chr(10)) else '' end,
+  chr(10), '_', cast(count(*) as varchar), ' page(s) matched your query', case when bool_or(vault = 'personal') then ' (personal + project)' else '' end,
+  ', ranked. Two-stage recall: links only — open the ones you need to read their full content._', chr(10), chr(10),
+  string_agg(line, chr(10) order by pos), chr(10), chr(10),
+  'Call `read` on the exact path shown under each link to pull its full content. Add new findings via wiki_ensure_page or wiki_retro.', chr(10)) as text
+from lines group by k"""
