@@ -98,10 +98,10 @@ def words_of(column: pa.Array, kind: np.ndarray = SPACED, lower: bool = False) -
     begins[edges] = inside[edges]
     ends[edges - 1] = inside[edges - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    return Words(data, at, _hash(data, start, end), start, end, np.searchsorted(start, at))
+    return Words(data, at, span_hash(data, start, end), start, end, np.searchsorted(start, at))
 
 
-def _hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     out = np.empty(len(start), np.uint64)
     if not len(start):
         return out
@@ -134,7 +134,7 @@ def windows(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(value[begin]), begin
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each has at most `most` bytes of text, or one row."""
     for batch in batches:
         if not batch.num_rows:
