@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import decontaminate, quality, quality_rules, secret_scan, toxicity
+from corpusloom.llm import decontaminate, neardup, quality, quality_rules, secret_scan, toxicity
 from corpusloom.llm.store import table
 
 
@@ -37,10 +37,17 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.links(table(spark, sf_dir, "documents"))
+    kept = F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
+    "op9_near_duplicates": op9_near_duplicates,
 }
