@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import decontaminate, neardup, quality, quality_rules, secret_scan, substrings, toxicity
+from corpusloom.llm import decontaminate, langid, neardup, quality, quality_rules, secret_scan, substrings, toxicity
 from corpusloom.llm.store import table
 
 
@@ -48,11 +48,16 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_language": op5_language,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
     "op9_near_duplicates": op9_near_duplicates,
