@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import decontaminate, langid, neardup, quality, quality_rules, secret_scan, substrings, toxicity
+from corpusloom.llm import decontaminate, langid, neardup, pieces, quality, quality_rules, secret_scan, substrings, toxicity
 from corpusloom.llm.store import table
 
 
@@ -52,6 +52,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language(table(spark, sf_dir, "documents"))
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
@@ -61,4 +65,5 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_pieces": op10_pieces,
 }
