@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import decontaminate, langid, neardup, pieces, quality, quality_rules, secret_scan, substrings, toxicity
+from corpusloom.llm import decontaminate, hmm, langid, neardup, pieces, quality, quality_rules, secret_scan, substrings, toxicity
 from corpusloom.llm.store import table
 
 
@@ -56,12 +56,17 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_language": op5_language,
+    "op6_language_model": op6_language_model,
     "op7_quality": op7_quality,
     "op8_decontamination": op8_decontamination,
     "op9_near_duplicates": op9_near_duplicates,
