@@ -269,3 +269,25 @@ def scan(
 
 def digest(spans: str) -> str:
     return hashlib.sha256(spans.encode()).hexdigest()
+
+
+def redact(
+    docs: DataFrame, text_col: str = "text", words: list[str] = WORDS, least_log10: float = 10.0, mark: str = "[SECRET]",
+) -> DataFrame:
+    """docs, all rows and columns, with every span found in the text replaced by mark."""
+    prepare(docs.sparkSession)
+    guesser = Guesser.of(words)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, text_col):
+            texts = []
+            for text in batch.column(place).to_pylist():
+                base = base_spans(text or "")
+                spans = sorted(base + guessed_spans(text or "", base, guesser, least_log10))
+                texts.append(redacted(text, spans, mark) if spans else text)
+            columns = batch.columns
+            columns[place] = pa.array(texts, columns[place].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)
