@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def crc_mod(id_col: str, k: int) -> Column:
@@ -12,15 +12,19 @@ def crc_mod(id_col: str, k: int) -> Column:
 
 
 def bounded_sample(labelled: DataFrame, class_col: str, id_col: str, per_class: int, seed: int) -> DataFrame:
-    """(id, class) of at most per_class ids of each class, in the order of a hash of the id.
+    """(id, class) of about per_class ids of each class (all, if there are fewer), by a hash of the id.
 
-    Null ids and classes are left out; an id with several classes keeps the largest. The
-    window's limit is applied before its shuffle, so a hot class sends per_class rows per task.
+    An id is taken if its hash, uniform in 0 to 1, is below per_class over the size of its
+    class: the sample's size is binomial with mean per_class, whatever the input's size, and no
+    class is ordered or gathered. Null ids and classes are left out; an id with several classes
+    keeps the largest.
     """
     one = labelled.where(F.col(id_col).isNotNull() & F.col(class_col).isNotNull())
     one = one.groupBy(F.col(id_col).alias("id")).agg(F.max(class_col).alias("class"))
-    order = Window.partitionBy("class").orderBy(F.xxhash64("id", F.lit(seed)), "id")
-    return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_class).drop("rank")
+    sizes = one.groupBy("class").agg(F.count("*").alias("size"))
+    draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    # One row per class.
+    return one.join(F.broadcast(sizes), "class").where(draw * F.col("size") < per_class).select("id", "class")
 
 
 def with_classes(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -102,9 +101,11 @@ def _counts(sample: DataFrame) -> DataFrame:
     return rows.groupBy("class", "before", "own").agg(F.sum("n").alias("n"))
 
 
-def _dense(frame: pd.DataFrame, key: str, value: str, size: int) -> np.ndarray:
-    out = np.zeros((2, size))
-    out[frame["class"].to_numpy(int), frame[key].to_numpy(int)] = frame[value].to_numpy(float)
+def _dense(counts: DataFrame, key: str, size: int) -> np.ndarray:
+    """n by class and key, as an array of fixed size."""
+    out = np.zeros((2, size), np.float32)
+    found = counts.select(F.col("class").cast("byte"), F.col(key).cast("int"), F.col("n").cast("float")).toPandas()
+    out[found["class"].to_numpy(), found[key].to_numpy()] = found["n"].to_numpy()
     return out
 
 
@@ -124,27 +125,25 @@ def fit(
     aside = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(3)) == 0
     for_counts = bounded_sample(labels.where(~aside), label_col, id_col, per_class, seed)
     grams = written(_counts(with_classes(docs, for_counts, id_col, text_col)))
-    words = grams.groupBy("class", "own").count().toPandas()
-    contexts = grams.groupBy("class", "before").agg(
-        F.sum("n").alias("n"), F.sum(F.greatest(F.col("n") - bigram_discount, F.lit(0.0))).alias("kept")
-    ).toPandas()
-    often = grams.where(F.col("n") > bigram_discount).toPandas()
-    continuation = _dense(words, "own", "count", BUCKETS)
-    totals = continuation.sum(1)
+    continuation = _dense(grams.groupBy("class", "own").agg(F.count("*").alias("n")), "own", BUCKETS)
+    seen = _dense(grams.groupBy("class", "before").agg(F.sum("n").alias("n")), "before", BUCKETS + 1)
+    often = grams.where(F.col("n") > bigram_discount)
+    above = F.sum(F.col("n") - bigram_discount).alias("n")
+    kept = _dense(often.groupBy("class", "before").agg(above), "before", BUCKETS + 1)
+    often = often.toPandas()
+    totals = continuation.sum(1, dtype=float)
     pooled = np.minimum(continuation.sum(0), shared) + 0.1
-    pooled /= pooled.sum()
+    pooled /= pooled.sum(dtype=float)
     scale = np.maximum(totals / np.maximum(totals[totals > 0].min(initial=np.inf), 1.0), 1.0)
-    direct = np.maximum(continuation - (discount * scale)[:, None], 0) / np.maximum(totals, 1)[:, None]
-    word = direct + (1 - direct.sum(1))[:, None] * pooled
+    word = continuation
+    for c in (0, 1):
+        word[c] = np.maximum(word[c] - discount * scale[c], 0) / max(totals[c], 1)
+        word[c] += (1 - word[c].sum(dtype=float)) * pooled
     keys = _key(often["before"].to_numpy(np.int64), often["own"].to_numpy(np.int64))
     unique, place = np.unique(keys, return_inverse=True)
-    mass = np.zeros((2, len(unique)))
+    mass = np.zeros((2, len(unique)), np.float32)
     mass[often["class"].to_numpy(int), place] = often["n"].to_numpy(float) - bigram_discount
-    model = Model(
-        word, _dense(contexts, "before", "n", BUCKETS + 1), _dense(contexts, "before", "kept", BUCKETS + 1), unique, mass,
-        np.array([0.0] + [1.0] * TELLING + [-4.0 * TELLING]),
-    )
-    model = Model(*(a.astype(np.float32) for a in (word, model.seen, model.kept)), unique, mass.astype(np.float32), model.weights)
+    model = Model(word, seen, kept, unique, mass, np.array([0.0] + [1.0] * TELLING + [-4.0 * TELLING]))
     held = bounded_sample(labels.where(aside), label_col, id_col, calibration, seed)
     x, y = _features_of(with_classes(docs, held, id_col, text_col), model)
     if (totals > 0).all() and 0 < y.sum() < len(y):
