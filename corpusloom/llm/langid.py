@@ -103,7 +103,8 @@ def _rows_of_kernel(sample: DataFrame, landmarks: np.ndarray) -> tuple[np.ndarra
                 )
 
     found = sample.select("class", "text").mapInArrow(run, "class string, row binary").collect()
-    return np.array([np.frombuffer(r["row"], np.float32) for r in found], float).reshape(len(found), -1), [r["class"] for r in found]
+    values = [np.frombuffer(r["row"], np.float32) for r in found]
+    return np.array(values, float).reshape(len(found), len(landmarks)), [r["class"] for r in found]
 
 
 def fit(

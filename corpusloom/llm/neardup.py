@@ -3,7 +3,8 @@
 Documents with equal shingle sets become one. Each set has a few hundred minima; bands of them
 name buckets, and of every minimum only the low bits are kept in a packed signature. Members
 of a bucket are first compared to one of them, drawn anew in each band; what then is still in
-different components of the same bucket is compared among itself. A pair's similarity is
+different components of the same bucket is compared among itself, unless shingles that no other
+document has rule out every link. A pair's similarity is
 estimated by counting equal bits, corrected for chance, and confirmed on the full sets.
 """
 
@@ -117,15 +118,28 @@ def _near(percent: int) -> Column:
 
 
 def _side(nodes: DataFrame, side: str) -> DataFrame:
-    return nodes.select(*[F.col(c).alias(c if c == "band" else side if c == "id" else f"{c}_{side}") for c in nodes.columns])
+    return nodes.select(*[F.col(c).alias(side if c == "id" else f"{c}_{side}") for c in nodes.columns])
+
+
+def _linked(percent: int) -> Column:
+    """Whether the full sets of a pair (set_a, set_b) have the similarity."""
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    return 100 * common >= percent * (F.size("set_a") + F.size("set_b") - common)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have the similarity."""
-    joined = pairs.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - common
-    return joined.where(100 * common >= percent * union).select("a", "b")
+    return pairs.join(_side(sets, "a"), "a").join(_side(sets, "b"), "b").where(_linked(percent)).select("a", "b")
+
+
+def _linkable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Members with `alone`, the number of shingles that no other of these documents has, less
+    those that have too many of them for any link: a similarity is at most (n - alone) / n."""
+    rows = sets.join(members.select("id").distinct(), "id", "left_semi").select("id", F.explode("set").alias("shingle"))
+    once = rows.groupBy("shingle").agg(F.min("id").alias("id"), F.count("*").alias("times")).where("times = 1")
+    alone = once.groupBy("id").agg(F.count("*").alias("alone"))
+    known = members.join(alone, "id", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+    return written(known.where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")))
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
@@ -159,9 +173,14 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     placed = placed.select("band", "id", F.coalesce("component", "id").alias("class"))
     mixed = placed.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("band")
     open_ = written(placed.join(mixed, "band", "left_semi").join(known, "id"))
-    across = _side(open_, "a").join(_side(open_, "b"), "band").where((F.col("class_a") < F.col("class_b")) & _near(percent))
-    second = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = written(_confirmed(written(second), sets, percent))
+    open_ = _linkable(open_, sets, percent).join(sets, "id")
+    most = F.least(F.col("n_a") - F.col("alone_a"), F.col("n_b") - F.col("alone_b"))
+    sharing = 100 * most >= percent * (F.col("n_a") + F.col("n_b") - most)
+    # All tests are part of the join, the cheap ones first: only links leave it.
+    across = _side(open_, "a").join(
+        _side(open_, "b"), (F.col("band_a") == F.col("band_b")) & (F.col("class_a") < F.col("class_b")) & sharing & _near(percent) & _linked(percent)
+    )
+    more = written(across.select("a", "b").distinct())
     classes = components(found.unionAll(more))
     by_set = nodes.join(classes, F.col("id") == F.col("node"), "left").select("h1", "h2", "n", F.coalesce("component", "id").alias("component"))
     joined = signed.drop("bands", "bits").join(by_set, ["h1", "h2", "n"], "left")
