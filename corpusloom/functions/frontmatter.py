@@ -12,6 +12,7 @@ import re
 
 MAX_BYTES = 128 * 1024
 MAX_DEPTH = 32
+MAX_DIGITS = 400
 # Keys with a meaning of their own, in the order they are written.
 STANDARD_KEYS = (
     "type title description resource tags sources generated verified status stale_after category "
@@ -39,6 +40,9 @@ def core_scalar(text: str):
         return None
     if text in _TRUE or text in _FALSE:
         return text in _TRUE
+    # Numbers with more digits than any integer type are texts.
+    if len(text) > MAX_DIGITS:
+        return text
     if _INT.match(text):
         return int(text)
     based = _BASED.match(text)
@@ -121,8 +125,19 @@ class _Reader:
         return out
 
 
-def read_mapping(text: str) -> dict:
+def read_mapping(text: str, max_depth: int = MAX_DEPTH) -> dict:
     """Frontmatter text to a mapping, or FrontmatterError with a diagnostic code."""
+    try:
+        return _read_mapping(text, max_depth)
+    except FrontmatterError:
+        raise
+    except RecursionError:
+        raise FrontmatterError("frontmatter_limit_depth", f"Frontmatter nesting exceeds {max_depth}") from None
+    except (ValueError, OverflowError) as error:
+        raise FrontmatterError("frontmatter_parse_error", f"YAML parse error: {type(error).__name__}") from None
+
+
+def _read_mapping(text: str, max_depth: int) -> dict:
     import yaml
 
     loader = getattr(yaml, "CBaseLoader", yaml.BaseLoader)
@@ -146,8 +161,8 @@ def read_mapping(text: str) -> dict:
         raise FrontmatterError("frontmatter_alias_forbidden", "YAML aliases are not allowed")
     if reader.tag:
         raise FrontmatterError("frontmatter_custom_tag_forbidden", "Custom YAML tags are not allowed")
-    if reader.depth > MAX_DEPTH:
-        raise FrontmatterError("frontmatter_limit_depth", f"Frontmatter nesting exceeds {MAX_DEPTH}")
+    if reader.depth > max_depth:
+        raise FrontmatterError("frontmatter_limit_depth", f"Frontmatter nesting exceeds {max_depth}")
     return documents[0]
 
 

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
-_NOISE = re.compile(r"<(script|style|nav|header|footer|noscript)[\s\S]*?</\1>", re.I)
+# Elements whose content is no text of the page.
+NOISE = ("script", "style", "nav", "header", "footer", "noscript")
+_OPEN = re.compile("<(" + "|".join(NOISE) + ")", re.I)
+# Elements nested deeper than this do not style their content; the text itself is kept.
+MAX_NESTING = 256
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 _BLOCK = {
     "p", "div", "section", "article", "main", "aside", "figure", "figcaption", "address", "dl",
@@ -13,20 +18,48 @@ _BLOCK = {
 }
 
 
+def _without_elements(html: str, opening: re.Pattern, names: tuple[str, ...]) -> str:
+    """One pass from left to right: every opening that has its end tag later on goes with it.
+
+    The end tags of each name are listed first, so an opening without one costs nothing.
+    """
+    ends = {name: [m.span() for m in re.finditer(f"</{name}>", html, re.I)] for name in names}
+    used = dict.fromkeys(names, 0)
+    out, at = [], 0
+    for found in opening.finditer(html):
+        if found.start() < at:
+            continue
+        name = found.group(1).lower()
+        while used[name] < len(ends[name]) and ends[name][used[name]][0] < found.end():
+            used[name] += 1
+        if used[name] < len(ends[name]):
+            out.append(html[at : found.start()])
+            at = ends[name][used[name]][1]
+    return "".join([*out, html[at:]]) if at else html
+
+
 def strip_noise(html: str) -> str:
     """Remove noise elements until nothing changes."""
-    while (out := _NOISE.sub("", html)) != html:
+    while (out := _without_elements(html, _OPEN, NOISE)) != html:
         html = out
     return html
 
 
+def strip_head(html: str) -> str:
+    """Remove head elements; an opening without its end tag stays."""
+    return _without_elements(html, re.compile("<(head)", re.I), ("head",))
+
+
 def _escape(text: str) -> str:
     return re.sub(r"[\\`*_~\[\]]", r"\\\g<0>", text)
 
 
 class _Node:
+    """An element; `out` is its markdown once its children have theirs."""
+
     def __init__(self, tag: str, attrs=None):
         self.tag, self.attrs, self.children = tag, dict(attrs or []), []
+        self.out = ""
 
 
 class _Tree(HTMLParser):
@@ -36,17 +69,23 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = _Node("")
         self.stack = [self.root]
+        self.nodes = []
 
     def handle_starttag(self, tag, attrs):
         if tag in ("li", "p", "tr", "td", "th", "option") and self.stack[-1].tag == tag:
             self.stack.pop()
-        node = _Node(tag, attrs)
-        self.stack[-1].children.append(node)
-        if tag not in _VOID:
-            self.stack.append(node)
+        if len(self.stack) > MAX_NESTING and tag not in _VOID:
+            return
+        if self._add(tag, attrs).tag not in _VOID:
+            self.stack.append(self.nodes[-1])
+
+    def _add(self, tag, attrs):
+        self.nodes.append(_Node(tag, attrs))
+        self.stack[-1].children.append(self.nodes[-1])
+        return self.nodes[-1]
 
     def handle_startendtag(self, tag, attrs):
-        self.stack[-1].children.append(_Node(tag, attrs))
+        self._add(tag, attrs)
 
     def handle_endtag(self, tag):
         for depth in range(len(self.stack) - 1, 0, -1):
@@ -59,13 +98,18 @@ class _Tree(HTMLParser):
 
 
 def _raw_text(node) -> str:
-    return "".join(c if isinstance(c, str) else _raw_text(c) for c in node.children)
+    out, waiting = [], list(reversed(node.children))
+    while waiting:
+        now = waiting.pop()
+        if isinstance(now, str):
+            out.append(now)
+        else:
+            waiting += reversed(now.children)
+    return "".join(out)
 
 
 def _inline(node) -> str:
-    return "".join(
-        _escape(re.sub(r"\s+", " ", c)) if isinstance(c, str) else _element(c) for c in node.children
-    )
+    return "".join(_escape(re.sub(r"\s+", " ", c)) if isinstance(c, str) else c.out for c in node.children)
 
 
 def _wrap(text: str, mark: str) -> str:
@@ -96,10 +140,14 @@ def _list(node) -> str:
 
 
 def _rows(node) -> list:
-    out = []
-    for child in node.children:
-        if not isinstance(child, str):
-            out.extend([child] if child.tag == "tr" else _rows(child))
+    out, waiting = [], list(reversed(node.children))
+    while waiting:
+        now = waiting.pop()
+        if not isinstance(now, str):
+            if now.tag == "tr":
+                out.append(now)
+            else:
+                waiting += reversed(now.children)
     return out
 
 
@@ -166,8 +214,15 @@ def _element(node) -> str:
 
 def to_markdown(html: str) -> str:
     tree = _Tree()
-    tree.feed(html)
+    # What follows the last '>' holds no tag; the parser would try every '<' of it to the end.
+    end = html.rfind(">") + 1
+    tree.feed(html[:end])
     tree.close()
+    if html[end:]:
+        tree.handle_data(unescape(html[end:]))
+    # Elements are listed as they open, so in reverse every element comes after its children.
+    for node in reversed(tree.nodes):
+        node.out = _element(node)
     text = re.sub(r"[ \t]+\n", lambda m: "  \n" if m.group().startswith("  ") else "\n", _inline(tree.root))
     text = re.sub(r"\n[ \t]+(?=\n)", "\n", text)
     text = re.sub(r"\n +(?=\S)", lambda m: m.group() if re.match(r"\n {2,}", m.group()) else "\n", text)
@@ -178,7 +233,7 @@ def convert(source: str) -> str:
     """Whole-page conversion: head and noise removed, title on top if the body has no h1."""
     found = re.search(r"<title[^>]*>([^<]*)</title>", source, re.I)
     title = found.group(1).strip() if found else ""
-    body = strip_noise(re.sub(r"<head[\s\S]*?</head>", "", source, flags=re.I))
+    body = strip_noise(strip_head(source))
     text = to_markdown(body)
     if not text:
         return source

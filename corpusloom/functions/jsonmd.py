@@ -27,45 +27,53 @@ def _heading(depth: int) -> str:
     return "#" * min(depth + 2, 6)
 
 
-def _lines(value, depth: int, label: str | None):
+def _expanded(value, depth: int, label: str | None) -> list:
+    """Lines of one value, in order; nested values stand in it as (value, depth, label) to expand."""
     pad = "  " * depth
     if not isinstance(value, (dict, list)):
         name = f"**{_human(label)}:** " if label else ""
-        yield f"{pad}- {name}{js_string(value)}"
-        return
-    if label:
-        yield from (f"{_heading(depth)} {_human(label)}", "")
+        return [f"{pad}- {name}{js_string(value)}"]
+    out: list = [f"{_heading(depth)} {_human(label)}", ""] if label else []
     below = depth + 1 if label else depth
     if isinstance(value, dict):
         for key, item in value.items():
-            if isinstance(item, (dict, list)):
-                yield from _lines(item, below, key)
-            else:
-                yield f"{pad}- **{_human(key)}:** {js_string(item)}"
+            nested = isinstance(item, (dict, list))
+            out.append((item, below, key) if nested else f"{pad}- **{_human(key)}:** {js_string(item)}")
     elif not value:
-        yield f"{pad}- _(empty)_"
+        out.append(f"{pad}- _(empty)_")
     else:
         for number, item in enumerate(value, 1):
             if isinstance(item, dict):
-                yield from (f"{_heading(below)} {_title(item) or f'Item {number}'}", "")
-                yield from _lines(item, below, None)
+                out += [f"{_heading(below)} {_title(item) or f'Item {number}'}", "", (item, below, None)]
             elif isinstance(item, list):
-                yield f"{pad}- Item {number}:"
-                yield from _lines(item, depth + 1, None)
+                out += [f"{pad}- Item {number}:", (item, depth + 1, None)]
             else:
-                yield f"{pad}- {js_string(item)}"
-    yield ""
+                out.append(f"{pad}- {js_string(item)}")
+    return [*out, ""]
+
+
+def _lines(value) -> list[str]:
+    """All lines of a value of any depth, without recursion."""
+    out: list[str] = []
+    waiting: list = [(value, 0, None)]
+    while waiting:
+        now = waiting.pop()
+        if isinstance(now, str):
+            out.append(now)
+        else:
+            waiting += reversed(_expanded(*now))
+    return out
 
 
 def convert(text: str) -> str:
-    """Headings and bullets of a JSON text; text that is no JSON stays as it is."""
+    """Headings and bullets of a JSON text; text that is no JSON, or nested too deep to read, stays as it is."""
 
     def forbidden(name):
         raise ValueError(name)
 
     try:
         value = json.loads(text, parse_constant=forbidden)
-    except ValueError:
+    except (ValueError, RecursionError):
         return text
-    lines = [f"# {_title(value) or 'JSON Extract'}", "", *_lines(value, 0, None)]
+    lines = [f"# {_title(value) or 'JSON Extract'}", "", *_lines(value)]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip() or text

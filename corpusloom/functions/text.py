@@ -217,3 +217,17 @@ def path_title(doc_id: Column) -> Column:
 
 def one_line(c: Column) -> Column:
     return F.replace(c, F.lit("\n"), F.lit(" "))
+
+
+def guarded(convert, fallback=lambda text: text):
+    """A text function for one row that never fails: lone surrogates become U+FFFD, and a text
+    it cannot handle takes the fallback."""
+
+    def safe(text):
+        try:
+            out = convert(text)
+        except (ValueError, RecursionError, OverflowError, MemoryError):
+            out = fallback(text)
+        return out if out is None or out.isascii() else out.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+    return safe

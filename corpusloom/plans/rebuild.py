@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..operators import links, lint, registry
-from ..session import broadcast_if_small, materialise
+from ..session import materialise
 from ..sources import documents as docs_source
 from ..sources import events as event_source
 
@@ -39,7 +37,14 @@ def rebuild(
     blocking = not diagnostics.where("severity = 'error'").isEmpty()
     if blocking and on_error == "fail_closed":
         return Projections(False, diagnostics)
+    return project(documents, diagnostics, packets, raw_events, event_diagnostics, root_title)
+
 
+def project(
+    documents: DataFrame, quarantine: DataFrame, packets: dict[str, DataFrame] | None = None,
+    raw_events: DataFrame | None = None, event_diagnostics: DataFrame | None = None, root_title: str = "Wiki",
+) -> Projections:
+    """All tables that follow from parsed documents; quarantine holds the diagnostics of pages left out."""
     fallbacks = [
         registry.packet_fallbacks(rows, documents, folder, "source" if folder == "sources" else "trajectory")
         for folder, rows in (packets or {}).items()
@@ -60,8 +65,9 @@ def rebuild(
         "index_by_type": registry.index_by_type(table),
         "directory_index": registry.directory_index(documents, root_title),
         "status": registry.status(table, inbound, links.gap_counts(unresolved)),
+        "quarantine": quarantine,
     }
-    diagnostics = diagnostics.unionByName(links.link_diagnostics(resolved))
+    diagnostics = quarantine.unionByName(links.link_diagnostics(resolved))
     if raw_events is not None:
         parsed = materialise(event_source.parse_events(raw_events))
         frames["day_log"] = event_source.day_log(event_source.valid_events(parsed))
@@ -73,92 +79,57 @@ def rebuild(
     return Projections(True, diagnostics, frames)
 
 
-_MARKS = "name string, version bigint, kind string"
-
+_MARKS = "name string, version bigint, source string, epoch bigint"
 
-def _mark(spark: SparkSession, root: str, names: list[str], version: int, kind: str) -> None:
-    rows = spark.createDataFrame([(name, version, kind) for name in names], _MARKS)
-    rows.coalesce(1).write.mode("append").parquet(f"{root}/_current")
 
+def _marks(spark: SparkSession, root: str) -> DataFrame:
+    try:
+        return spark.read.schema(_MARKS).parquet(f"{root}/_published")
+    except AnalysisException:
+        return spark.createDataFrame([], _MARKS)
 
-def publish(projections: Projections, root: str, version: int) -> bool:
-    """Write every frame as root/<name>/v<version>, then make the version current.
 
-    Readers follow the marker rows, which are appended last: a job that dies half way changes
-    nothing for them. Nothing is written for a blocked rebuild.
-    """
-    if not projections.ok:
-        return False
-    for name, frame in projections.frames.items():
-        frame.write.mode("overwrite").parquet(f"{root}/{name}/v{version}")
-    _mark(projections.diagnostics.sparkSession, root, list(projections.frames), version, "base")
-    return True
+def latest_version(spark: SparkSession, root: str) -> int:
+    """The highest published version, 0 before the first."""
+    return _marks(spark, root).agg(F.max("version")).first()[0] or 0
 
 
-def publish_changes(
-    spark: SparkSession, root: str, changes: dict[str, tuple[DataFrame, DataFrame]], version: int
-) -> None:
-    """Publish changed rows only: per table (keys, rows), where rows replace all rows of keys.
+def was_published(spark: SparkSession, root: str, source: str, epoch: int) -> bool:
+    """Whether a source (a stream's name) has published this epoch."""
+    return not _marks(spark, root).where((F.col("source") == source) & (F.col("epoch") == epoch)).isEmpty()
 
-    A key without rows is a deletion. Nothing else of the table is read or written.
-    """
-    for name, (keys, rows) in changes.items():
-        keys.distinct().write.mode("overwrite").parquet(f"{root}/{name}/d{version}/keys")
-        rows.write.mode("overwrite").parquet(f"{root}/{name}/d{version}/rows")
-    _mark(spark, root, list(changes), version, "changes")
 
+def publish(
+    projections: Projections, root: str, version: int | None = None, source: str | None = None, epoch: int | None = None
+) -> int | None:
+    """Write every frame as root/<name>/v<version>, then make the version current; returns it.
 
-def _versions(spark: SparkSession, root: str, name: str, before: int | None) -> tuple[int | None, list[int]]:
-    """(newest base version, versions of the changes after it)."""
-    try:
-        marks = spark.read.schema(_MARKS).parquet(f"{root}/_current")
-    except AnalysisException:
-        return None, []
-    marks = marks.where(F.col("name") == name)
-    if before is not None:
-        marks = marks.where(F.col("version") < before)
-    # One row per published version of one table.
-    rows = marks.select("version", "kind").distinct().collect()
-    base = max((r["version"] for r in rows if r["kind"] == "base"), default=None)
-    later = sorted(r["version"] for r in rows if r["kind"] == "changes" and base is not None and r["version"] > base)
-    return base, later
-
-
-def read_current(spark: SparkSession, root: str, name: str, before: int | None = None) -> DataFrame | None:
-    """The table as published (before a version, if given); None before its first version.
-
-    Changes since the base replace the rows of their keys. Their keys are few, so the base is
-    filtered by a broadcast without a shuffle.
+    Versions only grow: without one, the next is taken, and one that is not above the highest
+    published is refused. Readers follow the marker rows, which are appended last, so a job
+    that dies half way changes nothing for them. Nothing is written for a blocked rebuild.
     """
-    base, later = _versions(spark, root, name, before)
-    if base is None:
+    if not projections.ok:
         return None
-    table = spark.read.parquet(f"{root}/{name}/v{base}")
-    if not later:
-        return table
-    read = lambda part: reduce(
-        DataFrame.unionByName,
-        [spark.read.parquet(f"{root}/{name}/d{v}/{part}").withColumn("_version", F.lit(v)) for v in later],
-    )
-    keys = read("keys")
-    key = next(c for c in keys.columns if c != "_version")
-    latest = keys.groupBy(key).agg(F.max("_version").alias("_version"))
-    rows = read("rows").join(broadcast_if_small(latest), [key, "_version"], "left_semi").drop("_version")
-    return table.join(broadcast_if_small(latest.select(key)), key, "left_anti").select(table.columns).unionByName(rows)
-
-
-def compact(spark: SparkSession, root: str, name: str, version: int) -> bool:
-    """Write the table as a new base if there are changes; run it when reading gets slow."""
-    _, later = _versions(spark, root, name, version)
-    if not later:
-        return False
-    read_current(spark, root, name, version).write.mode("overwrite").parquet(f"{root}/{name}/v{version}")
-    _mark(spark, root, [name], version, "base")
-    return True
+    spark = projections.diagnostics.sparkSession
+    last = latest_version(spark, root)
+    number = last + 1 if version is None else version
+    if number <= last:
+        raise ValueError(f"version {number} is not above the published {last}")
+    for name, frame in projections.frames.items():
+        frame.write.mode("overwrite").parquet(f"{root}/{name}/v{number}")
+    rows = spark.createDataFrame([(name, number, source, epoch) for name in projections.frames], _MARKS)
+    rows.coalesce(1).write.mode("append").parquet(f"{root}/_published")
+    return number
+
+
+def read_current(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """The table as last published; None before its first version."""
+    version = _marks(spark, root).where(F.col("name") == name).agg(F.max("version")).first()[0]
+    return None if version is None else spark.read.parquet(f"{root}/{name}/v{version}")
 
 
 def obsolete_versions(spark: SparkSession, root: str, keep: int = 2) -> DataFrame:
-    """Base versions (name, version) that newer ones have replaced."""
-    marks = spark.read.schema(_MARKS).parquet(f"{root}/_current").where("kind = 'base'").distinct()
+    """Versions (name, version) of tables that newer ones have replaced."""
     newest = Window.partitionBy("name").orderBy(F.desc("version"))
+    marks = _marks(spark, root).select("name", "version").distinct()
     return marks.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") > keep).select("name", "version")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from ..functions.frontmatter import (
-    LEGACY_KEYS, MAX_BYTES, STANDARD_KEYS, FrontmatterError, dump_json, flatten, read_mapping,
+    LEGACY_KEYS, MAX_BYTES, MAX_DEPTH, STANDARD_KEYS, FrontmatterError, dump_json, flatten, read_mapping,
     sources_kind, write_yaml,
 )
 from ..functions.paths import document_id, is_reserved
@@ -32,12 +32,12 @@ _PARSED = T.StructType([
 ])
 
 
-def _parse_one(text: str | None) -> dict:
+def _parse_one(text: str | None, max_depth: int = MAX_DEPTH) -> dict:
     empty = {f.name: None for f in _PARSED.fields}
     if text is None:
         return empty
     try:
-        mapping = read_mapping(text)
+        mapping = read_mapping(text, max_depth)
     except FrontmatterError as error:
         return {**empty, "code": error.code, "message": str(error)}
     standard = {k: v for k, v in mapping.items() if k in STANDARD_KEYS and k != "sources"}
@@ -59,9 +59,21 @@ def _parse_one(text: str | None) -> dict:
     }
 
 
-@F.pandas_udf(_PARSED)
-def _parse_yaml(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_parse_one(t) for t in texts], columns=_PARSED.fieldNames())
+def _clean(value):
+    """value without lone surrogates, which no table can hold."""
+    if isinstance(value, str):
+        return value if value.isascii() else value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    if isinstance(value, dict):
+        return {_clean(k): _clean(v) for k, v in value.items()}
+    return [_clean(v) for v in value] if isinstance(value, list) else value
+
+
+def _parse_yaml(max_depth: int):
+    @F.pandas_udf(_PARSED)
+    def parse(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_clean(_parse_one(t, max_depth)) for t in texts], columns=_PARSED.fieldNames())
+
+    return parse
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
@@ -94,20 +106,22 @@ def _split(content: Column) -> Column:
     )
 
 
-def parse_frontmatter(files: DataFrame, require_type: bool = True) -> DataFrame:
+def parse_frontmatter(
+    files: DataFrame, require_type: bool = True, max_bytes: int = MAX_BYTES, max_depth: int = MAX_DEPTH,
+) -> DataFrame:
     """Add code/message (NULL when fine), the parsed values and the body to files(path, content).
 
-    Only the YAML block, at most 128 KiB, goes to Python; the body stays on the JVM.
+    Only the YAML block, at most max_bytes, goes to Python; the body stays on the JVM.
     """
     split = computed_once(files, {"_s": _split(F.col("content"))})
     usable = (
-        F.col("_s.opened") & F.col("_s.closed") & (F.octet_length("_s.yaml") <= MAX_BYTES)
+        F.col("_s.opened") & F.col("_s.closed") & (F.octet_length("_s.yaml") <= max_bytes)
     )
-    parsed = split.withColumn("_p", _parse_yaml(F.when(usable, F.col("_s.yaml"))))
+    parsed = split.withColumn("_p", _parse_yaml(max_depth)(F.when(usable, F.col("_s.yaml"))))
     error = (
         F.when(~F.col("_s.opened"), F.struct(F.lit("frontmatter_missing").alias("code"), F.lit("Missing frontmatter opening delimiter").alias("message")))
         .when(~F.col("_s.closed"), F.struct(F.lit("frontmatter_parse_error").alias("code"), F.lit("Missing frontmatter closing delimiter").alias("message")))
-        .when(~usable, F.struct(F.lit("frontmatter_limit_bytes").alias("code"), F.lit(f"Frontmatter exceeds {MAX_BYTES} bytes").alias("message")))
+        .when(~usable, F.struct(F.lit("frontmatter_limit_bytes").alias("code"), F.lit(f"Frontmatter exceeds {max_bytes} bytes").alias("message")))
         .when(F.col("_p.code").isNotNull(), F.struct(F.col("_p.code").alias("code"), F.col("_p.message").alias("message")))
     )
     if require_type:
@@ -123,7 +137,9 @@ def parse_frontmatter(files: DataFrame, require_type: bool = True) -> DataFrame:
     )
 
 
-def discover_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def discover_documents(
+    files: DataFrame, max_bytes: int = MAX_BYTES, max_depth: int = MAX_DEPTH
+) -> tuple[DataFrame, DataFrame]:
     """(documents, diagnostics) of files(path, content); any error diagnostic blocks publishing.
 
     documents(id, path, type, title, ..., frontmatter, extensions, sources_kind, sources, body).
@@ -134,7 +150,7 @@ def discover_documents(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Paths alone decide collisions; the few that collide are kept away from the contents.
     collisions = materialise(identity_collisions(pages.select("path")))
     kept = pages.join(broadcast_if_small(collisions.select("path")), "path", "left_anti")
-    parsed = parse_frontmatter(kept)
+    parsed = parse_frontmatter(kept, max_bytes=max_bytes, max_depth=max_depth)
     names = [k for k in STANDARD_KEYS if k not in ("type", "sources")]
     documents = parsed.where("code is null").select(
         document_id(F.col("path")).alias("id"), "path", "type",

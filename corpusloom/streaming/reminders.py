@@ -10,8 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.sessions import REMINDER_TURNS, reminder_state
-from ..plans.rebuild import Projections, publish, publish_changes, read_current
-from ..session import broadcast_if_small, materialise
+from ..plans.rebuild import Projections, publish, read_current, was_published
+from ..session import materialise
 
 _OUT = "session_id string, seq long, counter long, observed boolean, emit boolean"
 _STATE = "counter long, observed boolean"
@@ -46,26 +46,28 @@ def reminder_stream(events: DataFrame, turns: int = REMINDER_TURNS) -> DataFrame
     )
 
 
-def reminder_batch(events: DataFrame, version: int, root: str, turns: int = REMINDER_TURNS) -> None:
-    """One micro-batch with the batch operator: writes root/reminders/v<version> and the state.
+def reminder_batch(
+    events: DataFrame, epoch: int, root: str, turns: int = REMINDER_TURNS, source: str = "reminders"
+) -> None:
+    """One micro-batch with the batch operator: writes root/reminders/v<epoch> and the state.
 
-    Sessions of any size spread over tasks. The state is read as before `version`, so a
-    repeated batch writes the same again.
+    Sessions of any size spread over tasks. A batch that is repeated after its state was
+    published is recognised by its epoch and changes nothing.
     """
     spark = events.sparkSession
-    state = read_current(spark, root, "session_state", version)
-    if state is not None:
-        mine = materialise(events.select("session_id").distinct())
-        state = state.join(broadcast_if_small(mine), "session_id", "left_semi")
-    rows = materialise(reminder_state(events, turns, initial=state))
-    rows.write.mode("overwrite").parquet(f"{root}/reminders/v{version}")
+    if was_published(spark, root, source, epoch):
+        return
+    state = read_current(spark, root, "session_state")
+    own = materialise(events.select("session_id").distinct())
+    mine = None if state is None else state.join(own, "session_id", "left_semi")
+    rows = materialise(reminder_state(events, turns, initial=mine))
+    rows.write.mode("overwrite").parquet(f"{root}/reminders/v{epoch}")
     last = rows.groupBy("session_id").agg(
         F.max_by(F.struct("counter", "observed"), F.struct("ts", "seq")).alias("s")
     ).select("session_id", "s.*")
-    if state is None:
-        publish(Projections(True, rows, {"session_state": last}), root, version)
-    else:
-        publish_changes(spark, root, {"session_state": (last.select("session_id"), last)}, version)
+    if state is not None:
+        last = state.join(own, "session_id", "left_anti").select(last.columns).unionByName(last)
+    publish(Projections(True, rows, {"session_state": last}), root, source=source, epoch=epoch)
 
 
 def reminder_batches(events: DataFrame, root: str, checkpoint: str, turns: int = REMINDER_TURNS) -> StreamingQuery:

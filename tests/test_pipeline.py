@@ -10,7 +10,7 @@ from corpusloom.functions.vectors import cosine_similarity, normalize_vector
 from corpusloom.operators import embeddings as emb
 from corpusloom.operators import ingest, trajectories as traj
 from corpusloom.plans.queries import letter_counts as letters
-from corpusloom.plans.rebuild import compact, obsolete_versions, publish, read_current, rebuild
+from corpusloom.plans.rebuild import latest_version, obsolete_versions, publish, read_current, rebuild
 from corpusloom.sources import convert, packets
 from corpusloom.streaming.refresh import refresh_batch, refresh_stream
 
@@ -255,7 +255,7 @@ def test_rebuild_publish_and_fail_closed(spark, tmp_path):
     root = str(tmp_path)
     lines = spark.createDataFrame([(0, '{"timestamp":"2026-08-01T00:00:00Z","kind":"a"}')], "seq long, raw string")
     first = rebuild(vault(spark), raw_events=lines)
-    assert publish(first, root, 1)
+    assert publish(first, root, 1) == 1
     before = {n: rows_of(read_current(spark, root, n)) for n in first.frames}
     assert [json.loads(r)["mentioned_by"] for r in before["gaps"]] == ["concepts/a"]
     broken = rebuild(vault(spark, **{"concepts/bad.md": "no frontmatter"}))
@@ -272,36 +272,49 @@ def test_rebuild_publish_and_fail_closed(spark, tmp_path):
     assert obsolete_versions(spark, root, keep=1).count() == len(again.frames)
 
 
-def test_incremental_refresh_equals_rebuild(spark, tmp_path):
-    schema = "path string, content string, deleted boolean, mtime long"
+CHANGES = "path string, content string, deleted boolean, mtime long"
+
+
+def test_refresh_equals_rebuild_in_every_table(spark, tmp_path):
+    root = str(tmp_path / "out")
     batches = [
         [("concepts/a.md", GOOD.format("A", "[b](b.md) [[concepts/c]]"), False, 1), ("concepts/b.md", GOOD.format("B", "[a](a.md)"), False, 1)],
         [("concepts/c.md", GOOD.format("C", "[a](a.md) [x](x.md)"), False, 2), ("concepts/b.md", "broken", False, 1), ("concepts/b.md", GOOD.format("B2", "[c](c.md)"), False, 3)],
         [("concepts/a.md", None, True, 4)],
-        [("concepts/c.md", "no frontmatter", False, 5)],
+        [("concepts/c.md", "no frontmatter", False, 5), ("concepts/y.md", GOOD.format("Y", "[b](b.md)"), False, 5), ("concepts/bad.md", "x", False, 5)],
+        [("concepts/bad.md", None, True, 6), ("Concepts/Y.md", GOOD.format("twin", ""), False, 6), ("concepts/z.md", GOOD.format("Z", ""), False, 6)],
     ]
+    # A version that someone published before the stream began is followed, not hidden behind.
+    publish(rebuild(vault(spark)), root, 42)
     for number, rows in enumerate(batches):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{number}"))
-        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-        refresh_stream(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), letters, "m").awaitTermination(120)
-    final = spark.createDataFrame(
-        [("concepts/b.md", GOOD.format("B2", "[c](c.md)")), ("concepts/c.md", GOOD.format("C", "[a](a.md) [x](x.md)"))], "path string, content string"
-    )
-    full = rebuild(final)
-    columns = ["src", "seq", "syntax", "dst", "known"]
-    out = str(tmp_path / "out")
+        spark.createDataFrame(rows, CHANGES).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{number}"))
+        stream = spark.readStream.schema(CHANGES).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        refresh_stream(stream, root, str(tmp_path / "ckpt"), letters, "m").awaitTermination(240)
+    final = {
+        "concepts/b.md": GOOD.format("B2", "[c](c.md)"), "concepts/c.md": GOOD.format("C", "[a](a.md) [x](x.md)"),
+        "concepts/y.md": GOOD.format("Y", "[b](b.md)"), "concepts/z.md": GOOD.format("Z", ""),
+    }
+    full = rebuild(spark.createDataFrame(list(final.items()), "path string, content string"))
 
     def check():
-        assert rows_of(read_current(spark, out, "links").select(columns)) == rows_of(full.frames["links"].select(columns))
-        assert rows_of(read_current(spark, out, "documents")) == rows_of(full.frames["documents"])
-        store = {r["id"]: r["updated"] for r in read_current(spark, out, "embeddings").collect()}
-        assert store == {"concepts/b": "1", "concepts/c": "1"}
+        assert latest_version(spark, root) == 47
+        for name in set(full.frames) - {"diagnostics", "quarantine"}:
+            assert rows_of(read_current(spark, root, name)) == rows_of(full.frames[name]), name
+        left_out = {(r["code"], r["path"]) for r in read_current(spark, root, "quarantine").collect()}
+        assert left_out == {("frontmatter_missing", "concepts/c.md"), ("concept_identity_collision", "Concepts/Y.md")}
+        assert left_out <= {(r["code"], r["path"]) for r in read_current(spark, root, "diagnostics").collect()}
+        store = {r["id"]: r["updated"] for r in read_current(spark, root, "embeddings").collect()}
+        assert store == {"concepts/b": "44", "concepts/c": "44", "concepts/y": "46", "concepts/z": "47"}
 
     check()
     # A batch that runs again after it was published changes nothing.
-    again = spark.createDataFrame(batches[1], schema)
-    refresh_batch(again, 1, out, letters, "m")
+    assert refresh_batch(spark.createDataFrame(batches[1], CHANGES), 1, root, letters, "m") is None
     check()
-    assert [compact(spark, out, name, 9) for name in ("documents", "links", "embeddings")] == [True] * 3
-    check()
-    assert not compact(spark, out, "links", 10)
+
+
+def test_versions_only_grow(spark, tmp_path):
+    root = str(tmp_path)
+    assert publish(rebuild(vault(spark)), root, 7) == 7
+    with pytest.raises(ValueError):
+        publish(rebuild(vault(spark)), root, 7)
+    assert publish(rebuild(vault(spark)), root) == 8
