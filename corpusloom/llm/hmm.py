@@ -114,23 +114,31 @@ class Model:
     emit: np.ndarray
 
 
-def _layout(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of the sequences by falling length, and how many of them have a token t."""
+def _by_time(classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes with the first tokens of all sequences first, then all second ones, and so on.
+
+    Longer sequences come first, so those that have a token t are the first ones of each part.
+    Also returned: where each part begins (and the last ends), and the order of the sequences.
+    """
     order = np.argsort(-lengths, kind="stable")
-    longest = int(lengths.max(initial=0))
-    alive = len(lengths) - np.searchsorted(np.sort(lengths), np.arange(longest), "right")
-    return order, alive, lengths[order]
+    rank = np.empty(len(lengths), np.int64)
+    rank[order] = np.arange(len(lengths))
+    alive = len(lengths) - np.searchsorted(lengths[order][::-1], np.arange(int(lengths.max(initial=0))), "right")
+    start = np.concatenate([[0], np.cumsum(alive)]).astype(np.int64)
+    time = np.arange(len(classes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out = np.empty_like(classes)
+    out[start[time] + np.repeat(rank, lengths)] = classes
+    return out, start, order
 
 
 def forward(model: Model, classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """log10 likelihood of each of consecutive sequences, all advanced token by token together."""
-    order, alive, _ = _layout(lengths)
-    first = (np.cumsum(lengths) - lengths)[order]
+    classes, start, order = _by_time(classes, lengths)
     out = np.zeros(len(lengths))
     state = np.repeat(model.start[None, :], len(lengths), 0)
-    for t, n in enumerate(alive.tolist()):
-        state = state[:n] if t == 0 else state[:n] @ model.move
-        state = state * model.emit[classes[first[:n] + t]]
+    for t, (low, high) in enumerate(zip(start[:-1].tolist(), start[1:].tolist())):
+        n = high - low
+        state = (state[:n] if t == 0 else state[:n] @ model.move) * model.emit[classes[low:high]]
         scale = state.sum(1)
         state /= scale[:, None]
         out[:n] += np.log10(scale)
@@ -141,33 +149,32 @@ def forward(model: Model, classes: np.ndarray, lengths: np.ndarray) -> np.ndarra
 
 def expected_counts(model: Model, classes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Baum-Welch: expected starts, moves and emissions (class, state) of consecutive sequences."""
-    order, alive, _ = _layout(lengths)
-    first = (np.cumsum(lengths) - lengths)[order]
-    states = len(model.start)
+    classes, start, _ = _by_time(classes, lengths)
+    states, parts = len(model.start), list(zip(start[:-1].tolist(), start[1:].tolist()))
     emitted = model.emit[classes]
     ahead, scales = np.empty((len(classes), states)), np.empty(len(classes))
     state = np.repeat(model.start[None, :], len(lengths), 0)
-    for t, n in enumerate(alive.tolist()):
-        at = first[:n] + t
-        state = state[:n] if t == 0 else state[:n] @ model.move
-        state = state * emitted[at]
+    for t, (low, high) in enumerate(parts):
+        n = high - low
+        state = (state[:n] if t == 0 else state[:n] @ model.move) * emitted[low:high]
         scale = state.sum(1)
         state /= scale[:, None]
-        ahead[at], scales[at] = state, scale
+        ahead[low:high], scales[low:high] = state, scale
+    emitted /= scales[:, None]
     moves = np.zeros((states, states))
     back = np.ones((0, states))
-    for t in range(len(alive) - 1, 0, -1):
-        n = int(alive[t])
-        at = first[:n] + t
-        # Texts that end here join with a value of one.
-        back = np.concatenate([back, np.ones((n - len(back), states))])
-        weighted = emitted[at] * back / scales[at][:, None]
-        moves += ahead[at - 1].T @ weighted
+    for t in range(len(parts) - 1, 0, -1):
+        low, high = parts[t]
+        n, before = high - low, parts[t - 1][0]
+        weighted = emitted[low:high]
+        # Texts that end here go on with a value of one.
+        weighted[: len(back)] *= back
+        moves += ahead[before : before + n].T @ weighted
         back = weighted @ model.move.T
-        ahead[at - 1] *= back
-    begin = ahead[first[: int(alive[0])]] if len(alive) else np.zeros((0, states))
+        ahead[before : before + n] *= back
+    begin = ahead[: parts[0][1]].sum(0) if parts else np.zeros(states)
     emissions = np.stack([np.bincount(classes, ahead[:, s], len(model.emit)) for s in range(states)], axis=1)
-    return begin.sum(0), moves * model.move, emissions
+    return begin, moves * model.move, emissions
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], cut: int | None) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
