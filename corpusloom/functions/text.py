@@ -39,8 +39,6 @@ _CJK_RUN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]+"
 # Punctuation, symbols and white space; plain lower-case letters and digits are ruled out first.
 SEPARATORS = rf"[[^a-z0-9]&&[\p{{P}}\p{{S}}{SPACE}]]+"
 
-MAX_TERMS = 30
-
 
 @F.pandas_udf(T.StringType())
 def _nfkc(values: pd.Series) -> pd.Series:
@@ -126,8 +124,11 @@ def _grams(run: Column, size: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def terms_of(normalized: Column) -> Column:
-    """Query terms of normalised text: phrase, compact phrase, words, Latin runs, CJK 2/3-grams."""
+def terms_of(normalized: Column, most: int | None = None) -> Column:
+    """Query terms of normalised text: phrase, compact phrase, words, Latin runs, CJK 2/3-grams.
+
+    All distinct ones, or the first `most`.
+    """
     none = F.array().cast("array<string>")
     squeezed = compact_text(normalized)
     long_word = lambda w: (F.length(w) >= 2) | (F.octet_length(w) == 4)
@@ -140,11 +141,12 @@ def terms_of(normalized: Column) -> Column:
         F.regexp_extract_all(normalized, F.lit("[a-z0-9]{2,}"), F.lit(0)),
         grams,
     )
-    return F.slice(F.array_distinct(terms), 1, MAX_TERMS)
+    terms = F.array_distinct(terms)
+    return terms if most is None else F.slice(terms, 1, most)
 
 
-def query_terms(c: Column) -> Column:
-    return terms_of(normalize_text(c))
+def query_terms(c: Column, most: int | None = None) -> Column:
+    return terms_of(normalize_text(c), most)
 
 
 # Names that may not become file names as they are.

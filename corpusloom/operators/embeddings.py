@@ -13,8 +13,7 @@ from ..session import broadcast_if_small, materialise
 from .registry import with_fields
 from .skew import lookup_join
 
-# Limits of an embedding text and of one embedding request.
-BODY_UNITS = 8000
+# Limits of one embedding request; a longer text is a request of its own.
 BATCH_TEXTS = 96
 BATCH_CHARS = 45_000
 KEYS = ["aliases", "recall_triggers", "summary", "description", "tags", "category", "domain"]
@@ -22,8 +21,8 @@ KEYS = ["aliases", "recall_triggers", "summary", "description", "tags", "categor
 EmbedFn = Callable[[list[str]], list[list[float]]]
 
 
-def embedding_text(pages: DataFrame) -> Column:
-    """Text to embed: title, type, metadata lines, a blank line, the start of the body.
+def embedding_text(pages: DataFrame, body_units: int | None = None) -> Column:
+    """Text to embed: title, type, metadata lines, a blank line, the body (or its first body_units).
 
     `pages` supplies the column types: list columns are joined with ', '.
     """
@@ -42,14 +41,15 @@ def embedding_text(pages: DataFrame) -> Column:
         F.concat(F.lit("type: "), trim_space(blank_to_null(F.col("type")))),
         *[line(n) for n in KEYS],
     )
-    body = left_units(trim_space(F.coalesce("body", F.lit(""))), BODY_UNITS)
+    body = trim_space(F.coalesce("body", F.lit("")))
+    body = body if body_units is None else left_units(body, body_units)
     return F.when(body != "", F.concat(head, F.lit("\n\n"), body)).otherwise(head)
 
 
-def page_texts(pages: DataFrame) -> DataFrame:
-    """texts(id, text, hash) of pages that have a body column."""
+def page_texts(pages: DataFrame, body_units: int | None = None) -> DataFrame:
+    """texts(id, text, hash) of pages that have a body column; the hash is that of the text embedded."""
     pages = with_fields(pages, KEYS + ["title", "body"])
-    return pages.select("id", embedding_text(pages).alias("text")).withColumn(
+    return pages.select("id", embedding_text(pages, body_units).alias("text")).withColumn(
         "hash", content_hash(F.col("text"))
     )
 

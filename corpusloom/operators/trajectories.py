@@ -13,7 +13,7 @@ from ..session import computed_once
 from ..sources.packets import daily_ids
 from .skew import with_positions
 
-# Preview lengths.
+# Lengths of previews and titles.
 TOOL_UNITS, TEXT_UNITS, TITLE_UNITS = 600, 1200, 60
 
 _ENTRY = (
@@ -29,17 +29,19 @@ def _blocks(content: Column, kind: str) -> Column:
     return F.coalesce(wanted, F.array().cast("array<variant>"))
 
 
-def _content_text(content: Column, units: int) -> Column:
-    """A string as it is, or the text blocks of a list joined and trimmed; cut to `units`."""
+def _content_text(content: Column) -> Column:
+    """A string as it is, or the text blocks of a list joined and trimmed."""
     parts = F.transform(
         _blocks(content, "text"), lambda b: F.coalesce(F.try_variant_get(b, "$.text", "string"), F.lit(""))
     )
     plain = F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(content, "$", "string"))
-    return left_units(F.coalesce(plain, trim_space(F.array_join(parts, "\n"))), units)
+    return F.coalesce(plain, trim_space(F.array_join(parts, "\n")))
 
 
 def message_steps(entries: DataFrame) -> DataFrame:
-    """steps(session_id, turn, role, text, model, tool_calls, tool_call_id, tool_name, is_error).
+    """steps(session_id, turn, role, text, preview, model, tool_calls, tool_call_id, tool_name, is_error).
+
+    text is the whole text, preview its beginning.
 
     entries(session_id, turn, entry): entry is the JSON of one session entry. Entries that are
     no message, and assistant messages without text and tool calls, give no step.
@@ -50,7 +52,7 @@ def message_steps(entries: DataFrame) -> DataFrame:
     rows = rows.where(
         (F.col("_m.type") == "message") & message["role"].isin("user", "assistant", "toolResult")
     ).withColumns({"role": message["role"], "content": message["content"]})
-    rows = computed_once(rows, {"_calls": _blocks(content, "toolCall"), "_text": _content_text(content, TEXT_UNITS)})
+    rows = computed_once(rows, {"_calls": _blocks(content, "toolCall"), "_text": _content_text(content)})
     calls = F.transform(
         "_calls",
         lambda b: F.struct(
@@ -64,7 +66,8 @@ def message_steps(entries: DataFrame) -> DataFrame:
     silent = is_assistant & (F.col("_text") == "") & (F.size("_calls") == 0)
     return rows.where(~silent).select(
         "session_id", "turn", F.when(is_tool, "tool").otherwise(F.col("role")).alias("role"),
-        F.when(is_tool, left_units(F.col("_text"), TOOL_UNITS)).otherwise(F.col("_text")).alias("text"),
+        F.col("_text").alias("text"),
+        F.when(is_tool, left_units(F.col("_text"), TOOL_UNITS)).otherwise(left_units(F.col("_text"), TEXT_UNITS)).alias("preview"),
         F.when(is_assistant, message["model"]).alias("model"),
         F.when(is_assistant, calls).otherwise(no_calls).alias("tool_calls"),
         F.when(is_tool, message["toolCallId"]).alias("tool_call_id"),

@@ -68,7 +68,7 @@ def compact(column: str) -> str:
 
 
 def term_rows(source: str, key: str, text: str, prefix: str = "") -> str:
-    """CTEs ending in {prefix}terms(k, pos, term): distinct terms in generation order, 30 at most."""
+    """CTEs ending in {prefix}terms(k, pos, term): distinct terms in generation order."""
     p = prefix
     return rf"""{p}nq as (select {key} as k, {norm(text)} as n from {source}),
 {p}raw_terms as (
@@ -79,8 +79,8 @@ def term_rows(source: str, key: str, text: str, prefix: str = "") -> str:
     regexp_extract_all(n, '[a-z0-9]{{2,}}')) as ts from {p}nq),
 {p}pos_terms as (select k, unnest(ts) as term, generate_subscripts(ts, 1) as p from {p}raw_terms),
 {p}first_terms as (select k, term, min(p) as p from {p}pos_terms group by k, term),
-{p}terms as (select k, term, pos from (
-  select k, term, row_number() over (partition by k order by p) - 1 as pos from {p}first_terms) where pos < 30)"""
+{p}terms as (
+  select k, term, row_number() over (partition by k order by p) - 1 as pos from {p}first_terms)"""
 
 
 def slug(column: str) -> str:
@@ -371,7 +371,7 @@ select session_id, seq, cast(counter as bigint) as counter, observed, action = '
 EMBED = DOCS + r""",
 emb_text as (
   select id, doc_id, concat('title: ', coalesce(nullif(trim(title), ''), id), chr(10), 'type: ', type, chr(10), 'tags: ', tags, chr(10), 'category: ', category,
-    case when trim(body, e' \t\n\r') <> '' then concat(chr(10), chr(10), substring(trim(body, e' \t\n\r'), 1, 8000)) else '' end) as text from docs),
+    case when trim(body, e' \t\n\r') <> '' then concat(chr(10), chr(10), trim(body, e' \t\n\r')) else '' end) as text from docs),
 hashed as (select id, doc_id, text, sha256(text) as hash from emb_text),
 store as (
   select case when doc_id % 10 = 9 then concat('old/', id) else id end as id, case when doc_id % 10 = 1 then '0' else hash end as hash,
@@ -482,7 +482,7 @@ from ex"""
 PENDING = """pend as (
   select concat('SRC-', lpad(cast(d.doc_id as varchar), 9, '0')) as id from documents d left join labels l on l.doc_id = d.doc_id where coalesce(l.quality, 0) <> 1)"""
 ORACLES["pending_ingest"] = f"with {PENDING} select id from pend"
-ORACLES["pending_batch"] = f"with {PENDING} select id, (select greatest(count(*) - 5, 0) from pend) as remaining from pend order by id limit 5"
+ORACLES["pending_batch"] = f"with {PENDING} select id, (select greatest(count(*) - 9, 0) from pend) as remaining from pend order by id limit 9"
 
 COMMIT = f"""parts as (select *, concat('SRC-', lpad(cast(p_partkey as varchar), 9, '0')) as source_id, case when p_partkey % 3 = 0 then 'de' else 'en' end as lang from part),
 mentions as (
@@ -570,7 +570,7 @@ ORACLES["insights"] = r"""select case when doc_id % 6 = 0 then concat('Bad Slug
 
 STEPS = r"""steps as (
   select concat('chat/', cast(conv_id as varchar)) as session_id, turn, case when role = 'assistant' then 'assistant' else 'user' end as role,
-    case when role = 'assistant' then substring(trim(text, e' \t\n\r'), 1, 1200) else substring(text, 1, 1200) end as text,
+    case when role = 'assistant' then trim(text, e' \t\n\r') else text end as text,
     case when role = 'assistant' then concat('m', cast(turn as varchar)) end as model,
     case when role = 'assistant' then (['read','bash','edit'])[((conv_id + turn) % 3) + 1] end as tool from conversations),
 summary as (

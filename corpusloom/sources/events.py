@@ -33,11 +33,37 @@ def read_event_lines(spark: SparkSession, path: str) -> tuple[DataFrame | None,
     return lines.withColumn("seq", F.col("seq").cast("bigint")), spark.createDataFrame([], schema)
 
 
+# Date spellings besides ISO 8601, once the name of the day and the zone are taken off.
+_SPELLINGS = [
+    "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy", "MMM d yyyy HH:mm:ss", "MMM d yyyy HH:mm", "MMM d yyyy",
+    "d MMMM yyyy", "MMMM d yyyy", "MMMM d yyyy HH:mm:ss", "yyyy/M/d HH:mm:ss", "yyyy/M/d HH:mm", "yyyy/M/d",
+    "M/d/yyyy HH:mm:ss", "M/d/yyyy HH:mm", "M/d/yyyy",
+]
+
+
+def _instant(stamp: Column) -> Column:
+    """Instant of a timestamp's text, NULL for none."""
+    iso = F.when(stamp.rlike(r"^\d{4}(?:-\d{2}(?:-\d{2}(?:[T ]\d{2}:\d{2}.*)?)?)?$"), F.try_to_timestamp(stamp))
+    plain = F.regexp_replace(stamp, r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
+    zone = F.regexp_extract(plain, r"(?:GMT|UTC|Z|\s)([+-]\d{2}:?\d{2})$", 1)
+    plain = F.trim(F.regexp_replace(F.regexp_replace(plain, r"\s*(?:GMT|UTC|Z)?(?:\s*[+-]\d{2}:?\d{2})?$", ""), r",\s*|\s+", " "))
+    named = F.when(plain.rlike(r"^(?:\d{1,2} [A-Za-z]|[A-Za-z]{3,9} \d|\d{1,4}/)"), F.coalesce(*[F.try_to_timestamp(plain, F.lit(p)) for p in _SPELLINGS]))
+    minutes = F.regexp_replace(zone, ":", "")
+    sign = F.when(minutes.startswith("-"), -1).otherwise(1)
+    offset = F.when(minutes == "", 0).otherwise(
+        sign * (F.substring(minutes, 2, 2).try_cast("int") * 60 + F.substring(minutes, 4, 2).try_cast("int"))
+    )
+    return F.coalesce(iso, named - F.make_dt_interval(mins=offset))
+
+
 def parse_events(raw_events: DataFrame) -> DataFrame:
     """Parse raw_events(seq, raw): adds code (NULL when valid), epoch_ms, event_date, kind, details.
 
-    Blank lines are dropped. Timestamps are ISO 8601; the day is the UTC day.
+    Blank lines are dropped. Timestamps are ISO 8601 (from a year alone to fractions of a
+    second), or dates with named months or slashes as in mail headers; without an offset they
+    are UTC, and the day is the UTC day. Of a key that is repeated the last value counts.
     """
+    raw_events.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     rows = raw_events.where(trim_space(F.col("raw")) != "")
     rows = computed_once(rows, {"_v": F.try_parse_json("raw")})
     rows = computed_once(rows, {
@@ -53,9 +79,8 @@ def parse_events(raw_events: DataFrame) -> DataFrame:
         "_stamp": text("timestamp"), "_kind": text("kind"),
         "_rest": F.map_filter("_members", lambda k, v: ~k.isin(*_RESERVED)),
     })
-    iso = F.col("_stamp").rlike(r"^\d{4}-\d{2}(?:-\d{2}(?:[T ]\d{2}:\d{2}.*)?)?$")
     rows = computed_once(rows, {
-        "epoch_ms": F.unix_millis(F.when(iso, F.try_to_timestamp("_stamp"))),
+        "epoch_ms": F.unix_millis(_instant(F.col("_stamp"))),
         "kind": trim_space(blank_to_null(F.col("_kind"))),
         "details": F.when(F.size("_rest") > 0, F.to_json("_rest")).otherwise(""),
         "_object": F.col("_members").isNotNull(),

@@ -50,6 +50,19 @@ def test_odd_lines(spark):
     assert line == "- **a\\_b\\*\\[c\\] d\\\\**"
 
 
+def test_spellings_of_instants_and_repeated_keys(spark):
+    spellings = {
+        "Tue, 02 Jan 2024 10:00:00 GMT": "2024-01-02 10:00", "2 Jan 2024 10:00 +0130": "2024-01-02 08:30", "Jan 2, 2024": "2024-01-02 00:00",
+        "March 5, 2024": "2024-03-05 00:00", "2024": "2024-01-01 00:00", "2024-03": "2024-03-01 00:00", "2024/3/5 07:08": "2024-03-05 07:08",
+        "3/5/2024": "2024-03-05 00:00", "Tue Jan 02 2024 10:00:00 GMT-0200": "2024-01-02 12:00", "2024-01-02T10:00:00.5Z": "2024-01-02 10:00",
+    }
+    wrong = ["12:30", "soon", "Jan", "2024-13-01", "40 Jan 2024", "1/2"]
+    lines = [f'{{"timestamp":"no","kind":"a","kind":"b","timestamp":"{t}"}}' for t in [*spellings, *wrong]]
+    rows = ev.parse_events(raw(spark, lines)).withColumn("at", F.date_format(F.timestamp_millis("epoch_ms"), "yyyy-MM-dd HH:mm")).orderBy("seq").collect()
+    assert [r["at"] for r in rows] == [*spellings.values(), *[None] * len(wrong)]
+    assert {r["kind"] for r in rows} == {"b"}
+
+
 def test_activity_log_keeps_member_order(spark):
     rows = ev.activity_log(raw(spark, LINES)).orderBy("seq").collect()
     assert rows[0]["heading"] == "## [2025-03-09T23:30:00Z] import"

@@ -38,7 +38,7 @@ def terms(query):
     out = [n, n.replace(" ", "")] + [w for w in n.split(" ") if len(w) >= 2] + re.findall("[a-z0-9]{2,}", n)
     for run in re.findall("[぀-ヿ一-鿿]+", n):
         out += [run[i : i + size] for size in (2, 3) for i in range(len(run) - size + 1)]
-    return list(dict.fromkeys(t for t in out if t))[:30]
+    return list(dict.fromkeys(t for t in out if t))
 
 
 def points(text, ts, weight):

