@@ -24,7 +24,7 @@ from corpusloom.llm.tokens import by_bytes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Stretches of up to so many characters are searched side by side.
 SIDE_BY_SIDE = 64
-CACHED = 400_000
+CACHED = 150_000
 _SPACE = "▁"
 _STRETCH = re.compile(r" *[^ ]+| +")
 _LINED = re.compile(r" *[^ \n]+|\n| +")
@@ -157,7 +157,7 @@ class Searcher:
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
         prefixes: dict[str, int] = {}
         for k, text in enumerate(pieces.texts):
             for n in range(1, len(text)):
@@ -202,7 +202,8 @@ class Searcher:
             value[same] = self.values[slot[same]]
         return known, value
 
-    def _side_by_side(self, stretches: list[str]) -> list[tuple[int, ...]]:
+    def _side_by_side(self, stretches: list[str]) -> list[bytes]:
+        """The ids of each stretch, as the bytes of 32-bit numbers."""
         lengths = np.array([len(s) for s in stretches])
         codes = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
         first = np.cumsum(lengths) - lengths
@@ -260,28 +261,51 @@ class Searcher:
         char = codes[np.minimum(left - owner, len(codes) - 1)].astype(np.int64) - 1
         single = np.where(char < 128, self.byte_ids[np.minimum(char, 127)], -1)
         flat = np.where(piece >= 0, self.piece_ids[piece], single)
-        ids, ends = flat.tolist(), np.cumsum(np.bincount(owner, minlength=len(stretches))).tolist()
-        out = [tuple(ids[low:high]) for low, high in zip([0, *ends[:-1]], ends)]
+        ids, ends = flat.astype(np.int32).tobytes(), (4 * np.cumsum(np.bincount(owner, minlength=len(stretches)))).tolist()
+        out = [ids[low:high] for low, high in zip([0, *ends[:-1]], ends)]
         for i in np.unique(owner[flat < 0]).tolist():
-            out[i] = tuple(encode_stream([stretches[i]], self.pieces))
+            out[i] = self._streamed(stretches[i])
         return out
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """The ids of each text; null and empty texts have none."""
+    def _streamed(self, stretch: str) -> bytes:
+        return np.array(encode_stream([stretch], self.pieces), np.int32).tobytes()
+
+    def packed(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text, as the bytes of 32-bit numbers; null and empty texts have none."""
         prefix = " " if self.pieces.dummy_prefix else ""
         cut = [self.stretch.findall(prefix + t) if t else [] for t in texts]
         if len(self.cache) > CACHED:
             self.cache.clear()
         new = {s for stretches in cut for s in stretches if s not in self.cache}
         short = [s for s in new if len(s) <= SIDE_BY_SIDE]
-        for low in range(0, len(short), 1 << 16):
-            part = short[low : low + (1 << 16)]
+        for low in range(0, len(short), 1 << 15):
+            part = short[low : low + (1 << 15)]
             self.cache.update(zip(part, self._side_by_side(part)))
         for s in new:
             if len(s) > SIDE_BY_SIDE:
-                self.cache[s] = tuple(encode_stream([s], self.pieces))
+                self.cache[s] = self._streamed(s)
         look = self.cache.__getitem__
-        return [list(chain.from_iterable(map(look, stretches))) for stretches in cut]
+        return [b"".join(map(look, stretches)) for stretches in cut]
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        """The ids of each text."""
+        return [np.frombuffer(ids, np.int32).tolist() for ids in self.packed(texts)]
+
+
+class Decoder:
+    """Bytes of many arrays of ids at once."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        known = pieces.decoder()
+        parts = [known.get(i, b"") for i in range(max(known, default=-1) + 1)]
+        self.size = np.array([len(p) for p in parts], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(parts), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        size = self.size[ids]
+        shift = np.repeat(self.start[ids] - (np.cumsum(size) - size), size)
+        return self.data[shift + np.arange(len(shift))].tobytes()
 
 
 def decode_ids(ids: Iterable[int], decoder: dict[int, bytes], dummy_prefix: bool) -> str:
@@ -307,13 +331,20 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pieces(*shared.value)
-        searcher, decoder = Searcher(own), own.decoder()
-        for batch in by_bytes(batches, most=2 << 20):
+        searcher, decoder = Searcher(own), Decoder(own)
+        prefix = b" " if own.dummy_prefix else b""
+        for batch in by_bytes(batches, most=1 << 20):
             texts = batch.column("text").to_pylist()
-            found = searcher.encode(texts)
-            same = [decode_ids(ids, decoder, own.dummy_prefix) == (t or "") for ids, t in zip(found, texts)]
+            found = searcher.packed(texts)
+            sizes = np.array([len(x) // 4 for x in found], np.int64)
+            ids = np.frombuffer(b"".join(found), np.int32)
+            places = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            same = [
+                decoder.decode(ids[low:high]) == (prefix + t.encode() if t else b"")
+                for t, low, high in zip(texts, places[:-1].tolist(), places[1:].tolist())
+            ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("carried"), pa.array([len(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.int32())), pa.array(same)],
+                [batch.column("id"), batch.column("carried"), pa.array(sizes), pa.ListArray.from_arrays(pa.array(places), pa.array(ids)), pa.array(same)],
                 ["id", "carried", "n_tokens", "ids", "round_trip"],
             )
 
