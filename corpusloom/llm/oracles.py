@@ -1,3 +1,64 @@
-"""DuckDB SQL for the queries that SQL can express over whole tables."""
+"""DuckDB SQL for the queries that SQL can express over whole tables.
 
-LLM_ORACLES: dict[str, str] = {}
+The others have a learned model or a dynamic program in their result; tests compare them with
+plain versions on small fixtures.
+"""
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"'[^\x20\x09-\x0D]+'"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+_REPEATS = rf"""with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) as ws from documents),
+win as (
+  select r, i, md5(array_to_string(list_slice(ws, i, i + 34), ' ')) as k
+  from (select r, ws, unnest(range(1, len(ws) - 33)) as i from d)),
+twice as (select k from win group by k having count(*) > 1),
+gone as (select distinct r, i + o as p from win semi join twice using (k), (select unnest(range(35)) as o)),
+word as (select r, unnest(ws) as w, generate_subscripts(ws, 1) as p from d),
+kept as (
+  select r, string_agg(w, ' ' order by p) as text from word anti join gone using (r, p) group by r),
+lost as (select r, count(*) as n from gone group by r)
+select doc_id, len(ws) as n_words, coalesce(n, 0) as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from d left join kept using (r) left join lost using (r)"""
+
+_OVERLAPS = rf"""with d as (
+  select row_number() over () as r, doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) as ws from documents),
+b as (
+  select item_id, ws, least(13, len(ws)) as n
+  from (select item_id, regexp_extract_all({_LOWER}, {_ALNUM}) as ws from benchmark) where len(ws) > 0),
+bw as (
+  select distinct item_id, n, array_to_string(list_slice(ws, i, i + n - 1), ' ') as k
+  from (select *, unnest(range(1, len(ws) - n + 2)) as i from b)),
+dw as (
+  select r, n, i, array_to_string(list_slice(ws, i, i + n - 1), ' ') as k
+  from (select r, ws, n, unnest(range(1, len(ws) - n + 2)) as i from d, (select distinct n from b))),
+hit as (select r, dw.n as n, i, item_id from dw join bw on dw.k = bw.k and dw.n = bw.n),
+words as (select r, count(distinct i + o) as n_hit from hit, (select unnest(range(13)) as o) where o < n group by r),
+items as (select r, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct r, cast(item_id as varchar) as id from hit) group by r)
+select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from d left join words using (r) left join items using (r)"""
+
+_NEAR = rf"""with recursive w as (
+  select doc_id, regexp_extract_all({_LOWER}, {_SPACED}) as ws from documents),
+s as (
+  select distinct doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') as k
+  from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) as i from w where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b using (k) where a.doc_id < b.doc_id group by all),
+link as (
+  select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+edge as (select a, b from link union all select b, a from link),
+reach as (
+  select doc_id as id, doc_id as seen from documents
+  union select reach.id, edge.b from reach join edge on edge.a = reach.seen),
+least_of as (select id, min(seen) as component_id from reach group by id)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+from documents left join n using (doc_id) join least_of on id = doc_id"""
+
+LLM_ORACLES: dict[str, str] = {
+    "op3_substring_dedup": _REPEATS,
+    "op8_decontamination": _OVERLAPS,
+    "op9_near_duplicates": _NEAR,
+}
