@@ -11,7 +11,6 @@ from ..functions.text import blank_to_null, left_units, normalize_text, trim_spa
 from ..functions.vectors import content_hash, normalize_vector
 from ..session import broadcast_if_small, materialise
 from .registry import with_fields
-from .skew import lookup_join
 
 # Limits of one embedding request; a longer text is a request of its own.
 BATCH_TEXTS = 96
@@ -191,6 +190,6 @@ def embed_queries(queries: DataFrame, embed: EmbedFn) -> DataFrame:
     once = keyed.groupBy("key").agg(F.min_by("query", "query_id").alias("text"))
     texts = once.select(F.col("key").alias("id"), "text", F.lit("").alias("hash"))
     vectors = materialise(embed_texts(texts, embed)).select(F.col("id").alias("key"), "vector")
-    return lookup_join(keyed.select("query_id", "key"), vectors, "key", "inner", salt_by=F.col("query_id")).select(
+    return keyed.select("query_id", "key").join(vectors, "key").select(
         "query_id", "vector"
     )

@@ -14,7 +14,6 @@ from ..functions.commonmark import markdown_links
 from ..functions.paths import resolve_markdown_target, resolve_wikilink_target
 from ..functions.text import nfc, trim_space
 from ..session import computed_once, materialise
-from .skew import lookup_join
 
 WIKILINK = r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"
 _INLINE = r"\[[^\[\]]*\]\(([^()\s]+)\)"
@@ -86,15 +85,15 @@ def extract_links(docs: DataFrame) -> DataFrame:
 
 
 def resolve_links(links: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links with a `known` flag: does dst name a document? Popular targets are split.
+    """Links with a `known` flag: does dst name a document?
 
-    Links are checkpointed before and after: bodies are scanned once, and finding popular
-    targets, the join and all its consumers read the small link rows.
+    One checkpoint after the join: bodies are scanned once, and all consumers read link rows.
     """
-    links = materialise(links)
-    known = docs.select(F.col("id").alias("dst"), F.lit(True).alias("known"))
-    joined = lookup_join(links, known, "dst", "left", salt_by=F.struct("src", "seq"))
-    return materialise(joined.withColumn("known", F.coalesce("known", F.lit(False))))
+    known = docs.select(F.col("id").alias("_key"), F.lit(True).alias("known"))
+    # Links without a target get keys of their own, which match nothing and spread over tasks.
+    nowhere = F.concat(F.lit("\0"), F.xxhash64("src", "seq").cast("string"))
+    joined = links.withColumn("_key", F.coalesce("dst", nowhere)).join(known, "_key", "left")
+    return materialise(joined.withColumn("known", F.coalesce("known", F.lit(False))).select(*links.columns, "known"))
 
 
 def edges(resolved: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import slugify
 from .links import gap_counts, unresolved_links
-from .skew import lookup_join
 
 # Fixed value: the marker that generated pages carry.
 CONTRADICTION_MARKERS = ("⚠️ **Contradiction",)
@@ -118,7 +117,7 @@ def stub_mentions(stubs: DataFrame, gap_rows: DataFrame) -> DataFrame:
     Of two topics leading to one page, the one created first (lower in order) fills it.
     """
     chosen = stubs.groupBy("id").agg(F.min("topic").alias("topic"))
-    return lookup_join(gap_rows, chosen, "topic", "inner").select(
+    return gap_rows.join(chosen, "topic").select(
         "id", "mentioned_by",
         F.concat(F.lit("["), "mentioned_by", F.lit("](/"), "mentioned_by", F.lit(".md)")).alias("link"),
     )

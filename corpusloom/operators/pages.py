@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import observation_slug, slugify, valid_insight_slug
-from .skew import lookup_join
 
 # Page type, its folder, and the body a new page starts with.
 FOLDERS = {
@@ -80,7 +79,7 @@ def ensure_pages(requests: DataFrame, pages: DataFrame, day: str) -> tuple[DataF
         F.coalesce("content", template(F.col("type"), F.col("title"))).alias("body"),
     )
     creators = missing.select("id", F.col("request_id").alias("_creator"))
-    outcomes = lookup_join(rows.select("request_id", "id"), creators, "id", "left").select(
+    outcomes = rows.select("request_id", "id").join(creators, "id", "left").select(
         "request_id", "id", F.col("_creator").eqNullSafe(F.col("request_id")).alias("created")
     )
     return new_pages, outcomes

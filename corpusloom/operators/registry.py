@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.paths import encode_path, escape_label, is_reserved, scan_order
 from ..functions.text import blank_to_null, collapse_space, nfc, path_title, trim_space
-from .skew import lookup_join
 
 # Columns a page table may have besides id, type, title and body; missing ones read as NULL.
 FIELDS = [
@@ -248,7 +247,7 @@ def identity_collisions(files: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
     ).where("n > 1").select("identity", "f.first_path")
     return (
-        lookup_join(pages, first, "identity", "inner")
+        pages.join(first, "identity")
         .where(F.col("path") != F.col("first_path"))
         .select(
             F.lit("error").alias("severity"),

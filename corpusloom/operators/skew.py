@@ -1,4 +1,7 @@
-"""Joins and orderings that survive one key holding a large share of all rows."""
+"""Numbering that survives one group holding a large share of all rows.
+
+Joins need no help here: the session lets Spark split a skewed side of a join at run time.
+"""
 
 from __future__ import annotations
 
@@ -6,49 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialise
 
-# A key is hot when it holds more than 1/HOT_SHARE of all rows: at most HOT_SHARE keys.
-HOT_SHARE = 64
-SALTS = 64
-# Fewer left rows than this fit any task: no key can be too hot.
-SMALL_ROWS = 200_000
-
-
-def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
-    """Keys holding more than 1/share of the rows; provably fewer than `share` of them."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total")).scalar()
-    return counts.where(F.col("_n") * F.lit(share) > total).select(key)
-
-
-def lookup_join(
-    left: DataFrame, right: DataFrame, key: str, how: str = "left", salt_by: Column | None = None
-) -> DataFrame:
-    """Join many rows to a side that has one row per key, splitting hot keys.
-
-    Rows of a hot key spread over SALTS tasks and the one matching right row is copied
-    to each; cold keys are not copied. The hot list is bounded (see hot_keys), so it is
-    the only thing broadcast. Inputs counted as small join directly.
-    """
-    if left.count() <= SMALL_ROWS:
-        return left.join(right, key, how)
-    hot = F.broadcast(materialise(hot_keys(left, key).select(F.col(key).alias("_hot"))))
-    salt_source = salt_by if salt_by is not None else F.struct(*[F.col(c) for c in left.columns])
-    left_salted = left.join(hot, F.col(key) == F.col("_hot"), "left").withColumn(
-        "_salt",
-        F.when(
-            F.col("_hot").isNotNull(), F.pmod(F.xxhash64(salt_source), F.lit(SALTS)).cast("int")
-        ).otherwise(F.lit(0)),
-    ).drop("_hot")
-    right_salted = right.join(hot, F.col(key) == F.col("_hot"), "left").withColumn(
-        "_salt",
-        F.explode(
-            F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1)))
-            .otherwise(F.array(F.lit(0)))
-        ),
-    ).drop("_hot")
-    return left_salted.join(right_salted, [key, "_salt"], how).drop("_salt")
-
-
 def range_slices(df: DataFrame, order: list[Column], slices: int | None = None) -> DataFrame:
     """Range-partition by `order` and tag rows with their slice number.
 

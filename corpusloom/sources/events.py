@@ -6,12 +6,12 @@ with sort keys; a day that holds a third of the history is never gathered into o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.text import blank_to_null, collapse_space, trim_space
 from ..operators.skew import with_positions
-from ..session import computed_once
+from ..session import broadcast_if_small, computed_once, materialise
 
 _RESERVED = ("timestamp", "kind")
 
@@ -19,18 +19,25 @@ _RESERVED = ("timestamp", "kind")
 def read_event_lines(spark: SparkSession, path: str) -> tuple[DataFrame | None, DataFrame]:
     """(raw_events or None, diagnostics). A missing source keeps earlier log tables as they are.
 
-    raw_events(file, seq, raw): seq is the 0-based line number, from one row per whole file.
+    raw_events(file, seq, raw): seq is the 0-based line number. Files are read in splits: a
+    line's number is its place in its split plus the lines of the splits before it.
     """
     schema = "severity string, code string, path string, message string"
     try:
-        files = spark.read.option("wholetext", "true").text(path)
+        lines = spark.read.option("lineSep", "\n").text(path)
     except AnalysisException:
         note = "Authoritative event source is missing; existing log projections were preserved"
         return None, spark.createDataFrame([("warning", "event_source_missing", path, note)], schema)
-    lines = files.select(
-        F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("seq", "raw")
-    )
-    return lines.withColumn("seq", F.col("seq").cast("bigint")), spark.createDataFrame([], schema)
+    placed = lines.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").alias("raw"),
+    )
+    # One row per split: a split is read by one task, in order.
+    splits = placed.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("lines"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("file", "block", (F.coalesce(F.sum("lines").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    numbered = placed.join(broadcast_if_small(materialise(offsets)), ["file", "block"])
+    return numbered.select("file", (F.col("at") + F.col("shift")).alias("seq"), "raw"), spark.createDataFrame([], schema)
 
 
 # Date spellings besides ISO 8601, once the name of the day and the zone are taken off.

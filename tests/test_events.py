@@ -91,6 +91,24 @@ def test_append_and_read(spark, tmp_path):
     assert [(r["kind"], r["details"]) for r in valid] == [("a", '{"x":1}'), ("b", "")] and diagnostics.isEmpty()
 
 
+def test_line_numbers_across_splits(spark, tmp_path):
+    """Files that are read in many splits keep the numbers of their lines."""
+    for name, n in (("a", 3000), ("b", 700)):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(f'{{"n":{i}}}' + "x" * (i % 37) if i % 11 else "" for i in range(n)) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines, _ = ev.read_event_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 5
+        rows = lines.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, n in (("a", 3000), ("b", 700)):
+        own = {r["seq"]: r["raw"] for r in rows if r["file"].endswith(f"{name}.jsonl")}
+        assert sorted(own) == list(range(n))
+        assert all(own[i].startswith(f'{{"n":{i}}}') if i % 11 else own[i] == "" for i in own)
+
+
 def simulate(rows, turns=5):
     state, out = {}, {}
     for session, seq, _, action in sorted(rows, key=lambda r: (r[0], r[2], r[1])):

@@ -3,8 +3,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions.commonmark import markdown_links
-from corpusloom.operators import lint, links, skew
-from corpusloom.operators.skew import hot_keys, lookup_join, with_positions
+from corpusloom.operators import lint, links
+from corpusloom.operators.skew import with_positions
 
 # One of each shape that decides whether brackets are a link.
 SHAPES = [
@@ -72,20 +72,13 @@ def test_lint_pair(spark):
     assert [(s["id"], s["title"], s["mentions"]) for s in stubs] == [("concepts/missing-topic", "missing topic", 2)]
 
 
-def test_hot_lookup_keeps_every_row(spark, monkeypatch):
-    """One key holds most rows: it is found hot, split, and joins like any other."""
-    monkeypatch.setattr(skew, "SMALL_ROWS", 0)
-    left = spark.range(20_000).select(
-        F.col("id").alias("n"), F.when(F.col("id") % 5 < 4, "hot").otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("key")
-    )
-    right = spark.createDataFrame([("hot", 1), ("k4", 2), ("absent", 3)], "key string, value int")
-    assert [r["key"] for r in hot_keys(left, "key").collect()] == ["hot"]
-    joined = lookup_join(left, right, "key", "left", salt_by=F.col("n"))
-    assert joined.count() == 20_000
-    plain = left.join(right, "key", "left")
-    assert joined.select("n", "value").exceptAll(plain.select("n", "value")).isEmpty()
-    inner = lookup_join(left, right, "key", "inner", salt_by=F.col("n"))
-    assert inner.count() == 16_001
+def test_links_without_target_and_hot_targets(spark):
+    """External links have no target; one page that most links point to joins like any other."""
+    docs = page(spark, [("a/hub", ""), *[(f"a/p{i}", "[h](hub.md) [e](https://x.example/) [[a/hub]] [n](none.md)") for i in range(300)]])
+    resolved = links.resolve_links(links.extract_links(docs), docs)
+    assert resolved.count() == 1200 and resolved.where("dst is null and not known").count() == 300
+    inbound = {r["id"]: r["n"] for r in links.inbound_counts(docs, links.edges(resolved)).collect()}
+    assert inbound["a/hub"] == 300 and sum(inbound.values()) == 300
 
 
 def test_positions_span_slices(spark):
