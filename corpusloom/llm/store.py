@@ -21,6 +21,7 @@ def prepare(spark: SparkSession) -> None:
 
     Shuffle files of finished executions are dropped, so that the disk holds one step at a time.
     """
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
