@@ -503,6 +503,21 @@ def uses_links_first(page_count: Column, threshold: int = 50) -> Column:
     return page_count > threshold
 
 
+def vault_sizes(pages: DataFrame) -> DataFrame:
+    """sizes(vault, pages, links_first): how many pages each vault has, and how to show its results."""
+    counted = pages.groupBy("vault").agg(F.count(F.lit(1)).cast("bigint").alias("pages"))
+    return counted.withColumn("links_first", uses_links_first(F.col("pages")))
+
+
+def with_links_first(results: DataFrame, pages: DataFrame, threshold: int = 50) -> DataFrame:
+    """results(query_id, vault, ...) with links_first: whether the vaults that answered a query
+    have, together, more pages than `threshold`, so that links are shown instead of bodies."""
+    sizes = pages.groupBy("vault").agg(F.count(F.lit(1)).alias("_pages"))
+    asked = results.select("query_id", "vault").distinct().join(sizes, "vault")
+    total = asked.groupBy("query_id").agg(uses_links_first(F.sum("_pages"), threshold).alias("links_first"))
+    return results.join(total, "query_id")
+
+
 def link_snippet(preview: Column) -> Column:
     line = collapse_space(preview)
     cut = F.concat(left_units(line, 80), F.lit("…"))

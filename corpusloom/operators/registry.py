@@ -11,6 +11,8 @@ from ..functions.text import blank_to_null, collapse_space, nfc, path_title, tri
 FIELDS = [
     "description", "tags", "category", "domain", "aliases", "recall_triggers", "status",
     "stale_after", "resource", "generated", "verified", "summary", "raw_path", "source_id",
+    # JSON of all values under keys of the producer's own.
+    "extensions",
 ]
 SEARCHED = ["title", "type", "category", "domain", "tags", "aliases", "recall_triggers"]
 

@@ -93,10 +93,11 @@ ORACLES: dict[str, str] = {}
 
 ORACLES["registry_build"] = f"""with {DOCS}
 select id, type, coalesce(nullif(trim(title), ''), split_part(id, '/', 2)) as title, category, tags,
-  cast(null as varchar) as created, cast(null as varchar) as updated, 'page' as origin from docs
+  cast(null as varchar) as created, cast(null as varchar) as updated,
+  concat('{{"owner":"', category, '","size":', cast(length(body) as varchar), '}}') as extensions, 'page' as origin from docs
 union all
 select concat('sources/', pid), 'source', case when page_id % 3 = 0 then url else pid end, null, null,
-  case when page_id % 2 = 0 then '2024-05-01' end, case when page_id % 2 = 0 then '2024-05-01' end, 'packet'
+  case when page_id % 2 = 0 then '2024-05-01' end, case when page_id % 2 = 0 then '2024-05-01' end, null, 'packet'
 from (select page_id, url, case when page_id % 5 = 0 then concat('P', cast(page_id as varchar))
   else concat('DIR-', cast(page_id as varchar)) end as pid from pages)"""
 

@@ -36,6 +36,7 @@ def _resolved(spark, sf_dir):
 @query
 def registry_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpora.docs_corpus(spark, sf_dir)
+    docs = docs.withColumn("extensions", F.concat(F.lit('{"owner":"'), "category", F.lit('","size":'), F.length("body").cast("string"), F.lit("}")))
     packets = corpora.table(spark, sf_dir, "pages").select(
         F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("P"), F.col("page_id").cast("string"))).alias("id"),
         F.concat(F.lit("DIR-"), F.col("page_id").cast("string")).alias("dir"),
@@ -44,7 +45,7 @@ def registry_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     fallback = registry.packet_fallbacks(packets, docs, "sources", "source")
     return registry.full_registry(docs, fallback).select(
-        "id", "type", "title", "category", "tags", "created", "updated", "origin"
+        "id", "type", "title", "category", "tags", "created", "updated", "extensions", "origin"
     )
 
 

@@ -17,15 +17,18 @@ _OUT = "session_id string, seq long, counter long, observed boolean, emit boolea
 _STATE = "counter long, observed boolean"
 
 
-def reminder_stream(events: DataFrame, turns: int = REMINDER_TURNS) -> DataFrame:
+def reminder_stream(events: DataFrame, turns: int = REMINDER_TURNS, expire_days: int = 30) -> DataFrame:
     """state rows for a stream of events(session_id, seq, ts, action), append mode.
 
-    A session's state is two values. Rows of a micro-batch are put in (ts, seq) order; rows
+    A session's state is two values, kept until the session has been silent for expire_days. Rows of a micro-batch are put in (ts, seq) order; rows
     must not be later than an earlier batch's (the source delivers sessions in order). One
     session's rows of a batch meet in one task; reminder_batches has no such limit.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         counter, observed = state.get if state.exists else (0, False)
         rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
         out = []
@@ -39,10 +42,11 @@ def reminder_stream(events: DataFrame, turns: int = REMINDER_TURNS) -> DataFrame
                 counter += 1
             out.append((key[0], seq, counter, observed, action == "turn" and counter >= turns and not observed))
         state.update((counter, observed))
+        state.setTimeoutDuration(expire_days * 86_400_000)
         yield pd.DataFrame(out, columns=["session_id", "seq", "counter", "observed", "emit"])
 
     return events.groupBy("session_id").applyInPandasWithState(
-        step, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout
+        step, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 

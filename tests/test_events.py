@@ -185,6 +185,20 @@ def test_event_stream_and_digest(spark, tmp_path):
     assert got == want
 
 
+def test_digest_of_touched_days_counts_late_events(spark, tmp_path):
+    folder, table, path = tmp_path / "in", str(tmp_path / "table"), str(tmp_path / "digest")
+    folder.mkdir()
+    late = ['{"timestamp":"2025-03-09T01:00:00Z","kind":"import"}', "{broken", '{"timestamp":"2025-04-01T01:00:00Z","kind":"plan"}']
+    for number, lines in enumerate([LINES, late, late[:1]]):
+        (folder / f"{number}.jsonl").write_text("\n".join(lines), encoding="utf-8")
+        stream = stream_events.event_stream(stream_events.read_event_stream(spark, str(folder)))
+        stream_events.digest_batches(stream, table, path, str(tmp_path / "ckpt")).awaitTermination(120)
+    got = {(str(r["period_start"]), r["kind"]): r["events"] for r in spark.read.parquet(path).collect()}
+    batch = ev.event_digest(ev.valid_events(ev.parse_events(raw(spark, LINES + late + late[:1]))))
+    assert got == {(str(r["period_start"]), r["kind"]): r["events"] for r in batch.collect()}
+    assert got["2025-03-09", "import"] == 3
+
+
 def test_first_queries_stream(spark, tmp_path):
     schema = "ts timestamp, model string, query string"
     rows = [("m", "Login form"), ("m", "login-FORM!"), ("n", "login form"), ("m", "other")]

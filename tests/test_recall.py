@@ -241,3 +241,11 @@ def test_layers_put_personal_first(spark):
 def test_links_first_gate(spark):
     df = spark.createDataFrame([(50,), (51,)], "n long").select(rc.uses_links_first(F.col("n")))
     assert [r[0] for r in df.collect()] == [False, True]
+
+
+def test_links_first_by_the_vaults_that_answer(spark):
+    stock = spark.createDataFrame([("big", f"p{i}") for i in range(45)] + [("small", f"q{i}") for i in range(8)], "vault string, id string")
+    results = spark.createDataFrame([("a", "big", "p1"), ("a", "small", "q1"), ("b", "big", "p2"), ("b", "big", "p3")], "query_id string, vault string, id string")
+    got = {(r["query_id"], r["id"]): r["links_first"] for r in rc.with_links_first(results, stock).collect()}
+    assert got == {("a", "p1"): True, ("a", "q1"): True, ("b", "p2"): False, ("b", "p3"): False}
+    assert {r["vault"]: (r["pages"], r["links_first"]) for r in rc.vault_sizes(stock).collect()} == {"big": (45, False), "small": (8, False)}
