@@ -13,7 +13,7 @@ import __spark_entry__ as entry  # noqa: E402
 from check_oracles import compare, connect  # noqa: E402
 
 from corpusloom import session  # noqa: E402
-from corpusloom.operators import recall, skew  # noqa: E402
+from corpusloom.operators import recall  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -35,8 +35,7 @@ LARGE = [
 
 @pytest.mark.parametrize("name", LARGE)
 def test_paths_for_large_inputs_match_too(spark, con, sf_dir, name, monkeypatch):
-    """The same answers when nothing counts as small: salted joins, no broadcasts, many scans."""
-    monkeypatch.setattr(skew, "SMALL_ROWS", -1)
+    """The same answers when nothing counts as small: no broadcasts, many scans."""
     monkeypatch.setattr(session, "BROADCAST_ROWS", -1)
     monkeypatch.setattr(recall, "QUERIES_PER_SCAN", 15)
     monkeypatch.setattr(recall, "BLOCK_ROWS", 40)
