@@ -143,6 +143,8 @@ from paths p join firsts on lower(p.path) = k where p.path <> f"""
 ORACLES["link_extract"] = f"with {LINKS} select src, syntax, target, kind, dst from resolved"
 ORACLES["backlinks"] = f"with {LINKS} select l.id, e.src from linked l left join edges e on e.dst = l.id"
 ORACLES["inbound_counts"] = f"with {LINKS} select id, n from inbound"
+# Broken edits leave the earlier page in place, so all pages are there in the end.
+ORACLES["refresh_result"] = ORACLES["inbound_counts"]
 ORACLES["unresolved_links"] = f"with {LINKS} select src, syntax, dst from unres"
 ORACLES["link_diagnostics"] = f"""with {LINKS}
 select 'warning' as severity, case when kind = 'escape' then 'link_path_escape' else 'link_unresolved' end as code,
