@@ -1,8 +1,8 @@
 """Language-model scoring with a hidden Markov model.
 
 States are latent; a state emits a common word itself, or a class of rare words of which one is
-drawn by its corpus count. Common words are those with a fixed share of some block of the corpus
-at least. Baum-Welch counts of all training texts are summed across partitions; a text's
+drawn by its corpus count. Common words are all those that the training texts have a fixed
+number of times or more, so the symbols grow with the corpus. Baum-Welch counts of all training texts are summed across partitions; a text's
 likelihood is exact, by the scaled forward recursion over the whole of it.
 """
 
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.llm.samples import crc_mod
 from corpusloom.llm.store import prepare, written
@@ -44,19 +44,18 @@ def _known(common: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return place, hit
 
 
-def _common_words(rows: DataFrame, least: float) -> np.ndarray:
-    """Sorted hashes of the words that have a share of `least` in some block: at most 1 / least per block are told."""
+def _word_counts(train: DataFrame) -> DataFrame:
+    """(word, kind, c): how often the training texts have each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
-            own, n = np.unique(words_of(batch.column("text"), SPACED, lower=True).hash, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n)], ["word", "n"]).filter(
-                pa.array(n >= np.maximum(least * n.sum(), 20))
-            )
+            words = words_of(batch.column("text"), SPACED, lower=True)
+            own, at, n = np.unique(words.hash, return_index=True, return_counts=True)
+            kind = _rare_class(words)[at].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(kind), pa.array(n)], ["word", "kind", "n"])
 
-    found = rows.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "word").limit(int(1 / least)).select("word").toPandas()
-    return np.sort(top["word"].to_numpy(np.int64))
+    rows = train.select("text").mapInArrow(run, "word long, kind int, n long")
+    return rows.groupBy("word").agg(F.min("kind").alias("kind"), F.sum("n").alias("c"))
 
 
 def _sequences(rows: DataFrame, common: np.ndarray) -> DataFrame:
@@ -79,7 +78,7 @@ def _sequences(rows: DataFrame, common: np.ndarray) -> DataFrame:
 
 
 def _rare_words(rows: DataFrame, common: np.ndarray) -> DataFrame:
-    """(word, key, kind, n, learned): the rare words of each text, how often, and how often for training."""
+    """(word, key, n): the rare words of each text, and how often."""
     shared = rows.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,22 +86,18 @@ def _rare_words(rows: DataFrame, common: np.ndarray) -> DataFrame:
             words = words_of(batch.column("text"), SPACED, lower=True)
             _, hit = _known(shared.value, words.hash.view(np.int64))
             rare = np.flatnonzero(~hit)
-            row, kind = words.row[rare], _rare_class(words)[rare]
+            row = words.row[rare]
             own = mix(words.hash[rare] ^ (row.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
             _, at, n = np.unique(own, return_index=True, return_counts=True)
             # In the order of the texts, equal keys follow each other and shrink in the shuffle.
             order = np.argsort(at)
             at, n = at[order], n[order].astype(np.int32)
-            held = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)[row[at]]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(words.hash[rare][at].view(np.int64)), batch.column("key").take(pa.array(row[at])),
-                    pa.array(kind[at].astype(np.int32)), pa.array(n), pa.array(np.where(held, 0, n).astype(np.int32)),
-                ],
-                ["word", "key", "kind", "n", "learned"],
+                [pa.array(words.hash[rare][at].view(np.int64)), batch.column("key").take(pa.array(row[at])), pa.array(n)],
+                ["word", "key", "n"],
             )
 
-    return rows.select("key", "held", "text").mapInArrow(run, "word long, key long, kind int, n int, learned int")
+    return rows.select("key", "text").mapInArrow(run, "word long, key long, n int")
 
 
 @dataclass
@@ -249,7 +244,7 @@ def _class_counts(train: DataFrame, size: int) -> np.ndarray:
 
 def score(
     docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", states: int = 6,
-    iterations: int = 3, least: float = 1e-4, seed: int = 3,
+    iterations: int = 3, fewest: int = 100, seed: int = 3,
 ) -> DataFrame:
     """Score every document, learning from those for which held_out does not hold.
 
@@ -257,28 +252,31 @@ def score(
     and score (the hidden Markov model), both log10 of the whole text's probability. Words are
     lower-cased in A to Z; each text ends with an end token, so null and empty texts have one
     token. Rows with the same id and text share their values. held_out defaults to a fifth of
-    the rows, by crc32 of the id. With no training rows every base score is 0.
+    the rows, by crc32 of the id. With no training rows every base score is 0. Every word that
+    the training texts have `fewest` times or more is a symbol; the driver and each task hold
+    the symbols' probabilities.
     """
     prepare(docs.sparkSession)
     held = crc_mod(id_col, 5) == 1 if held_out is None else held_out
     rows = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), held.alias("held"), F.col(text_col).alias("text")
     )
-    common = _common_words(rows.where("not held"), least)
+    words = written(_word_counts(rows.where("not held")))
+    common = np.sort(words.where(F.col("c") >= fewest).select("word").toPandas()["word"].to_numpy(np.int64))
+    learned = words.where(F.col("c") < fewest)
     n, size = len(common), len(common) + 1 + RARE
     texts = written(_sequences(rows, common))
     train = texts.where("not held")
     counts = _class_counts(train, size)
-    # Every rare word's training count stands beside each text that has it. A rare word has a
-    # small share of all tokens, which bounds the rows of one word.
-    same_word = Window.partitionBy("word")
-    rare = _rare_words(rows, common).withColumns({"c": F.sum("learned").over(same_word), "number": F.row_number().over(same_word.orderBy("key"))})
-    new = (F.col("number") == 1) & (F.col("c") > 0)
+    # Every rare word's training count is joined to each text that has it; none means no training text does.
+    rare = _rare_words(rows, common).join(learned.select("word", "c"), "word", "left")
+    times = F.coalesce("c", F.lit(0))
     rare_sums = written(rare.groupBy("key").agg(
-        F.sum(F.col("n") * F.log10(F.col("c") + 0.5)).alias("rare_log"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
-        *[F.count(F.when(new & (F.col("kind") == k), 1)).alias(f"v{k}") for k in range(RARE)],
+        F.sum(F.col("n") * F.log10(times + 0.5)).alias("rare_log"), F.sum(F.when(times > 0, F.col("n")).otherwise(0)).alias("rare_known"),
     ))
-    distinct = np.array([x or 0 for x in rare_sums.agg(*[F.sum(f"v{k}") for k in range(RARE)]).first()], float)
+    distinct = np.zeros(RARE)
+    for kind, number in learned.groupBy("kind").count().collect():
+        distinct[kind] = number
     total, vocabulary = counts.sum(), float((counts[: n + 1] > 0).sum() + distinct.sum())
     random = np.random.default_rng(seed)
     # States that tend to stay and like different words leave the symmetric start fast.

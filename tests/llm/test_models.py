@@ -156,6 +156,30 @@ def test_language_model_base_is_exact(docs, repeated, texts, nothing):
     assert hmm.score(nothing).count() == 0
 
 
+def test_language_model_symbols_have_no_block_floor(spark):
+    """Words of two topics, each often in the corpus but fewer than 20 times in any block, tell the topic."""
+    rng = random.Random(4)
+    topics = [["".join(rng.choices("abcdefghij", k=6)) for _ in range(200)] for _ in range(2)]
+    rows = [(i, " ".join(rng.choices(topics[i % 2], k=120))) for i in range(500)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 25), "doc_id long, text string")
+    held = [r for r in hmm.score(docs, iterations=8).collect() if r.held_out]
+    gain = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
+    assert len(held) > 50 and gain > 0.15
+
+
+def test_language_model_symbols_have_no_limit(spark):
+    """More than 10,000 words above the count are all symbols: the sums of a round have a row for each."""
+    docs = spark.range(8).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 200000), i -> concat('w', i % 12500))) AS text")
+    sizes = []
+    improved = hmm._improved
+    try:
+        hmm._improved = lambda train, model: sizes.append(len(model.emit)) or improved(train, model)
+        hmm.score(docs, F.lit(False), iterations=1)
+    finally:
+        hmm._improved = improved
+    assert sizes == [12500 + 1 + hmm.RARE]
+
+
 def test_forward_and_expected_counts_by_enumeration():
     rng = np.random.default_rng(0)
     states, size = 3, 5
