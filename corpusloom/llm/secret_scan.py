@@ -35,6 +35,12 @@ _CONTEXT = re.compile(
     r"""[A-Za-z0-9_-]*["']?[ \t]*(?:=>|:=|[:=])[ \t]*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'<>]+))""",
     re.IGNORECASE | re.ASCII,
 )
+# In an authorization the credential stands after the name of a scheme.
+_SCHEME = re.compile(
+    r"""authorization[A-Za-z0-9_-]*["']?[ \t]*(?:=>|:=|[:=])[ \t]*["']?"""
+    r"""(?:Bearer|Basic|Token|Negotiate|NTLM|DPoP|OAuth|Api-?Key|PrivateToken)[ \t]+["']?([^\s"'<>]+)""",
+    re.IGNORECASE | re.ASCII,
+)
 _USERINFO = re.compile(r"://[^\s:/@]+:([^\s/@]+)@")
 
 # Words often met in passwords, the likeliest first.
@@ -196,14 +202,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def guessed_spans(text: str, base: list[tuple[int, int, int]], guesser: Guesser, least: float) -> list[tuple[int, int, int]]:
-    """Values in credential contexts that cost 10^least guesses or more and touch no base span."""
+    """Values in credential contexts that cost 10^least guesses or more and do not lie within a base span."""
     if ":" not in text and "=" not in text:
         return []
     found, taken = [], 0
     places = [m.span(m.lastindex) for m in _CONTEXT.finditer(text)]
-    places += [m.span(1) for m in _USERINFO.finditer(text)]
+    places += [m.span(1) for pattern in (_SCHEME, _USERINFO) for m in pattern.finditer(text)]
     for start, end in sorted(set(places)):
-        if start < taken or any(a < end and start < b for a, _, b in base):
+        if end <= taken or any(a <= start and end <= b for a, _, b in base):
             continue
         if guesser.cost(text[start:end]) >= least:
             found.append((start, 3, end))

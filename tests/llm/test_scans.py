@@ -28,6 +28,22 @@ def test_secrets_base_and_added_spans(docs, texts):
     assert found[last].n_guess == 3 and "Xk9" not in found[last].redacted and "Zq8" not in found[last].redacted
 
 
+def test_secrets_no_part_of_a_value_survives(spark):
+    """Values that reach beyond a fixed pattern, and tokens after the scheme of an authorization."""
+    values = [
+        ("password: {}", "abcdef123456!Zq#99xL"), ('password = "{}"', "Kestrelvolant harbour Tq8 plinth"),
+        ("passphrase: {}", "Xy!0123456789abcdef#Wq9Lk"), ("Authorization: Bearer {}", "Gq7xT.Vw2pLs_9RkZ"),
+        ("-H 'authorization: Basic {}' x", "UXo3eFZ3MnBMczlSa1o6"), ("token={}", "QwLk72hsPq90aa~Rt@v!"),
+    ]
+    texts = [f"before {form.format(value)} after" for form, value in values]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for found in (by_id(secret_scan.scan(docs, mark="[S]")), by_id(secret_scan.redact(docs, mark="[S]"))):
+        for i, (_, value) in enumerate(values):
+            text = found[i].redacted if "redacted" in found[i] else found[i].text
+            assert not any(value[k : k + 3] in text for k in range(len(value) - 2)), text
+            assert text.startswith("before ") and text.endswith((" after", " x after"))
+
+
 def test_secrets_dropped_match_hides_what_it_covers():
     assert secret_scan.base_spans("token=secret:abcdefghijklmn") == []
     assert secret_scan.base_spans("TOKEN = secret=abcdefghijkl") == [(0, 0, 27)]
