@@ -118,11 +118,11 @@ def _extended(candidates: DataFrame, window: int) -> DataFrame:
                         mine, begin = windows(part, size)
                     hit = begin[np.isin(mine, value)]
                     if len(hit):
-                        names.add(str(item["item"]))
+                        names.add(None if item["name"] is None else str(item["name"]))
                         np.add.at(change, hit, 1)
                         np.add.at(change, hit + size, -1)
                 hits.append(int((np.cumsum(change[:-1]) > 0).sum()))
-                found.append(sorted(names))
+                found.append(sorted(names - {None}) + [None] * (None in names))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), pa.array(hits, pa.int64()), pa.array(found, pa.list_(pa.string()))], ["key", "n_hit", "items"]
             )
@@ -147,6 +147,8 @@ def overlaps(
 
     A document word is hit if it lies in an occurrence of a window of an item: `window`
     consecutive words, or all words of a shorter item. Null and empty texts have no words.
+    Items are told apart by id and text together; items without an id count as one, a null that
+    stands last.
     Documents are told apart by id and text together (`key` is their hash), so repeated rows
     each get the same result; repeated items count once per id.
     """
@@ -154,13 +156,15 @@ def overlaps(
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key")
     )
-    tests = items.select(F.col(item_col).alias("key"), F.col(item_text_col).alias("text"))
+    tests = items.select(F.col(item_col).alias("name"), F.col(item_text_col).alias("text"))
+    # Items without an id keep a key of their own, which an equality join finds.
+    tests = tests.withColumn("key", F.xxhash64(F.col("name").isNull(), "name", "text")).dropDuplicates(["key"])
     lengths = _short_lengths(tests, window)
     train = _fingerprints(rows, lengths, gram, window, whole_items=False)
     test = written(_fingerprints(tests, lengths, gram, window, whole_items=True).withColumnRenamed("key", "item"))
     pairs = written(train.join(test, ["size", "print"]).select("key", "item").distinct())
     per_doc = pairs.join(tests.withColumnRenamed("key", "item"), "item")
-    per_doc = written(per_doc.groupBy("key").agg(F.collect_list(F.struct("item", "text")).alias("items")))
+    per_doc = written(per_doc.groupBy("key").agg(F.collect_list(F.struct("name", "text")).alias("items")))
     # Repeated rows are extended once each and lead to one result per key.
     candidates = rows.select("key", "text").join(per_doc, "key")
     extended = _extended(candidates, window).where("n_hit > 0").dropDuplicates(["key"])

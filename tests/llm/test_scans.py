@@ -109,6 +109,16 @@ def test_quality_rules_find_other_distributions(spark):
 ITEMS = [(1, None), (2, ""), (3, "One"), (4, "alpha beta"), (5, "a-b C d"), (6, "one two three four five six seven eight nine ten")]
 
 
+def test_decontamination_counts_items_without_an_id(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    other = " ".join(f"v{i}" for i in range(30))
+    items = spark.createDataFrame([(None, text), (None, other), ("a", text), ("a", text)], "item_id string, text string")
+    docs = spark.createDataFrame([(0, text), (1, other), (2, "nothing of it")], "doc_id long, text string")
+    found = by_id(decontaminate.overlaps(docs, items))
+    assert [(found[i].n_hit, list(found[i]["items"])) for i in range(3)] == [(30, ["a", None]), (30, [None]), (0, [])]
+    assert [r.doc_id for r in decontaminate.keep_clean(docs, items).collect()] == [2]
+
+
 def test_decontamination(spark, docs, repeated, texts, nothing):
     long = [(7, texts[6][300:700]), (8, texts[6][300:700]), (9, "same " * 20), (10, texts[12])]
     items = spark.createDataFrame([(str(i), t) for i, t in ITEMS + long], "item_id string, text string")
