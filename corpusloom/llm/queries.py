@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.llm import decontaminate, hmm, langid, neardup, pieces, quality, quality_rules, secret_scan, substrings, toxicity
+from corpusloom.llm import (
+    centroids, conversations, decontaminate, hmm, langid, neardup, pieces, quality, quality_rules, secret_scan, simhash,
+    substrings, toxicity,
+)
 from corpusloom.llm.store import table
 
 
@@ -60,6 +63,24 @@ def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.links(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return conversations.report(conversations.damaged(given), all_ids=given)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.clusters(table(spark, sf_dir, "embeddings"))
+    return found.select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+        F.sha2(centroids.centroid_text(), 256).alias("centroid_sha256"),
+    )
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_toxicity": op2_toxicity,
@@ -71,4 +92,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_pieces": op10_pieces,
+    "op11_simhash": op11_simhash,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_centroids": op13_centroids,
 }

@@ -23,6 +23,9 @@ COLUMNS = {
     "op8": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     "op9": ["doc_id", "n_shingles", "component_id", "kept"],
     "op10": ["doc_id", "n_tokens", "ids", "round_trip"],
+    "op11": ["doc_id", "fingerprint", "component_id"],
+    "op12": ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
+    "op13": ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
 }
 
 
