@@ -57,8 +57,8 @@ def wikilink_targets(body: Column) -> Column:
     return F.transform(found, trim_space)
 
 
-def extract_links(docs: DataFrame) -> DataFrame:
-    """links(src, seq, syntax, target, kind, dst), one row per link occurrence."""
+def extract_links(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """links(src, seq, syntax, target, kind, dst), one row per link occurrence; carry: more columns of docs."""
     both = F.concat(
         F.transform(
             markdown_link_targets(F.col("body")),
@@ -72,15 +72,15 @@ def extract_links(docs: DataFrame) -> DataFrame:
     # Bodies without a bracket have no links; skip them before any work is done.
     raw = (
         docs.where(F.col("body").contains("["))
-        .select(F.col("id").alias("src"), F.posexplode(both).alias("seq", "link"))
-        .select("src", "seq", "link.syntax", "link.target")
+        .select(F.col("id").alias("src"), *carry, F.posexplode(both).alias("seq", "link"))
+        .select("src", *carry, "seq", "link.syntax", "link.target")
     )
     resolved = F.when(
         F.col("syntax") == "markdown", resolve_markdown_target(F.col("target"), F.col("src"))
     ).otherwise(resolve_wikilink_target(F.col("target")))
     return computed_once(raw, {"_to": resolved}).select(
         "src", "seq", "syntax", "target", F.col("_to.kind").alias("kind"),
-        nfc(F.col("_to.dst")).alias("dst"),
+        nfc(F.col("_to.dst")).alias("dst"), *carry,
     )
 
 

@@ -138,8 +138,8 @@ def index_by_type(registry: DataFrame) -> DataFrame:
     return lines.unionByName(heads).withColumn("section", F.col("section").cast("bigint"))
 
 
-def _folders(docs: DataFrame) -> DataFrame:
-    """(dir, name) for every ancestor folder of every page, distinct."""
+def folder_steps(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(dir, name) for every ancestor folder of every page, once per page; carry: more columns of docs."""
     parts = F.split("id", "/")
     depth = F.size("parts")
     steps = F.transform(
@@ -149,18 +149,19 @@ def _folders(docs: DataFrame) -> DataFrame:
             F.get("parts", i - 1).alias("name"),
         ),
     )
-    nested = docs.select(parts.alias("parts")).where(F.size("parts") > 1)
-    return nested.select(F.explode(steps).alias("s")).select("s.dir", "s.name").distinct()
+    nested = docs.select(parts.alias("parts"), *carry).where(F.size("parts") > 1)
+    return nested.select(F.explode(steps).alias("s"), *carry).select("s.dir", "s.name", *carry)
 
 
-def directory_index(docs: DataFrame, root_title: str = "Wiki") -> DataFrame:
+def directory_index(docs: DataFrame, root_title: str = "Wiki", folders: DataFrame | None = None) -> DataFrame:
     """Lines of every folder's index: (dir, section, name, line).
 
     Sections: 0 title, 1 sub-folders, 2 pages. Order by the first three columns and render
-    each section under its heading; the root always has a title line.
+    each section under its heading; the root always has a title line. folders(dir, name) are
+    taken from the pages, unless the caller keeps them.
     """
     docs = with_fields(docs, ["title", "description"])
-    folders = _folders(docs)
+    folders = folder_steps(docs).distinct() if folders is None else folders
     sub = folders.select(
         "dir", F.lit(1).alias("section"), "name",
         F.concat(

@@ -145,6 +145,18 @@ ORACLES["backlinks"] = f"with {LINKS} select l.id, e.src from linked l left join
 ORACLES["inbound_counts"] = f"with {LINKS} select id, n from inbound"
 # Broken edits leave the earlier page in place, so all pages are there in the end.
 ORACLES["refresh_result"] = ORACLES["inbound_counts"]
+ORACLES["maintained_projections"] = f"""with {LINKS}
+select 'inbound' as projection, id as key, '' as detail, n from inbound
+union all select 'backlink', l.id, coalesce(e.src, ''), 1 from linked l left join edges e on e.dst = l.id
+union all select distinct 'gap', dst, src, 1 from unres
+union all select 'gap size', dst, '', count(*) from unres group by dst
+union all select 'directory', ':', '# Wiki', 0 union all select 'directory', 'docs:', '# docs', 0
+union all select 'directory', ':docs', '- [docs/](docs/)', 1
+union all select 'directory', concat('docs:', substring(id, 6)), concat('- [', substring(id, 6), '](', substring(id, 6), '.md)'), 2 from linked
+union all select 'status', case when (select count(*) from inbound where n = 0) > 5 then 'Warning' else 'Good' end, '', count(*) from linked
+union all select 'status', 'orphans', '', count(*) from inbound where n = 0
+union all select 'status', 'gaps', '', count(distinct dst) from unres
+union all select 'quarantine', concat(id, '.md'), 'frontmatter_missing', 1 from linked where cast(substring(id, 6) as bigint) % 20 = 0"""
 ORACLES["unresolved_links"] = f"with {LINKS} select src, syntax, dst from unres"
 ORACLES["link_diagnostics"] = f"""with {LINKS}
 select 'warning' as severity, case when kind = 'escape' then 'link_path_escape' else 'link_unresolved' end as code,

@@ -17,9 +17,8 @@ from ..sources import documents as srcdocs
 from ..sources import events as srcevents
 from ..operators.chunks import chunk_pages
 from ..session import ensure_checkpoint_dir
-from ..streaming.refresh import refresh_batch
+from ..streaming.maintained import refresh_delta
 from . import corpora
-from .rebuild import read_current
 
 QUERIES = {}
 
@@ -777,17 +776,58 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.round(F.get("vector", F.lit(0)), 6).alias("first"), F.round(F.get("vector", F.lit(1)), 6).alias("second"))
 
 
-@query
-def refresh_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links to every page after two refreshes: half of the pages, then the others and broken edits."""
-    ensure_checkpoint_dir(spark)
-    root = f"{spark.sparkContext.getCheckpointDir()}/refresh-{uuid.uuid4().hex}"
+def _changes(spark, sf_dir):
+    """Two batches of page changes that end with the pages of docs_linked, each as it is there.
+
+    First half of the pages, some with links that go later, and pages that go later; then the
+    other half, the final texts of those with such links, the deletions, and broken edits.
+    """
     pages = corpora.docs_linked(spark, sf_dir).select(
         F.concat("id", F.lit(".md")).alias("path"), F.concat(F.lit("---\ntype: note\n---\n\n"), "body").alias("content"),
-        F.lit(False).alias("deleted"), F.xxhash64("id").alias("_draw"),
+        F.lit(False).alias("deleted"), (F.substring_index("id", "/", -1).cast("bigint") % 20).alias("_draw"),
     )
-    early = F.col("_draw") % 2 == 0
-    broken = pages.where(early & (F.col("_draw") % 10 == 0)).withColumn("content", F.lit("no frontmatter"))
-    for epoch, rows in enumerate((pages.where(early), pages.where(~early).unionByName(broken))):
-        refresh_batch(rows.drop("_draw").withColumn("mtime", F.lit(epoch)), epoch, root)
-    return read_current(spark, root, "inbound").select("id", "n")
+    early, edited = F.col("_draw") % 2 == 0, F.col("_draw") == 2
+    draft = F.when(edited, F.concat("content", F.lit(" [later](/docs/later.md) [[extra/page]]"))).otherwise(F.col("content"))
+    extra = pages.where("_draw = 5").withColumn("path", F.concat(F.lit("extra/"), "path"))
+    first = pages.where(early).withColumn("content", draft).unionByName(extra)
+    broken = pages.where("_draw = 0").withColumn("content", F.lit("no frontmatter"))
+    gone = extra.withColumn("content", F.lit(None).cast("string")).withColumn("deleted", F.lit(True))
+    second = pages.where(~early | edited).unionByName(broken).unionByName(gone)
+    return [rows.drop("_draw").withColumn("mtime", F.lit(epoch)) for epoch, rows in enumerate((first, second))]
+
+
+def _maintained(spark, sf_dir):
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/maintained-{uuid.uuid4().hex}"
+    for epoch, rows in enumerate(_changes(spark, sf_dir)):
+        state = refresh_delta(rows, epoch, root, buckets=16)
+    return state
+
+
+@query
+def refresh_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links to every page after two refreshes with edits, deletions and broken pages."""
+    return _maintained(spark, sf_dir).inbound()
+
+
+@query
+def maintained_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inbound counts, backlinks, gaps, directory index and status as two refreshes leave them."""
+    state = _maintained(spark, sf_dir)
+    one, none = F.lit(1).cast("bigint"), F.lit("")
+    name = lambda text: F.lit(text).alias("projection")
+    parts = [
+        state.inbound().select(name("inbound"), F.col("id").alias("key"), none.alias("detail"), "n"),
+        state.backlinks().select(name("backlink"), "id", F.coalesce("src", none), one),
+        state.gaps().select(name("gap"), "topic", "mentioned_by", one),
+        state.gap_counts().select(name("gap size"), "topic", none, "links"),
+        state.directory_index().select(name("directory"), F.concat("dir", F.lit(":"), "name"), "line", "section"),
+        state.status().select(name("status"), "health", none, "total_pages"),
+        state.status().select(name("status"), F.lit("orphans"), none, "orphans"),
+        state.status().select(name("status"), F.lit("gaps"), none, "gaps"),
+        state.quarantine().select(name("quarantine"), "path", "code", one),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out

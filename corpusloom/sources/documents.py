@@ -151,15 +151,23 @@ def discover_documents(
     collisions = materialise(identity_collisions(pages.select("path")))
     kept = pages.join(broadcast_if_small(collisions.select("path")), "path", "left_anti")
     parsed = parse_frontmatter(kept, max_bytes=max_bytes, max_depth=max_depth)
+    return parsed_documents(parsed), collisions.unionByName(parse_errors(parsed))
+
+
+def parsed_documents(parsed: DataFrame) -> DataFrame:
+    """The documents among the rows of parse_frontmatter."""
     names = [k for k in STANDARD_KEYS if k not in ("type", "sources")]
-    documents = parsed.where("code is null").select(
+    return parsed.where("code is null").select(
         document_id(F.col("path")).alias("id"), "path", "type",
         *[F.col("fields")[n].alias(n) for n in names],
         "frontmatter", "extensions", "sources_kind", "sources", "legacy_fields",
         "has_legacy_wikilinks", "body",
     )
-    errors = parsed.where("code is not null").select(F.lit("error").alias("severity"), "code", "path", "message")
-    return documents, collisions.unionByName(errors)
+
+
+def parse_errors(parsed: DataFrame) -> DataFrame:
+    """The diagnostics among the rows of parse_frontmatter."""
+    return parsed.where("code is not null").select(F.lit("error").alias("severity"), "code", "path", "message")
 
 
 def _serialise_one(frontmatter, sources, extensions) -> str:
