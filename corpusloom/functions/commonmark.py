@@ -31,6 +31,10 @@ _BLOCK_TAGS = (
     "thead title tr track ul pre script style textarea"
 ).split()
 _HTML_BLOCK = re.compile(rf"^ {{0,3}}<(?:/?(?:{'|'.join(_BLOCK_TAGS)})(?:[\s/>]|$)|!--|\?|![A-Z])", re.I)
+# Limits CommonMark allows or sets: nested brackets in a target, characters of a label.
+_NESTED, _LABEL = 32, 999
+# Raw HTML that ends with a mark of its own; without one later on it is no HTML.
+_MARKED = (("<!--", "-->"), ("<?", "?>"), ("<![CDATA[", "]]>"), ("<!", ">"))
 _ESCAPABLE = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
@@ -52,9 +56,10 @@ def _blocks(body: str):
 
     def flush():
         nonlocal current
-        while current:
+        at = 0
+        while at < len(current):
             for take in (1, 2):
-                found = _DEFINITION.match("\n".join(t for _, t in current[:take]))
+                found = _DEFINITION.match("\n".join(t for _, t in current[at : at + take]))
                 if found:
                     break
             if not found:
@@ -63,9 +68,9 @@ def _blocks(body: str):
             if target.startswith("<"):
                 target = target[1:-1]
             definitions.setdefault(_label(found.group(1)), _unescape(target))
-            current = current[take:]
-        if current:
-            runs.append((current[0][0], "\n".join(t for _, t in current)))
+            at += take
+        if at < len(current):
+            runs.append((current[at][0], "\n".join(t for _, t in current[at:])))
         current = []
 
     for line in body.split("\n"):
@@ -119,6 +124,8 @@ def _destination(text: str, i: int):
                 i += 1
             elif ch == "(":
                 depth += 1
+                if depth > _NESTED:
+                    return None
             elif ch == ")":
                 if depth == 0:
                     break
@@ -136,8 +143,11 @@ def _destination(text: str, i: int):
 
 
 def _inline(text: str, base: int, definitions: dict, used: set, out: list) -> None:
-    # Openers: [position, is_image, active].
-    openers: list[list] = []
+    # Openers: (position, is_image). Links do not nest: the plain ones below `closed` open no link.
+    openers: list[tuple[int, bool]] = []
+    closed = 0
+    # Closing marks that do not occur any more.
+    missing: set[str] = set()
     i = 0
     while i < len(text):
         ch = text[i]
@@ -150,33 +160,41 @@ def _inline(text: str, base: int, definitions: dict, used: set, out: list) -> No
             i = close.end() if close else i + len(ticks)
             continue
         if ch == "<":
-            skip = _AUTOLINK.match(text, i) or _HTML_TAG.match(text, i)
+            mark = next((end for begin, end in _MARKED if text.startswith(begin, i)), None)
+            if mark is not None and mark not in missing and text.find(mark, i) < 0:
+                missing.add(mark)
+            skip = _AUTOLINK.match(text, i) or (_HTML_TAG.match(text, i) if mark not in missing else None)
             i = skip.end() if skip else i + 1
             continue
         if ch == "!" and text[i + 1 : i + 2] == "[":
-            openers.append([i, True, True])
+            openers.append((i, True))
             i += 2
             continue
         if ch == "[":
-            openers.append([i, False, True])
+            openers.append((i, False))
             i += 1
             continue
         if ch != "]" or not openers:
             i += 1
             continue
-        start, is_image, active = openers.pop()
+        start, is_image = openers.pop()
+        active = is_image or len(openers) >= closed
+        closed = min(closed, len(openers))
         if not active:
             i += 1
             continue
-        inner = text[start + (2 if is_image else 1) : i]
+        inner = text[start + (2 if is_image else 1) : i][: _LABEL + 1]
         target, end, ident = None, i + 1, None
-        if text[i + 1 : i + 2] == "(":
+        if text[i + 1 : i + 2] == "(" and ")" not in missing:
             found = _destination(text, i + 1)
+            if not found and text.find(")", i) < 0:
+                missing.add(")")
             if found:
                 target, end = found
         if target is None:
             ref = re.compile(r"\[((?:[^\[\]\\]|\\.)*)\]", re.S).match(text, i + 1)
-            ident = _label(ref.group(1)) if ref and ref.group(1).strip() else _label(inner)
+            label = ref.group(1) if ref and ref.group(1).strip() else inner
+            ident = _label(label) if len(label) <= _LABEL else None
             if ident in definitions:
                 target, end = definitions[ident], ref.end() if ref else i + 1
         if target is None:
@@ -187,10 +205,7 @@ def _inline(text: str, base: int, definitions: dict, used: set, out: list) -> No
                 if ident is not None:
                     used.add(ident)
                 out.append((target, base + start))
-            # Links do not nest: earlier plain openers stop being link openers.
-            for opener in openers:
-                if not opener[1]:
-                    opener[2] = False
+            closed = len(openers)
         i = end
 
 

@@ -121,7 +121,8 @@ def _wrap(text: str, mark: str) -> str:
 
 
 def _block(text: str) -> str:
-    text = re.sub(r"[ \t]*\n[ \t]*\n[ \t]*", "\n\n", text).strip()
+    # A run of blanks is entered at its start only, so long indents are read once.
+    text = re.sub(r"(?:(?<![ \t])[ \t]++)?+\n[ \t]*+\n[ \t]*+", "\n\n", text).strip()
     return f"\n\n{text}\n\n" if text else ""
 
 
@@ -134,7 +135,7 @@ def _list(node) -> str:
         mark = f"{number}. " if node.tag == "ol" else "* "
         number += 1
         text = re.sub(r"\n{3,}", "\n\n", _inline(item)).strip()
-        text = re.sub(r"\n\n(?=\s*(?:\* |\d+\. ))", "\n", text)
+        text = re.sub(r"\n\n(?=\s*+(?:\* |\d++\. ))", "\n", text)
         lines.append(mark + text.replace("\n", "\n" + " " * len(mark)))
     return "\n".join(lines)
 
@@ -223,9 +224,9 @@ def to_markdown(html: str) -> str:
     # Elements are listed as they open, so in reverse every element comes after its children.
     for node in reversed(tree.nodes):
         node.out = _element(node)
-    text = re.sub(r"[ \t]+\n", lambda m: "  \n" if m.group().startswith("  ") else "\n", _inline(tree.root))
-    text = re.sub(r"\n[ \t]+(?=\n)", "\n", text)
-    text = re.sub(r"\n +(?=\S)", lambda m: m.group() if re.match(r"\n {2,}", m.group()) else "\n", text)
+    text = re.sub(r"(?<![ \t])[ \t]++\n", lambda m: "  \n" if m.group().startswith("  ") else "\n", _inline(tree.root))
+    text = re.sub(r"\n[ \t]++(?=\n)", "\n", text)
+    text = re.sub(r"\n ++(?=\S)", lambda m: m.group() if re.match(r"\n {2,}", m.group()) else "\n", text)
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 

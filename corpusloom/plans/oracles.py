@@ -416,6 +416,22 @@ for _tag in ("head", "script", "style", "nav", "header", "footer", "noscript"):
 ORACLES["html_noise_strip"] = rf"""select concat('pages/', cast(page_id as varchar)) as id,
   trim(regexp_extract(html, '(?i)<title[^>]*>([^<]*)</title>', 1)) as title, {_STRIP} as stripped from pages"""
 
+def page_markdown(html: str) -> str:
+    """Markdown of the given web pages: what follows their navigation, up to the footer.
+
+    Bold text is never closed there, so it ends where the article ends.
+    """
+    body = rf"regexp_replace(regexp_replace(split_part({html}, '</nav>', 2), '(?s)<footer.*', ''), '(?s)<!--.*?-->', '', 'g')"
+    text = rf"regexp_replace(regexp_replace({body}, '\s+', ' ', 'g'), '([\\`*_~\[\]])', '\\\1', 'g')"
+    text = rf"regexp_replace(replace(replace({text}, '<h1>', concat(chr(10), '# ')), '<b>', '**'), '<[^<>]*>', chr(10), 'g')"
+    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{plain}')"
+    bold = f"repeat('**', ((length({html}) - length(replace({html}, '<b>', ''))) / 3)::int)"
+    return rf"concat(trim(regexp_replace({text}, '\s*\n\s*', concat(chr(10), chr(10)), 'g'), concat(chr(32), chr(10))), {bold})"
+
+
+ORACLES["html_to_markdown"] = f"select concat('pages/', cast(page_id as varchar)) as id, {page_markdown('html')} as markdown from pages"
+
 _XML = r"regexp_replace(html, '(?i)<!DOCTYPE[^>]*>\s*', '', 'g')"
 _XML = rf"regexp_replace({_XML}, '(?i)</(p|div|section|article|li|h\d|tr|blockquote|pre)>', chr(10), 'g')"
 _XML = rf"regexp_replace({_XML}, '(?i)<br\s*/?>', chr(10), 'g')"
@@ -462,6 +478,7 @@ CAPTURE = r"""raw as (
 numbered as (select *, row_number() over (order by capture_order) + (select max(doc_id) from labels) as num from raw),
 packets as (
   select *, concat('SRC-2024-06-01-', case when num < 1000 then lpad(cast(num as varchar), 3, '0') else cast(num as varchar) end) as id from numbered)"""
+_PAGE_TITLE = """coalesce(nullif(regexp_replace(replace(trim(regexp_extract(payload, '(?i)<title[^>]*>([^<]*)</title>', 1)), '&amp;', '&'), '([\\\\`*_~\\[\\]])', '\\\\\\1', 'g'), ''), url)"""
 ORACLES["capture_packets"] = f"""with {CAPTURE}
 select capture_order, id,
   case kind when 'text' then coalesce(title, 'Pasted text — 2024-06-01') when 'file' then split_part(name, '/', 3)
@@ -474,22 +491,22 @@ select capture_order, id,
     case kind when 'url' then 'web' when 'text' then 'text' else (['json','file','docx','text'])[n + 1] end, '"}}') as event
 from packets"""
 ORACLES["packet_pages"] = rf"""with {CAPTURE},
-ex as (select *, case when kind = 'text' then payload else case n
+ex as (select *, case when kind = 'text' then payload when kind = 'url' then {page_markdown('payload')} else case n
     when 0 then concat('# JSON Extract', chr(10), chr(10), '- **K:** ', regexp_extract(payload, '(\d+)', 1))
     when 1 then concat('_Binary file could not be converted to markdown (detected format: zip).', chr(10), 'Capture a text-based version or a URL pointing to readable content instead._', chr(10))
     when 2 then concat('_DOCX content could not be converted to markdown from ', name, '. Ensure uvx and markitdown are installed._', chr(10))
     else payload end end as extracted,
-  case kind when 'text' then coalesce(title, 'Pasted text — 2024-06-01') else split_part(name, '/', 3) end as ptitle from packets where kind <> 'url')
+  case kind when 'text' then coalesce(title, 'Pasted text — 2024-06-01') when 'file' then split_part(name, '/', 3) else {_PAGE_TITLE} end as ptitle from packets)
 select concat('sources/', id) as page_id,
-  concat('# ', ptitle, chr(10), chr(10), '## Summary', chr(10), chr(10), '[LLM: Replace with 2-3 paragraph summary of key content]', chr(10), chr(10),
+  concat('# ', ptitle, chr(10), case when kind = 'url' then concat('> _Original: [', url, '](', url, ')_', chr(10)) else '' end, chr(10), '## Summary', chr(10), chr(10), '[LLM: Replace with 2-3 paragraph summary of key content]', chr(10), chr(10),
     '> _Auto-preview: ', substring(trim(regexp_replace(regexp_replace(extracted, '[#*_`]', '', 'g'), '\s+', ' ', 'g')), 1, 500), case when length(extracted) > 500 then '...' else '' end, '_', chr(10), chr(10),
     '## Key Takeaways', chr(10), chr(10), '- [LLM: Most important point]', chr(10), '- [LLM: Second important point]', chr(10), '- [LLM: Third important point]', chr(10), chr(10),
     '## Entities Mentioned', chr(10), chr(10), '- [LLM: Add linked entities after review]', chr(10), chr(10), '## Concepts Mentioned', chr(10), chr(10), '- [LLM: Add linked concepts after review]', chr(10), chr(10),
     '## Notable Quotes', chr(10), chr(10), '> [LLM: Important quote] — attribution', chr(10), chr(10), '## Source Packet', chr(10), chr(10),
     '- **ID:** `sources/', id, '`', chr(10), '- **Extracted:** `raw/sources/', id, '/extracted.md`', chr(10), '- **Manifest:** `raw/sources/', id, '/manifest.json`', chr(10)) as page_body,
-  concat('{{"id":"', id, '","captured":"2024-06-01","packet_version":"1.0","title":"', ptitle, '"', case when kind = 'file' then concat(',"file_path":"', name, '"') else '' end,
-    ',"format":"', case kind when 'text' then 'text' else (['json','file','docx','text'])[n + 1] end, '","extractor":"',
-    case kind when 'text' then 'passthrough' else (['jsonToMarkdown','magicBytes','markitdown','passthrough'])[n + 1] end, '","extraction_status":"',
+  concat('{{"id":"', id, '","captured":"2024-06-01","packet_version":"1.0","title":"', replace(ptitle, chr(92), chr(92) || chr(92)), '"', case kind when 'file' then concat(',"file_path":"', name, '"') when 'url' then concat(',"url":"', url, '"') else '' end,
+    ',"format":"', case kind when 'text' then 'text' when 'url' then 'web' else (['json','file','docx','text'])[n + 1] end, '","extractor":"',
+    case kind when 'text' then 'passthrough' when 'url' then 'htmlToMarkdown' else (['jsonToMarkdown','magicBytes','markitdown','passthrough'])[n + 1] end, '","extraction_status":"',
     case when kind = 'file' then (['success','unsupported','failed','success'])[n + 1] else 'success' end, '"',
     case when kind = 'file' and n <> 1 then concat(',"content_type":"', (['application/json','','application/vnd.openxmlformats-officedocument.wordprocessingml.document','text/plain'])[n + 1], '"') else '' end, '}}') as manifest
 from ex"""

@@ -527,8 +527,8 @@ def capture_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def packet_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Skeleton pages and manifests of pasted texts and files."""
-    return _packets(spark, sf_dir).where("kind <> 'url'").select("page_id", "page_body", "manifest")
+    """Skeleton pages and manifests of pasted texts, files and fetched pages."""
+    return _packets(spark, sf_dir).select("page_id", "page_body", "manifest")
 
 
 def _packet_registry(spark, sf_dir):
