@@ -21,7 +21,8 @@ from ..functions.text import (
     normalize_text, terms_of, trim_space,
 )
 from ..functions.vectors import SEMANTIC_MIN_COSINE, SEMANTIC_SCALE, SEMANTIC_WEIGHT, fuse_scores
-from ..session import broadcast_if_small, computed_once, materialise
+from ..session import broadcast_if_small, computed_once, materialise, stored
+from . import vector_index
 from .chunks import chunk_array, chunk_preview, page_preview
 from .registry import semantic_title, with_fields
 
@@ -338,17 +339,13 @@ def score_pages(
 def semantic_topk(
     vectors: DataFrame, query_vectors: DataFrame, k: int = 5, min_cosine: float = SEMANTIC_MIN_COSINE
 ) -> DataFrame:
-    """neighbours(query_id, rank, id, cosine): nearest pages by cosine, min_cosine at least."""
-    empty = F.array().cast("array<string>")
-    index = vectors.select(
-        F.lit("main").alias("vault"), "id", F.array().cast("array<double>").alias("weights"),
-        empty.alias("texts"), empty.alias("sections"), "vector",
-    )
-    queries = query_vectors.select("query_id", empty.alias("terms"))
-    scored = score_pages(index, queries, query_vectors, keep=k).where(F.col("cosine") >= min_cosine)
-    return scored.withColumn("rank", _rank("cosine")).where(F.col("rank") <= k).select(
-        "query_id", F.col("rank").cast("bigint").alias("rank"), "id", "cosine"
-    )
+    """neighbours(query_id, rank, id, cosine): nearest pages by cosine, min_cosine at least.
+
+    Builds an inverted file for this one search; keep one with operators.vector_index for many.
+    """
+    centroids = vector_index.fit_centroids(vectors)
+    index = stored(vector_index.index_vectors(vectors, centroids).repartition("cell"))
+    return vector_index.search(index, centroids, query_vectors, k, min_cosine)
 
 
 def _rank(score: str) -> Column:
