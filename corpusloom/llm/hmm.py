@@ -25,6 +25,9 @@ _LETTER = np.zeros(256, bool)
 _LETTER[0x61:0x7B] = True
 # Training cuts longer texts into sequences of so many tokens; scoring never cuts.
 SEQUENCE = 4096
+# A task of the training reads so many tokens per symbol, or all: its sums have a row per symbol,
+# so the rows of all tasks are at most the tokens by this number.
+TOKENS_PER_SYMBOL = 64
 # Tokens that a task works on at once, except for a single longer text.
 BLOCK = 1 << 20
 
@@ -228,20 +231,6 @@ def _improved(train: DataFrame, model: Model) -> Model:
     return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0, keepdims=True))
 
 
-def _class_counts(train: DataFrame, size: int) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            total += np.bincount(batch.column("classes").flatten().to_numpy(zero_copy_only=False), minlength=size)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["row", "n"])
-
-    found = train.select("classes").mapInArrow(run, "row long, n long").groupBy("row").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(size)
-    counts[found["row"].to_numpy(int)] = found["n"].to_numpy(float)
-    return counts
-
-
 def score(
     docs: DataFrame, held_out: Column | None = None, id_col: str = "doc_id", text_col: str = "text", states: int = 6,
     iterations: int = 3, fewest: int = 100, seed: int = 3,
@@ -262,27 +251,32 @@ def score(
         F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), held.alias("held"), F.col(text_col).alias("text")
     )
     words = written(_word_counts(rows.where("not held")))
-    common = np.sort(words.where(F.col("c") >= fewest).select("word").toPandas()["word"].to_numpy(np.int64))
+    often = words.where(F.col("c") >= fewest).select("word", "c").toPandas().sort_values("word")
+    common = often["word"].to_numpy(np.int64)
     learned = words.where(F.col("c") < fewest)
     n, size = len(common), len(common) + 1 + RARE
     texts = written(_sequences(rows, common))
     train = texts.where("not held")
-    counts = _class_counts(train, size)
+    # Of every symbol: words, the end that each training text has, and the classes of rare words.
+    counts = np.zeros(size)
+    counts[:n], counts[n] = often["c"].to_numpy(), train.select("key").count()
+    distinct = np.zeros(RARE)
+    for kind, number, times in learned.groupBy("kind").agg(F.count("*"), F.sum("c")).collect():
+        distinct[kind], counts[n + 1 + kind] = number, times
     # Every rare word's training count is joined to each text that has it; none means no training text does.
     rare = _rare_words(rows, common).join(learned.select("word", "c"), "word", "left")
     times = F.coalesce("c", F.lit(0))
     rare_sums = written(rare.groupBy("key").agg(
         F.sum(F.col("n") * F.log10(times + 0.5)).alias("rare_log"), F.sum(F.when(times > 0, F.col("n")).otherwise(0)).alias("rare_known"),
     ))
-    distinct = np.zeros(RARE)
-    for kind, number in learned.groupBy("kind").count().collect():
-        distinct[kind] = number
     total, vocabulary = counts.sum(), float((counts[: n + 1] > 0).sum() + distinct.sum())
     random = np.random.default_rng(seed)
     # States that tend to stay and like different words leave the symmetric start fast.
     emit = (counts + 0.5)[:, None] * random.exponential(1.0, (size, states))
     move = 0.8 * np.eye(states) + 0.2 / states
     model = Model(np.full(states, 1 / states), move, emit / emit.sum(0))
+    tasks = max(1, int(total) // (TOKENS_PER_SYMBOL * size))
+    train = train.coalesce(tasks) if tasks < train.rdd.getNumPartitions() else train
     for _ in range(iterations if total else 0):
         model = _improved(train, model)
     each = np.concatenate([np.log10(counts[: n + 1] + 0.5), np.zeros(RARE)])
