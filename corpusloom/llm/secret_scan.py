@@ -29,16 +29,18 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_VALUE = 12
 
-# Names that announce a credential, an optional rest of the name, a sign, and a value.
+# Names that announce a credential anywhere in a run of name characters, a sign, and a value. A run
+# is entered at its start only and never given back, so a text of any length is read once.
+_NAME = r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*?(?:{}))[A-Za-z0-9_-]++[\"']?+[ \t]*+(?:=>|:=|[:=])[ \t]*+"
 _CONTEXT = re.compile(
-    r"""(?:passphrase|password|passwd|passcode|pwd|secret|token|credential|api[_-]?key|private[_-]?key|authorization)"""
-    r"""[A-Za-z0-9_-]*["']?[ \t]*(?:=>|:=|[:=])[ \t]*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'<>]+))""",
+    _NAME.format("passphrase|password|passwd|passcode|pwd|secret|token|credential|api[_-]?key|private[_-]?key|authorization")
+    + r"""(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"'<>]+))""",
     re.IGNORECASE | re.ASCII,
 )
 # In an authorization the credential stands after the name of a scheme.
 _SCHEME = re.compile(
-    r"""authorization[A-Za-z0-9_-]*["']?[ \t]*(?:=>|:=|[:=])[ \t]*["']?"""
-    r"""(?:Bearer|Basic|Token|Negotiate|NTLM|DPoP|OAuth|Api-?Key|PrivateToken)[ \t]+["']?([^\s"'<>]+)""",
+    _NAME.format("authorization")
+    + r"""["']?(?:Bearer|Basic|Token|Negotiate|NTLM|DPoP|OAuth|Api-?Key|PrivateToken)[ \t]+["']?([^\s"'<>]+)""",
     re.IGNORECASE | re.ASCII,
 )
 _USERINFO = re.compile(r"://[^\s:/@]+:([^\s/@]+)@")

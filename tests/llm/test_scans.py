@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 
@@ -153,3 +155,19 @@ def test_repeated_passages_of_other_lengths(docs, texts, window):
     found = by_id(substrings.repeats(docs, window=window))
     for i, want in enumerate(brute.repeats(texts, window)):
         assert (found[i].n_words, found[i].n_removed, found[i].kept) == want, i
+
+
+def test_long_runs_of_names_are_read_once():
+    guesser = secret_scan.Guesser.of(secret_scan.WORDS)
+    start = time.perf_counter()
+    for text in ("token" * 100_000, "authorization_" * 40_000 + ":", "password " * 60_000 + "=", "x" * 500_000 + "=token", "token='" * 40_000):
+        secret_scan.guessed_spans(text, [], guesser, 10.0)
+    assert time.perf_counter() - start < 20
+
+
+def test_names_inside_longer_names():
+    guesser = secret_scan.Guesser.of(secret_scan.WORDS)
+    value = "Xk9#mQ2$vLpw7&"
+    for text in (f"my_db_password_2 = '{value}'", f'"apiKeyOld": "{value}"', f"x-auth-token:{value}", f"a=b {value} pwd=>{value}", f"Authorization: Bearer {value}"):
+        at = text.rindex(value)
+        assert (at, 3, at + len(value)) in secret_scan.guessed_spans(text, [], guesser, 10.0), text
