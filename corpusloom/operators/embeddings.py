@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import blank_to_null, left_units, normalize_text, trim_space
 from ..functions.vectors import content_hash, normalize_vector
-from ..session import broadcast_if_small, materialise
+from ..session import broadcast_if_small, materialise, stored
 from .registry import with_fields
 
 # Limits of one embedding request; a longer text is a request of its own.
@@ -106,6 +107,72 @@ def embed_batches(
     return out.select(F.spark_partition_id().cast("bigint").alias("partition"), "*")
 
 
+def batch_numbers(sizes: DataFrame, max_texts: int = BATCH_TEXTS, max_chars: int = BATCH_CHARS) -> DataFrame:
+    """(id, batch) of sizes(id, chars): the batches of one greedy run over all ids in order.
+
+    A batch depends on where the one before it ended, so a slice of the ids says for each of its
+    first rows what follows if a batch begins there: how many batches end in the slice, and what
+    its last one holds by then. One pass over these summaries, at most max_texts numbers a slice,
+    gives every slice the batch that is open when it begins; then all slices number their rows.
+    A text over the budget stands alone.
+    """
+    ordered = sizes.select("id", F.col("chars").cast("bigint").alias("chars")).repartitionByRange("id", "chars")
+    sliced = stored(ordered.withColumn("slice", F.spark_partition_id()))
+
+    def cut(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes in order, and for every row the first row after a batch that begins there."""
+        chars = rows.sort_values(["id", "chars"], kind="stable")["chars"].to_numpy()
+        total = np.concatenate([[0], np.cumsum(chars)])
+        start = np.arange(len(chars))
+        full = np.searchsorted(total, total[:-1] + max_chars, "right") - 1
+        return chars, np.maximum(np.minimum(full, start + max_texts), start + 1)
+
+    def summarise(key, rows: pd.DataFrame) -> pd.DataFrame:
+        chars, after = cut(rows)
+        n = len(chars)
+        total = np.concatenate([[0], np.cumsum(chars)])
+        ended, held, used = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        for i in range(n - 1, -1, -1):
+            j = after[i]
+            if j < n:
+                ended[i], held[i], used[i] = ended[j] + 1, held[j], used[j]
+            else:
+                held[i], used[i] = n - i, total[n] - total[i]
+        first = min(n, max_texts) + 1
+        return pd.DataFrame([{
+            "slice": key[0], "n": n, "chars": chars[:first].tolist(), "ended": ended[:first].tolist(),
+            "held": held[:first].tolist(), "used": used[:first].tolist(),
+        }])
+
+    schema = "slice int, n long, chars array<long>, ended array<long>, held array<long>, used array<long>"
+    batch, count, chars, opened = 0, 0, 0, []
+    for row in sliced.groupBy("slice").applyInPandas(summarise, schema).orderBy("slice").collect():
+        opened.append((row.slice, batch, count, chars))
+        at = 0
+        while at < row.n and count and count < max_texts and chars + row.chars[at] <= max_chars:
+            count, chars, at = count + 1, chars + row.chars[at], at + 1
+        if at < row.n:
+            batch += (count > 0) + row.ended[at]
+            count, chars = row.held[at], row.used[at]
+    begins = sizes.sparkSession.createDataFrame(opened, "slice int, batch long, count long, open long")
+
+    def number(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["id", "chars"], kind="stable").reset_index(drop=True)
+        batch, count, chars = (int(rows[c].iat[0]) for c in ("batch", "count", "open"))
+        _, after = cut(rows)
+        out, at, n = np.empty(len(rows), np.int64), 0, len(rows)
+        while at < n and count and count < max_texts and chars + rows["chars"].iat[at] <= max_chars:
+            out[at], count, chars, at = batch, count + 1, chars + rows["chars"].iat[at], at + 1
+        batch += bool(count) and at < n
+        while at < n:
+            out[at : after[at]], batch, at = batch, batch + 1, after[at]
+        return pd.DataFrame({"id": rows["id"], "batch": out})
+
+    # A row per slice.
+    numbered = sliced.join(F.broadcast(begins), "slice")
+    return numbered.groupBy("slice").applyInPandas(number, f"id {dict(sizes.dtypes)['id']}, batch long")
+
+
 def embed_texts(
     texts: DataFrame, embed: EmbedFn, max_texts: int = BATCH_TEXTS, max_chars: int = BATCH_CHARS
 ) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import observation_slug, slugify, valid_insight_slug
+from ..session import stored
 
 # Page type, its folder, and the body a new page starts with.
 FOLDERS = {
@@ -145,3 +146,49 @@ def requirement_counts(documents: DataFrame) -> DataFrame:
         F.coalesce(F.get_json_object("extensions", "$.priority"), F.lit("unknown")).alias("priority"),
     )
     return rows.groupBy("status", "priority").agg(F.count(F.lit(1)).cast("bigint").alias("requirements"))
+
+
+# What a requirement's status and priority may be.
+REQUIREMENT_STATUS = ("draft", "clarified", "active", "implemented", "deferred", "rejected")
+REQUIREMENT_PRIORITY = ("p0", "p1", "p2", "p3")
+
+
+def requirement_faults(requirements: DataFrame) -> DataFrame:
+    """(id, field, value): statuses and priorities that no requirement may have; a missing value is a fault."""
+    fields = F.array(*[
+        F.struct(F.lit(name).alias("field"), F.col(name).alias("value"), F.coalesce(F.col(name).isin(*allowed), F.lit(False)).alias("ok"))
+        for name, allowed in (("status", REQUIREMENT_STATUS), ("priority", REQUIREMENT_PRIORITY))
+    ])
+    return requirements.select("id", F.inline(fields)).where(~F.col("ok")).drop("ok")
+
+
+def requirement_levels(requirements: DataFrame) -> DataFrame:
+    """(id, level, missing, cyclic) of requirements(id, depends_on ARRAY<STRING>).
+
+    Level 0 depends on nothing; others are one above the highest they depend on. What depends on
+    a cycle, or is part of one, is cyclic and has no level. Dependencies that are no requirement
+    are counted as missing and do not count for the level. One round per level: each settles the
+    requirements whose dependencies are all settled, and only open ones go on.
+    """
+    ids = stored(requirements.select("id", F.array_distinct(F.coalesce("depends_on", F.array().cast("array<string>"))).alias("needs")))
+    arrows = ids.select("id", F.explode("needs").alias("need"))
+    known = ids.select(F.col("id").alias("need"), F.lit(True).alias("known")).distinct()
+    arrows = stored(arrows.join(known, "need", "left").withColumn("known", F.coalesce("known", F.lit(False))))
+    missing = arrows.where("not known").groupBy("id").agg(F.count("*").alias("missing"))
+    open_ = arrows.where("known").select("id", "need", F.lit(0).cast("bigint").alias("settled"), F.lit(False).alias("done"))
+    settled = ids.select("id").distinct().join(open_.select("id"), "id", "left_anti").withColumn("level", F.lit(0).cast("bigint"))
+    rounds, last = [stored(settled)], None
+    while not rounds[-1].isEmpty():
+        last = rounds[-1].select(F.col("id").alias("need"), F.col("level").alias("_level"))
+        open_ = open_.join(last, "need", "left").select(
+            "id", "need", F.coalesce("_level", "settled").alias("settled"), (F.col("done") | F.col("_level").isNotNull()).alias("done")
+        )
+        open_ = stored(open_)
+        state = open_.groupBy("id").agg(F.bool_and("done").alias("ready"), (F.max("settled") + 1).alias("level"))
+        rounds.append(stored(state.where("ready").select("id", "level")))
+        open_ = open_.join(rounds[-1].select("id"), "id", "left_anti")
+    levels = rounds[0]
+    for more in rounds[1:]:
+        levels = levels.unionByName(more)
+    joined = ids.select("id").distinct().join(levels, "id", "left").join(missing, "id", "left")
+    return joined.select("id", "level", F.coalesce("missing", F.lit(0)).cast("bigint").alias("missing"), F.col("level").isNull().alias("cyclic"))

@@ -653,6 +653,36 @@ select path, n in (0, 1, 4, 5) as protected, case n when 0 then 'Raw sources are
   when 5 then 'Event history is append-only authoritative state. Use wiki_log_event or an owning wiki operation instead.' end as reason from c"""
 ORACLES["requirement_counts"] = """select lower(p_type) as status, concat('p', cast(p_size % 4 as varchar)) as priority, count(*) as requirements from part group by 1, 2"""
 
+ORACLES["embed_batch_numbers"] = f"""with recursive {EMBED},
+ordered as (select row_number() over (order by id) as n, id, length(text) as size from emb_text),
+run as (
+  select n, id, 0 as batch, 1 as held, size as chars from ordered where n = 1
+  union all
+  select o.n, o.id, case when held >= 96 or chars + size > 45000 then batch + 1 else batch end,
+    case when held >= 96 or chars + size > 45000 then 1 else held + 1 end, case when held >= 96 or chars + size > 45000 then size else chars + size end
+  from run r join ordered o on o.n = r.n + 1)
+select id, batch from run"""
+_REQUIREMENTS = """req as (
+  select p_partkey as k, concat('req/', p_partkey) as id, case when p_partkey % 13 <> 0 then concat('p', p_partkey % 5) end as priority,
+    (['draft', 'clarified', 'active', 'implemented', 'deferred', 'rejected', 'done'])[p_partkey % 7 + 1] as status from part)"""
+ORACLES["requirement_faults"] = f"""with {_REQUIREMENTS}
+select id, 'status' as field, status as value from req where status = 'done'
+union all select id, 'priority', priority from req where priority is null or priority = 'p4'"""
+ORACLES["requirement_levels"] = f"""with recursive {_REQUIREMENTS},
+need as (
+  select k, k + 1 as n from req where k % 7 <> 0 union select k, k + 5 from req where k % 7 = 1 union select k, k - 6 from req where k % 35 = 7),
+arrow as (select need.k, n from need join req on req.k = n),
+reach as (select k, n from arrow union select r.k, a.n from reach r join arrow a on a.k = r.n),
+ring as (select distinct k from reach where k = n),
+bad as (select k from ring union select k from reach where n in (select k from ring)),
+level as (
+  select k, 0 as level from req where k not in (select k from arrow)
+  union select a.k, level + 1 from level l join arrow a on a.n = l.k where a.k not in (select k from bad))
+select id, l.level::bigint as level,
+  ((k % 11 = 0)::int + (k % 7 <> 0 and k + 1 not in (select k from req))::int + (k % 7 = 1 and k + 5 not in (select k from req))::int)::bigint as missing,
+  l.level is null as cyclic
+from req left join (select k, max(level) as level from level group by k) l using (k)"""
+
 _PAGE_LINE = f"""concat('- [', {_ESC.format("coalesce(nullif(trim(title), ''), cast(doc_id as varchar))")}, '](', cast(doc_id as varchar), '.md)')"""
 ORACLES["directory_index_lines"] = f"""with {DOCS}
 select '' as dir, 0 as section, '' as name, concat('---', chr(10), 'okf_version: "0.2"', chr(10), '---', chr(10), chr(10), '# Corpus') as line

@@ -804,6 +804,38 @@ def _maintained(spark, sf_dir):
     return state
 
 
+@query
+def embed_batch_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request every page is embedded with, in one run over all pages by id."""
+    texts = emb.page_texts(corpora.docs_corpus(spark, sf_dir))
+    return emb.batch_numbers(texts.select("id", F.length("text").alias("chars")))
+
+
+def _requirements(spark, sf_dir):
+    """Parts as requirements in chains of up to seven; every fifth chain closes a cycle, some needs do not exist."""
+    k = F.col("p_partkey")
+    name = lambda key: F.concat(F.lit("req/"), key.cast("string"))
+    needs = F.array(
+        F.when(k % 7 != 0, name(k + 1)), F.when(k % 7 == 1, name(k + 5)), F.when(k % 35 == 7, name(k - 6)),
+        F.when(k % 11 == 0, F.concat(F.lit("req/none-"), (k % 3).cast("string"))),
+    )
+    status = F.element_at(F.array(*map(F.lit, [*pageops.REQUIREMENT_STATUS, "done"])), (k % 7 + 1).cast("int"))
+    return corpora.table(spark, sf_dir, "part").select(
+        name(k).alias("id"), F.array_compact(needs).alias("depends_on"), status.alias("status"),
+        F.when(k % 13 != 0, F.concat(F.lit("p"), (k % 5).cast("string"))).alias("priority"),
+    )
+
+
+@query
+def requirement_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pageops.requirement_levels(_requirements(spark, sf_dir))
+
+
+@query
+def requirement_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pageops.requirement_faults(_requirements(spark, sf_dir))
+
+
 @query
 def refresh_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links to every page after two refreshes with edits, deletions and broken pages."""
