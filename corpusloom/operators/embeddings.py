@@ -127,7 +127,7 @@ def batch_numbers(sizes: DataFrame, max_texts: int = BATCH_TEXTS, max_chars: int
         full = np.searchsorted(total, total[:-1] + max_chars, "right") - 1
         return chars, np.maximum(np.minimum(full, start + max_texts), start + 1)
 
-    def summarise(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def summarise(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         chars, after = cut(rows)
         n = len(chars)
         total = np.concatenate([[0], np.cumsum(chars)])
