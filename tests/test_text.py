@@ -89,11 +89,11 @@ def test_insight_slug(spark):
 
 
 TARGETS = [
-    ("/shared/root.md?x=1", "concept", "shared/root"), ("../concepts/encoded%20name.md", "concept", "concepts/encoded name"),
-    ("https://example.com/x.md", "external", None), ("MAILTO:x", "external", None),
-    ("../../outside.md", "escape", None), ("/../x.md", "escape", None), ("bad%ZZ.md", "invalid", None),
-    ("bad%FF.md", "invalid", None), ("/shared/root", "empty", None), ("#part", "empty", None), ("", "empty", None),
-    ("a+b.md", "concept", "concepts/a+b"), ("./x/../inline.md#p?q", "concept", "concepts/inline"),
+    ("/plans/2031/kiln.md?v=9", "concept", "plans/2031/kiln"), ("../glazes/ash%20blue.md", "concept", "glazes/ash blue"),
+    ("ftp://kiln.example/x.md", "external", None), ("TEL:1", "external", None),
+    ("../../../up.md", "escape", None), ("/../x.md", "escape", None), ("ash%G1.md", "invalid", None),
+    ("ash%FE.md", "invalid", None), ("/plans/2031", "empty", None), ("#firing", "empty", None), ("", "empty", None),
+    ("a+b.md", "concept", "concepts/a+b"), ("./kiln/../cone.md#p?q", "concept", "concepts/cone"),
     ("a%5Cb.md", "concept", "concepts/a/b"), ("a%2Fb.md", "concept", "concepts/a/b"), ("x.md?y#z", "concept", "concepts/x"),
 ]
 
@@ -104,8 +104,8 @@ def test_link_targets(spark):
 
 
 def test_labels_and_paths(spark):
-    assert column(spark, ["RAG [safe]\\"], escape_label) == ["RAG \\[safe\\]\\\\"]
-    values = ["retrieval augmented.md", "a/b c", "é!'()*~+&"]
+    assert column(spark, ["Cone [6]\\"], escape_label) == ["Cone \\[6\\]\\\\"]
+    values = ["ash blue glaze.md", "a/b c", "é!'()*~+&"]
     assert column(spark, values, encode_path) == [
-        "retrieval%20augmented.md", "a/b%20c", "%C3%A9!'()*~%2B%26",
+        "ash%20blue%20glaze.md", "a/b%20c", "%C3%A9!'()*~%2B%26",
     ]
