@@ -3,8 +3,11 @@
 Two bigram models, one of toxic and one of ordinary texts, are interpolated with continuation
 counts of their class, and those with continuation counts that both classes share. The shared
 counts stop growing at a few contexts: they stand for rare expressions, while an expression
-with many contexts in one class and none in the other keeps its contrast. A text is judged by
-its length-normalised log-likelihood ratio, as a whole and over its most telling expressions.
+with many contexts in one class and none in the other keeps its contrast. Every word pair of the
+sample counts, less a discount below 1 that the counts of counts give. A text is judged by its
+length-normalised log-likelihood ratio, as a whole and over its most telling expressions; the
+part that words have in it and the part that their neighbours add are weighed apart, because
+chance pairs of rare words would outshine the words otherwise.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ from corpusloom.llm.tokens import ALNUM, by_bytes, mix, words_of
 
 BUCKETS = 1 << 20
 START = BUCKETS
+PAIRS = 1 << 22
 TELLING = 3
+FEATURES = 2 * (1 + TELLING)
 
 
 def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,48 +39,54 @@ def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words.first, before, own
 
 
-def _key(before: np.ndarray, own: np.ndarray) -> np.ndarray:
-    return before * (BUCKETS + 1) + own
+def _slot(before: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Place of a word pair in the table of pairs."""
+    code = (before * (BUCKETS + 1) + own).astype(np.uint64)
+    return (mix(code) & np.uint64(PAIRS - 1)).astype(np.int64)
 
 
 @dataclass
 class Model:
-    """Probabilities by bucket and class (0 ordinary, 1 toxic), and the weights of the decision."""
+    """Probabilities by bucket and class (0 ordinary, 1 toxic), and the weights of the decision.
+
+    word: continuation probability; seen: occurrences as a context, and kept: what the discount
+    leaves of them; pair: discounted counts by slot.
+    """
 
     word: np.ndarray
     seen: np.ndarray
     kept: np.ndarray
-    keys: np.ndarray
-    mass: np.ndarray
+    pair: np.ndarray
     weights: np.ndarray
 
-    def ratios(self, before: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Log-likelihood ratio, toxic against ordinary, of every word."""
-        key = _key(before, own)
-        place = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
-        known = self.keys[place] == key if len(self.keys) else np.zeros(len(key), bool)
-        logs = []
-        for c in (1, 0):
-            total = np.maximum(self.seen[c][before], 1)
-            rest = 1 - self.kept[c][before] / total
-            direct = np.where(known, self.mass[c][place], 0) / total if len(self.keys) else 0.0
-            logs.append(np.log(direct + rest * self.word[c][own]))
-        return logs[0] - logs[1]
+    def probabilities(self, c: int, before: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Kneser-Ney probability of every word after the word before, in one class."""
+        total = np.maximum(self.seen[c][before], 1)
+        kept = self.kept[c][before]
+        # A slot may hold several pairs; none has more than its context kept.
+        direct = np.minimum(self.pair[c][_slot(before, own)], kept)
+        return (direct + (total - kept) * self.word[c][own]) / total
+
+    def ratios(self, before: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihood ratio, toxic against ordinary, of every word: alone, and what the word before adds."""
+        alone = np.log(self.word[1][own]) - np.log(self.word[0][own])
+        both = np.log(self.probabilities(1, before, own)) - np.log(self.probabilities(0, before, own))
+        return alone, both - alone
 
     def features(self, column: pa.Array) -> np.ndarray:
-        """Per text: the mean ratio of its words and its highest single ratios (0 where it has fewer)."""
+        """Per text and part of the ratio: the mean over its words and its highest single ones (0 where it has fewer)."""
         first, before, own = _grams(column)
-        out = np.zeros((len(column), 1 + TELLING))
+        out = np.zeros((len(column), FEATURES))
         if not len(own):
             return out
-        ratio = self.ratios(before, own)
         counts = np.diff(first)
         row = np.repeat(np.arange(len(counts)), counts)
-        out[:, 0] = np.bincount(row, ratio, len(counts)) / np.maximum(counts, 1)
-        order = np.lexsort((-ratio, row))
-        place = np.arange(len(order)) - first[row]
+        place = np.arange(len(row)) - first[row]
         top = place < TELLING
-        out[row[top], 1 + place[top]] = ratio[order][top]
+        for at, ratio in zip((0, 1 + TELLING), self.ratios(before, own)):
+            out[:, at] = np.bincount(row, ratio, len(counts)) / np.maximum(counts, 1)
+            order = np.lexsort((-ratio, row))
+            out[row[top], at + 1 + place[top]] = ratio[order][top]
         return out
 
     def score(self, column: pa.Array) -> np.ndarray:
@@ -83,7 +94,7 @@ class Model:
 
 
 def _counts(sample: DataFrame) -> DataFrame:
-    """(class, before, own, n) over the sampled texts."""
+    """(class, before, own, slot, n) over the sampled texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
@@ -91,14 +102,20 @@ def _counts(sample: DataFrame) -> DataFrame:
             first, before, own = _grams(batch.column("text"))
             each = np.repeat(classes, np.diff(first))
             for c in (0, 1):
-                keys, n = np.unique(_key(before[each == c], own[each == c]), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(keys), c)), pa.array(keys // (BUCKETS + 1)), pa.array(keys % (BUCKETS + 1)), pa.array(n)],
-                    ["class", "before", "own", "n"],
-                )
+                keys, n = np.unique(before[each == c] * (BUCKETS + 1) + own[each == c], return_counts=True)
+                left, right = keys // (BUCKETS + 1), keys % (BUCKETS + 1)
+                columns = [np.full(len(keys), c), left, right, _slot(left, right), n]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["class", "before", "own", "slot", "n"])
+
+    rows = sample.select("class", "text").mapInArrow(run, "class long, before long, own long, slot long, n long")
+    return rows.groupBy("class", "before", "own", "slot").agg(F.sum("n").alias("n"))
 
-    rows = sample.select("class", "text").mapInArrow(run, "class long, before long, own long, n long")
-    return rows.groupBy("class", "before", "own").agg(F.sum("n").alias("n"))
+
+def _discounts(grams: DataFrame) -> list[float]:
+    """Discount of word pairs in each class: n1 / (n1 + 2 n2), by the numbers of pairs seen once and twice."""
+    found = {(c, n): size for c, n, size in grams.where(F.col("n") <= 2).groupBy("class", "n").count().collect()}
+    pairs = [(found.get((c, 1), 0), found.get((c, 2), 0)) for c in (0, 1)]
+    return [once / (once + 2 * twice) if once and twice else 0.75 for once, twice in pairs]
 
 
 def _dense(counts: DataFrame, key: str, size: int) -> np.ndarray:
@@ -109,28 +126,15 @@ def _dense(counts: DataFrame, key: str, size: int) -> np.ndarray:
     return out
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-    per_class: int = 12000, calibration: int = 4000, discount: float = 0.75, bigram_discount: float = 30.0,
-    shared: float = 4.0, seed: int = 7,
-) -> Model:
-    """Train on at most per_class labelled documents of each class and calibrate on others.
-
-    A third of the labelled ids, by a hash, is set aside for the calibration (at most
-    `calibration` of each class). All model sizes are fixed by BUCKETS and these bounds.
-    `discount` and `bigram_discount` are the absolute discounts of the two orders, the one of
-    words in proportion to the larger class; `shared` is where shared counts stop growing.
-    """
-    prepare(docs.sparkSession)
-    aside = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(3)) == 0
-    for_counts = bounded_sample(labels.where(~aside), label_col, id_col, per_class, seed)
-    grams = written(_counts(with_classes(docs, for_counts, id_col, text_col)))
+def count(sample: DataFrame, discount: float = 0.75, shared: float = 4.0) -> Model:
+    """The two language models of a sample of (class, text), without weights fitted yet."""
+    grams = written(_counts(sample))
     continuation = _dense(grams.groupBy("class", "own").agg(F.count("*").alias("n")), "own", BUCKETS)
+    less = _discounts(grams)
+    left = F.col("n") - F.when(F.col("class") == 1, less[1]).otherwise(less[0])
     seen = _dense(grams.groupBy("class", "before").agg(F.sum("n").alias("n")), "before", BUCKETS + 1)
-    often = grams.where(F.col("n") > bigram_discount)
-    above = F.sum(F.col("n") - bigram_discount).alias("n")
-    kept = _dense(often.groupBy("class", "before").agg(above), "before", BUCKETS + 1)
-    often = often.toPandas()
+    kept = _dense(grams.groupBy("class", "before").agg(F.sum(left).alias("n")), "before", BUCKETS + 1)
+    pair = _dense(grams.groupBy("class", "slot").agg(F.sum(left).alias("n")), "slot", PAIRS)
     totals = continuation.sum(1, dtype=float)
     pooled = np.minimum(continuation.sum(0), shared) + 0.1
     pooled /= pooled.sum(dtype=float)
@@ -139,24 +143,39 @@ def fit(
     for c in (0, 1):
         word[c] = np.maximum(word[c] - discount * scale[c], 0) / max(totals[c], 1)
         word[c] += (1 - word[c].sum(dtype=float)) * pooled
-    keys = _key(often["before"].to_numpy(np.int64), often["own"].to_numpy(np.int64))
-    unique, place = np.unique(keys, return_inverse=True)
-    mass = np.zeros((2, len(unique)), np.float32)
-    mass[often["class"].to_numpy(int), place] = often["n"].to_numpy(float) - bigram_discount
-    model = Model(word, seen, kept, unique, mass, np.array([0.0] + [1.0] * TELLING + [-4.0 * TELLING]))
+    weights = np.append(np.tile([0.0] + [1.0] * TELLING, 2), -4.0 * TELLING)
+    if not (totals > 0).all():
+        weights = np.append(np.zeros(FEATURES), -30.0 if totals[1] == 0 else 30.0)
+    return Model(word, seen, kept, pair, weights)
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
+    per_class: int = 12000, calibration: int = 4000, discount: float = 0.75, shared: float = 4.0, ridge: float = 0.01,
+    seed: int = 7,
+) -> Model:
+    """Train on at most per_class labelled documents of each class and calibrate on others.
+
+    A third of the labelled ids, by a hash, is set aside for the calibration (at most
+    `calibration` of each class). All model sizes are fixed by BUCKETS, PAIRS and these bounds.
+    `discount` is the absolute discount of continuation counts, in proportion to the larger
+    class (the one of pairs is estimated); `shared` is where shared counts stop growing.
+    """
+    prepare(docs.sparkSession)
+    aside = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(3)) == 0
+    for_counts = bounded_sample(labels.where(~aside), label_col, id_col, per_class, seed)
+    model = count(with_classes(docs, for_counts, id_col, text_col), discount, shared)
     held = bounded_sample(labels.where(aside), label_col, id_col, calibration, seed)
     x, y = _features_of(with_classes(docs, held, id_col, text_col), model)
-    if (totals > 0).all() and 0 < y.sum() < len(y):
-        model.weights = logistic(x, y)
-    elif not (totals > 0).all():
-        model.weights = np.append(np.zeros(1 + TELLING), -30.0 if totals[1] == 0 else 30.0)
+    if model.weights[:-1].any() and 0 < y.sum() < len(y):
+        model.weights = logistic(x, y, ridge)
     return model
 
 
 def _features_of(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the calibration sample: a bounded number of rows of a few numbers."""
     shared = sample.sparkSession.sparkContext.broadcast(vars(model))
-    names = ["class", *(f"x{i}" for i in range(1 + TELLING))]
+    names = ["class", *(f"x{i}" for i in range(FEATURES))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):

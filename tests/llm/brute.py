@@ -118,3 +118,32 @@ def unigram(rows: list[tuple[object, str | None]], held) -> dict[object, tuple[i
 
 def crc(key: object, k: int) -> int:
     return zlib.crc32(str(key).encode()) % k
+
+
+def kneser_ney(texts: list[tuple[int, str]], buckets: int, discount: float = 0.75, shared: float = 4.0):
+    """P(class, word before or None, word) of two bigram models interpolated with continuation counts."""
+    pairs: list[dict] = [{}, {}]
+    for c, text in texts:
+        words = re.findall(r"[0-9a-z]+", text.lower())
+        for pair in zip([None, *words], words):
+            pairs[c][pair] = pairs[c].get(pair, 0) + 1
+    after = [{w: sum(1 for _, x in own if x == w) for w in {w for _, w in own}} for own in pairs]
+    totals = [len(own) for own in pairs]
+    every = {w: sum(a.get(w, 0) for a in after) for w in {*after[0], *after[1]}}
+    mass = sum(min(n, shared) for n in every.values()) + 0.1 * buckets
+
+    def word(c: int, w: str) -> float:
+        less = discount * max(totals[c] / min(totals), 1)
+        kept = sum(max(n - less, 0) for n in after[c].values()) / totals[c]
+        return max(after[c].get(w, 0) - less, 0) / totals[c] + (1 - kept) * (min(every.get(w, 0), shared) + 0.1) / mass
+
+    def probability(c: int, before: str | None, w: str) -> float:
+        own = list(pairs[c].values())
+        less = own.count(1) / (own.count(1) + 2 * own.count(2)) if 1 in own and 2 in own else 0.75
+        following = [n for (v, _), n in pairs[c].items() if v == before]
+        if not following:
+            return word(c, w)
+        direct = max(pairs[c].get((before, w), 0) - less, 0)
+        return (direct + less * len(following) * word(c, w)) / sum(following)
+
+    return probability

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,45 @@ def test_toxicity_never_reads_held_out_labels(corpus):
     assert a == pytest.approx(b)
 
 
+def _hashes(words):
+    """Buckets of words, and of the beginning of a text for None."""
+    found = toxicity.words_of(pa.array([w or "" for w in words]), toxicity.ALNUM, lower=True)
+    own = iter((found.hash & np.uint64(toxicity.BUCKETS - 1)).astype(np.int64))
+    return np.array([toxicity.START if w is None else next(own) for w in words])
+
+
+def test_toxicity_models_equal_brute_force(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(25)]
+    texts = [(int(i % 5 == 0), " ".join(rng.choice(words[i % 5 :]) for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    model = toxicity.count(spark.createDataFrame([*texts, (0, None), (1, "")], "class long, text string").repartition(3))
+    plain = brute.kneser_ney(texts, toxicity.BUCKETS)
+    pairs = [(v, w) for v in [None, *words, "unseen"] for w in [*words, "new"]]
+    before, own = _hashes([v for v, _ in pairs]), _hashes([w for _, w in pairs])
+    for c in (0, 1):
+        assert model.probabilities(c, before, own) == pytest.approx([plain(c, v, w) for v, w in pairs], rel=1e-4)
+    alone, added = model.ratios(before, own)
+    assert alone + added == pytest.approx([np.log(plain(1, v, w) / plain(0, v, w)) for v, w in pairs], abs=1e-3)
+
+
+def test_toxicity_finds_pairs_of_ordinary_words_with_few_labels(spark):
+    """All words are as common in ordinary texts; only that two of them stand side by side is toxic."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(200)]
+    docs, labels = [], []
+    for i in range(400):
+        own = [rng.choice(words) for _ in range(50)]
+        for at in sorted(rng.sample(range(49), 2), reverse=True):
+            own[at : at + 1] = ["hot", "stone"] if i % 10 == 0 else [rng.choice(["hot", "stone"]), rng.choice(words), rng.choice(["hot", "stone"])]
+        docs.append((i, " ".join(own)))
+        labels.append((i, int(i % 10 == 0)))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    found = toxicity.toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).where("held_out").collect()
+    toxic = [r.predicted for r in found if r.doc_id % 10 == 0]
+    assert len(toxic) >= 5 and all(toxic)
+    assert not any(r.predicted for r in found if r.doc_id % 10)
+
+
 def test_toxicity_edges(spark, docs, repeated, nothing, texts):
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(60)] + [(None, 1), (5, None), (6, 0), (6, 0)], "doc_id long, toxic int")
     assert toxicity.toxicity(docs, labels).count() == len(texts)
