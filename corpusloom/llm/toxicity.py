@@ -12,6 +12,7 @@ chance pairs of rare words would outshine the words otherwise.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -89,6 +90,15 @@ class Model:
             out[row[top], at + 1 + place[top]] = ratio[order][top]
         return out
 
+    def packed(self) -> tuple[int, bytes]:
+        """The model for a broadcast, and its size unpacked: its tables are sparse and shrink to a fraction."""
+        data = pickle.dumps(vars(self), protocol=5)
+        return len(data), pa.compress(data, codec="zstd", asbytes=True)
+
+    @staticmethod
+    def unpacked(size: int, data: bytes) -> Model:
+        return Model(**pickle.loads(pa.decompress(data, size, codec="zstd", asbytes=True)))
+
     def score(self, column: pa.Array) -> np.ndarray:
         return sigmoid(self.features(column) @ self.weights[:-1] + self.weights[-1])
 
@@ -174,12 +184,13 @@ def fit(
 
 def _features_of(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the calibration sample: a bounded number of rows of a few numbers."""
-    shared = sample.sparkSession.sparkContext.broadcast(vars(model))
+    shared = sample.sparkSession.sparkContext.broadcast(model.packed())
     names = ["class", *(f"x{i}" for i in range(FEATURES))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model.unpacked(*shared.value)
         for batch in by_bytes(batches):
-            x = Model(**shared.value).features(batch.column("text"))
+            x = own.features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("class").cast(pa.int64()), *(pa.array(c) for c in x.T)], names)
 
     schema = ", ".join([f"{n} {'long' if n == 'class' else 'double'}" for n in names])
@@ -190,11 +201,12 @@ def _features_of(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarra
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) of every document; null and empty texts get the score of a text without words."""
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
+    shared = docs.sparkSession.sparkContext.broadcast(model.packed())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model.unpacked(*shared.value)
         for batch in by_bytes(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(Model(**shared.value).score(batch.column("text")))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(own.score(batch.column("text")))], ["id", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, score double").withColumnRenamed("id", id_col)
