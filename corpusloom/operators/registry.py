@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.paths import encode_path, escape_label, is_reserved, scan_order
 from ..functions.text import blank_to_null, collapse_space, nfc, path_title, trim_space
+from .skew import with_positions
 
 # Columns a page table may have besides id, type, title and body; missing ones read as NULL.
 FIELDS = [
@@ -138,6 +139,22 @@ def index_by_type(registry: DataFrame) -> DataFrame:
     return lines.unionByName(heads).withColumn("section", F.col("section").cast("bigint"))
 
 
+def index_in_locale_order(registry: DataFrame, by: str = "title", locale: str = "UNICODE") -> DataFrame:
+    """(type, position, id, title): pages of each type numbered by the order of a locale.
+
+    Accents and case decide only between equal letters; texts that the locale holds equal, and
+    copies, follow their ids in binary order. locale is a collation of Spark (UNICODE, de, sv ...).
+    Missing types count as unknown, missing titles as the id. Only keys and titles are moved,
+    and a type of any size is numbered in range slices.
+    """
+    rows = registry.select(
+        F.coalesce(F.nullif("type", F.lit("")), F.lit("unknown")).alias("type"), "id",
+        F.coalesce(F.nullif("title", F.lit("")), F.col("id")).alias("title"),
+    )
+    keyed = rows.withColumn("_key", F.collate(F.col(by), locale))
+    return with_positions(keyed, ["type"], ["_key", "id"], narrow=True).select("type", "position", "id", "title")
+
+
 def folder_steps(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(dir, name) for every ancestor folder of every page, once per page; carry: more columns of docs."""
     parts = F.split("id", "/")

@@ -121,6 +121,11 @@ select type, 1 as section, id, concat('- [[', id, ']] — ', coalesce(nullif(tri
 union all
 select distinct type, 0, '', concat('## ', upper(substring(type, 1, 1)), substring(type, 2), 's') from docs"""
 
+ORACLES["index_locale_order"] = f"""with {DOCS},
+titled as (select type, id, coalesce(nullif(trim(title), ''), split_part(id, '/', 2)) as title from docs)
+select coalesce(nullif(type, ''), 'unknown') as type, id, title,
+  row_number() over (partition by coalesce(nullif(type, ''), 'unknown') order by title collate en, id) as position from titled"""
+
 _ESC = r"regexp_replace({0}, '([\\\[\]])', '\\\1', 'g')"
 ORACLES["directory_index"] = f"""with {DOCS},
 pg as (select category as d1, concat('lang ', type) as d2, cast(doc_id as varchar) as name,

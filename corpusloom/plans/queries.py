@@ -81,6 +81,11 @@ def index_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.index_by_type(registry.build_registry(corpora.docs_corpus(spark, sf_dir)))
 
 
+@query
+def index_locale_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.index_in_locale_order(registry.build_registry(corpora.docs_corpus(spark, sf_dir)))
+
+
 @query
 def directory_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpora.docs_corpus(spark, sf_dir)

@@ -223,3 +223,22 @@ def test_created_documents(spark):
     assert (row["frontmatter"], row["extensions"], row["body"]) == ('{"tags":["a"],"type":"x"}', '{"k":1}', "b")
     assert bad.count() == 1
     assert src.serialise_documents(good).first()["content"] == "---\ntype: x\ntags:\n  - a\nsources:\n  - id: S\nk: 1\n---\n\nb\n"
+
+
+def test_index_in_locale_order(spark):
+    from corpusloom.operators.registry import index_in_locale_order
+
+    titles = ["zebra", "\u00c4pfel", "apfel", "Apfel", "\u00e9clair", "eclair", "Z1", "a b", "ab", "ab", "e\u0301clair", "", None]
+    pages = spark.createDataFrame([(f"p{i:02}", "en" if i != 8 else None, t) for i, t in enumerate(titles)], "id string, type string, title string")
+
+    def order(**how):
+        return [r["id"] for r in index_in_locale_order(pages, **how).where("type = 'en'").orderBy("position").collect()]
+
+    # Letters first, then accents, then small before capital; equal titles by id.
+    assert order() == ["p07", "p09", "p02", "p03", "p01", "p05", "p04", "p10", "p11", "p12", "p06", "p00"]
+    swedish = order(locale="sv")
+    assert swedish[-1] == "p01" and swedish.index("p02") < swedish.index("p00")
+    assert order(by="id") == sorted(set(order()))
+    unknown = index_in_locale_order(pages).where("type = 'unknown'").collect()
+    assert [(r["position"], r["id"]) for r in unknown] == [(1, "p08")]
+    assert index_in_locale_order(pages.limit(0)).count() == 0
