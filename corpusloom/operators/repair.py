@@ -12,6 +12,17 @@ from .pages import folder_type
 RECOVERABLE = ("frontmatter_missing", "frontmatter_parse_error", "concept_missing_type")
 
 
+def codes_by_path(diagnostics: DataFrame, codes: tuple[str, ...] | None = RECOVERABLE) -> DataFrame:
+    """(path, codes): the distinct diagnostic codes of every path, sorted.
+
+    Only `codes` count (None: all), and a path without one has no row. The kinds of codes are
+    few, so a path's list is short however often each was reported.
+    """
+    rows = diagnostics if codes is None else diagnostics.where(F.col("code").isin(*codes))
+    # Equal codes combine before the shuffle.
+    return rows.groupBy("path").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+
+
 def inferred_type(path: Column, registry_type: Column) -> Column:
     return F.coalesce(blank_to_null(registry_type), folder_type(F.substring_index(path, "/", 1)))
 

@@ -338,6 +338,9 @@ _CODE = """case n when 0 then 'frontmatter_missing' when 1 then 'frontmatter_par
 ORACLES["frontmatter_diagnostics"] = f"""with {FILES}
 select 'error' as severity, {_CODE} as code, concat(id, '.md') as path from files where n not in (5, 8, 9)"""
 ORACLES["diagnostics_by_path"] = f"with {FILES} select {_CODE} as code, count(*) as pages from files where n not in (5, 8, 9) group by 1"
+ORACLES["recoverable_codes"] = f"""with {FILES}
+select concat(id, '.md') as path, case n when 1 then 'frontmatter_missing,frontmatter_parse_error'
+  when 2 then 'concept_missing_type,frontmatter_missing' else 'frontmatter_missing' end as codes from files"""
 ORACLES["serialise_documents"] = f"""with {FILES}
 select concat(id, '.md') as path, concat(case when n = 5 then concat('---', chr(10), 'type: note', chr(10), 'sources:', chr(10), '  - raw one', chr(10),
     'created: 2024-05-01', chr(10), '---', chr(10))
@@ -521,6 +524,10 @@ PENDING = """pend as (
 ORACLES["pending_ingest"] = f"with {PENDING} select id from pend"
 ORACLES["pending_batch"] = f"with {PENDING} select id, (select greatest(count(*) - 9, 0) from pend) as remaining from pend order by id limit 9"
 
+ORACLES["requested_sources"] = """select distinct concat('SRC-', lpad(cast(l.doc_id * 3 as varchar), 9, '0')) as id,
+  case when d.doc_id is null then 'not_found' else 'selected' end as status
+from labels l left join documents d on d.doc_id = l.doc_id * 3"""
+
 COMMIT = f"""parts as (select *, concat('SRC-', lpad(cast(p_partkey as varchar), 9, '0')) as source_id, case when p_partkey % 3 = 0 then 'de' else 'en' end as lang from part),
 mentions as (
   select source_id, lang, 'entity' as kind, 0 as pos, p_brand as title, ' ' as txt from parts
@@ -629,6 +636,10 @@ select session_id, position, concat(cast(position as varchar), '. `', tool, '`')
 ORACLES["undistilled"] = f"""with {STEPS}
 select id, {_TITLE} as title from manifests where id not in (select concat('TRJ-2024-06-01-', lpad(cast((doc_id * 3) % 999 as varchar), 3, '0')) from labels)"""
 
+_REST = "id not in (select concat('TRJ-2024-06-01-', lpad(cast((doc_id * 3) % 999 as varchar), 3, '0')) from labels)"
+ORACLES["undistilled_batch"] = f"""with {STEPS}, rest as (select id from manifests where {_REST})
+select id, (select greatest(count(*) - 5, 0) from rest) as remaining from rest order by id limit 5"""
+
 ORACLES["repair_documents"] = rf"""with raw_files as (
   select concat('notes/', cast(doc_id as varchar), '.md') as path, doc_id, doc_id % 10 as n, text,
     case doc_id % 10 when 0 then text when 1 then concat('---', chr(10), 'type: note', chr(10), text)

@@ -340,6 +340,18 @@ def diagnostics_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def recoverable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes per page over the diagnostics of two scans: with the frontmatter, and of the text alone."""
+    _, first = srcdocs.discover_documents(corpora.markdown_files(spark, sf_dir))
+    bare = corpora.docs_corpus(spark, sf_dir).select(
+        F.concat(F.lit("notes/"), F.substring_index("id", "/", -1), F.lit(".md")).alias("path"), F.col("body").alias("content")
+    )
+    _, second = srcdocs.discover_documents(bare)
+    found = repair.codes_by_path(first.select("path", "code").unionByName(second.select("path", "code")))
+    return found.select("path", F.array_join("codes", ",").alias("codes"))
+
+
 @query
 def serialise_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = srcdocs.discover_documents(corpora.markdown_files(spark, sf_dir))
@@ -559,6 +571,15 @@ def pending_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.next_batch(ingest.pending_sources(*_packet_registry(spark, sf_dir)), 9)
 
 
+@query
+def requested_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three times the number of every labelled document is asked for; about a third exists."""
+    number = (F.col("doc_id") * 3).cast("string")
+    asked = corpora.table(spark, sf_dir, "labels").select(F.concat(F.lit("SRC-"), F.lpad(number, 9, "0")).alias("id"))
+    have, _ = _packet_registry(spark, sf_dir)
+    return ingest.requested(have, asked.unionAll(asked))
+
+
 def _known_pages(spark, sf_dir):
     """Some entity pages exist already: one per nation number, as brands."""
     return corpora.table(spark, sf_dir, "nation").select(
@@ -675,8 +696,7 @@ def tool_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traj.tool_sequence(traj.tool_calls(_steps(spark, sf_dir)))
 
 
-@query
-def undistilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _undistilled(spark, sf_dir):
     """Trajectories that no skill page cites; every labelled document is a skill page."""
     manifests = traj.trajectories(_steps(spark, sf_dir), "2024-06-01").select("id", "title")
     skills = corpora.table(spark, sf_dir, "labels").select(
@@ -689,6 +709,16 @@ def undistilled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traj.undistilled(manifests, links.extract_links(skills))
 
 
+@query
+def undistilled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _undistilled(spark, sf_dir)
+
+
+@query
+def undistilled_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.next_batch(_undistilled(spark, sf_dir), 5)
+
+
 @query
 def repair_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = corpora.markdown_files(spark, sf_dir)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import htmlmd, jsonmd
 from corpusloom.functions.vectors import cosine_similarity, normalize_vector
 from corpusloom.operators import embeddings as emb
-from corpusloom.operators import ingest, trajectories as traj
+from corpusloom.operators import ingest, repair, trajectories as traj
 from corpusloom.plans.queries import letter_counts as letters
 from corpusloom.plans.rebuild import latest_version, obsolete_versions, publish, read_current, rebuild
 from corpusloom.sources import convert, packets
@@ -227,6 +227,18 @@ def test_pending_rules(spark):
     pending = ingest.pending_sources(have, table)
     assert sorted(r["id"] for r in pending.collect()) == ["SRC-0", "SRC-3", "SRC-4", "SRC-5", "SRC-6"]
     assert [tuple(r) for r in ingest.next_batch(pending).collect()] == [("SRC-0", 2), ("SRC-3", 2), ("SRC-4", 2)]
+    assert [tuple(r) for r in ingest.next_batch(pending.limit(0)).collect()] == []
+    asked = spark.createDataFrame([("SRC-1",), ("SRC-3",), ("SRC-3",), ("SRC-9",), (None,)], "id string")
+    found = {r["id"]: r["status"] for r in ingest.requested(have, asked).collect()}
+    assert found == {"SRC-1": "selected", "SRC-3": "selected", "SRC-9": "not_found", None: "not_found"}
+
+
+def test_codes_by_path(spark):
+    rows = [("a.md", "frontmatter_parse_error"), ("a.md", "frontmatter_missing"), ("a.md", "frontmatter_missing"), ("b.md", "other")]
+    found = spark.createDataFrame(rows, "path string, code string")
+    assert [tuple(r) for r in repair.codes_by_path(found).collect()] == [("a.md", ["frontmatter_missing", "frontmatter_parse_error"])]
+    assert {r["path"]: r["codes"] for r in repair.codes_by_path(found, None).collect()}["b.md"] == ["other"]
+    assert repair.codes_by_path(found.limit(0)).count() == 0
 
 
 def test_message_steps(spark):
