@@ -528,9 +528,10 @@ def extractor_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _packets(spark, sf_dir):
-    used = corpora.table(spark, sf_dir, "labels").select(
-        F.concat(F.lit("SRC-2024-06-01-"), F.lpad(F.col("doc_id").cast("string"), 4, "0")).alias("id")
-    )
+    number = F.col("doc_id").cast("string")
+    # Spark's lpad cuts what is longer.
+    padded = F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)
+    used = corpora.table(spark, sf_dir, "labels").select(F.concat(F.lit("SRC-2024-06-01-"), padded).alias("id"))
     return packets.capture_sources(corpora.raw_sources(spark, sf_dir), used)
 
 

@@ -9,7 +9,7 @@ from corpusloom.functions import htmlmd, jsonmd
 from corpusloom.functions.vectors import cosine_similarity, normalize_vector
 from corpusloom.operators import embeddings as emb
 from corpusloom.operators import ingest, repair, trajectories as traj
-from corpusloom.plans.queries import letter_counts as letters
+from corpusloom.plans.queries import QUERIES, letter_counts as letters
 from corpusloom.plans.rebuild import latest_version, obsolete_versions, publish, read_current, rebuild
 from corpusloom.sources import convert, packets
 from corpusloom.streaming.refresh import refresh_batch, refresh_stream
@@ -106,6 +106,17 @@ def test_ids_continue_and_widen(spark):
     assert ids[0] == "SRC-2024-01-01-008" and ids[-1] == "SRC-2024-01-01-1012" and len(set(ids)) == 1005
 
 
+def test_used_ids_of_five_digits_stay_whole(spark, tmp_path):
+    corpora = {
+        "labels": "select cast(51281 as bigint) as doc_id", "events": "select cast(0 as bigint) as event_id, '{}' as props where false",
+        "pages": "select cast(0 as bigint) as page_id, '' as url, '' as html where false",
+        "documents": "select cast(7 as bigint) as doc_id, 'x' as text, 'en' as lang",
+    }
+    for name, sql in corpora.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert [r.id for r in QUERIES["capture_packets"](spark, str(tmp_path)).collect()] == ["SRC-2024-06-01-51282"]
+
+
 def raw(spark, rows):
     return spark.createDataFrame(rows, "day string, capture_order string, kind string, name string, title string, payload string")
 
