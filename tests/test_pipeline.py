@@ -95,6 +95,18 @@ def test_one_row_never_fails_or_stalls(spark):
     assert time.time() - began < 10
 
 
+@pytest.mark.parametrize(
+    "inner, text",
+    [
+        ("<h1>of&amp</h1>", "# of&amp"), ("<p>a &am b &a</p>", "a &am b &a"), ("<p>x &lty &#65 &#x41 &notit; z</p>", "x &lty &#65 &#x41 &notit; z"),
+        ("<p>&amp;&#65;&#x42;&eacute;&amp</p>", "&AB\u00e9&amp"), ("<p>\ufdd0 &copy</p> tail &lt", "\ufdd0 &copy\n\ntail &lt"),
+        ('<p><a href="/q?a=1&copy=2">go</a></p>', "[go](/q?a=1&copy=2)"), ("<pre>a &lt b &lt; c</pre>", "```\na &lt b < c\n```"),
+    ],
+)
+def test_a_reference_without_its_semicolon_stays(inner, text):
+    assert htmlmd.to_markdown(inner) == text
+
+
 def test_entities(spark):
     assert one(spark, "&amp;lt; &LT; &#38;lt; &quot;&apos; &copy;", convert.decode_entities) == "&lt; < &lt; \"' &copy;"
 
