@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -72,6 +73,11 @@ def nfkc(c: Column) -> Column:
     return F.coalesce(_nfkc(_unstable_only(c)), c)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def left_units(c: Column, n: int) -> Column:
     """The first n UTF-16 units; code points on the JVM unless astral characters occur."""
     astral = _utf16_left(F.when(c.rlike(_ASTRAL), c), F.lit(n))

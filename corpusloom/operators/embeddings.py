@@ -72,11 +72,13 @@ def pruned_ids(store: DataFrame, pages: DataFrame) -> DataFrame:
     return store.select("id").join(pages.select("id"), "id", "left_anti")
 
 
-def _batches(rows: Iterator[tuple], max_texts: int, max_chars: int) -> Iterator[list[tuple]]:
+def _batches(
+    rows: Iterator[tuple], max_texts: int, max_chars: int, chars_of: Callable[[tuple], int] = lambda row: len(row[1])
+) -> Iterator[list[tuple]]:
     """Greedy batches in order; a text over the character budget stands alone."""
     batch, chars = [], 0
     for row in rows:
-        size = len(row[1])
+        size = chars_of(row)
         if batch and (len(batch) >= max_texts or chars + size > max_chars):
             yield batch
             batch, chars = [], 0
@@ -94,16 +96,20 @@ def _rows(frames: Iterator[pd.DataFrame], names: list[str]) -> Iterator[tuple]:
 def embed_batches(
     texts: DataFrame, max_texts: int = BATCH_TEXTS, max_chars: int = BATCH_CHARS
 ) -> DataFrame:
-    """batches(partition, batch_no, texts, chars): the requests an embedding run will make."""
+    """batches(partition, batch_no, texts, chars): the requests an embedding run will make.
+
+    Only the lengths of the texts go to Python.
+    """
 
     def plan(frames):
+        sizes = _rows(frames, ["chars"])
         found = [
-            (number, len(batch), sum(len(r[1]) for r in batch))
-            for number, batch in enumerate(_batches(_rows(frames, ["id", "text"]), max_texts, max_chars))
+            (number, len(batch), sum(r[0] for r in batch))
+            for number, batch in enumerate(_batches(sizes, max_texts, max_chars, lambda row: row[0]))
         ]
         yield pd.DataFrame(found, columns=["batch_no", "texts", "chars"])
 
-    out = texts.select("id", "text").mapInPandas(plan, "batch_no long, texts long, chars long")
+    out = texts.select(F.length("text").alias("chars")).mapInPandas(plan, "batch_no long, texts long, chars long")
     return out.select(F.spark_partition_id().cast("bigint").alias("partition"), "*")
 
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import computed_once, spread
+from ..session import computed_once, small_batches, spread
 
 
 TEXT_TABLES = {"documents", "pages", "events", "conversations"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(df) if name in TEXT_TABLES else df
 

@@ -16,11 +16,19 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Rows here carry whole page bodies: keep Arrow batches small in rows.
+    # Rows here carry whole page bodies: keep Arrow batches small in rows and bytes.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Apply the settings that bound what a Python worker holds, whatever the size of its task."""
+    for key, value in SETTINGS.items():
+        if ".arrow.max" in key:
+            spark.conf.set(key, value)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings this package is designed for."""
     for key, value in SETTINGS.items():

@@ -10,6 +10,7 @@ from corpusloom.functions.vectors import cosine_similarity, normalize_vector
 from corpusloom.operators import embeddings as emb
 from corpusloom.operators import ingest, repair, trajectories as traj
 from corpusloom.plans.queries import QUERIES, letter_counts as letters
+from corpusloom.session import SETTINGS
 from corpusloom.plans.rebuild import latest_version, obsolete_versions, publish, read_current, rebuild
 from corpusloom.sources import convert, packets
 from corpusloom.streaming.refresh import refresh_batch, refresh_stream
@@ -374,3 +375,40 @@ def test_versions_only_grow(spark, tmp_path):
     with pytest.raises(ValueError):
         publish(rebuild(vault(spark)), root, 7)
     assert publish(rebuild(vault(spark)), root) == 8
+
+
+def test_texts_go_to_python_in_small_batches(spark, sf_dir):
+    keys = [f"spark.sql.execution.arrow.{k}PerBatch" for k in ("maxRecords", "maxBytes")]
+    spark.conf.set(keys[0], "10000")
+    spark.conf.set(keys[1], "1g")
+    try:
+        QUERIES["recall_lexical"](spark, sf_dir)
+        assert [spark.conf.get(k) for k in keys] == ["2000", "8m"]
+    finally:
+        for k in keys:
+            spark.conf.set(k, SETTINGS[k])
+
+
+def test_ordinary_xml_stays_on_the_jvm(spark, monkeypatch):
+    """What goes to Python comes back as a mark here."""
+    monkeypatch.setattr(convert, "_plain_text", convert._udf(lambda text: "python"))
+    ordinary = "<p>a < b &amp;lt; &copy; &AMP; 'x'</p>tail <b"
+    assert one(spark, ordinary, convert.xml_to_markdown) == "a  b &lt; &copy; & 'x'\ntail b"
+    for text in ("<<i>b>c", "x &<#65;", "<i>&#65;</i>"):
+        assert one(spark, text, convert.xml_to_markdown) == "python"
+
+
+@pytest.mark.parametrize("text", [
+    "<p>x</p>tail <b", "<a<b>c>d", "<<i>b>c", "x &<#65; &amp;#66;", "&amp;lt;&LT;i&gt;&apo\u017f;", "a > b < c", "<" * 3, "<i> &amp;amp; &<lt;", "x",
+])
+def test_xml_texts_match_one_pass_in_python(spark, text):
+    plain = convert._ENTITY.sub(convert._character, convert._without_tags(text.replace("</p>", "\n")).replace("<", "")).strip()
+    assert one(spark, text, convert.xml_to_markdown) == (plain or text)
+
+
+def test_batches_are_planned_from_lengths(spark):
+    rows = [(f"{i}", "é" * n) for i, n in enumerate([5, 9, 0, 30, 4, 4])]
+    frame = spark.createDataFrame(rows, "id string, text string").coalesce(1)
+    planned = emb.embed_batches(frame, 2, 12)
+    assert [(r.texts, r.chars) for r in planned.orderBy("batch_no").collect()] == [(1, 5), (2, 9), (1, 30), (2, 8)]
+    assert "text#" not in planned._jdf.queryExecution().optimizedPlan().toString().split("MapInPandas")[1].split("\n")[0]
