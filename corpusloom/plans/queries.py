@@ -16,7 +16,7 @@ from ..sources import convert, packets
 from ..sources import documents as srcdocs
 from ..sources import events as srcevents
 from ..operators.chunks import chunk_pages
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 from ..streaming.maintained import refresh_delta
 from . import corpora
 
@@ -362,6 +362,8 @@ def serialise_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def patch_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set status and updated on every parsed page; other values survive."""
     documents, _ = srcdocs.discover_documents(corpora.markdown_files(spark, sf_dir))
+    # Read twice below, parsed once.
+    documents = stored(documents.select("id", "type", "frontmatter", "extensions", "body"))
     patches = documents.select(
         "id",
         F.create_map(F.lit("status"), F.lit("ingested"), F.lit("title"), F.upper("type")).alias("fields"),

@@ -13,6 +13,7 @@ from ..functions.frontmatter import (
     sources_kind, write_yaml,
 )
 from ..functions.paths import document_id, is_reserved
+from ..functions.text import bound
 from ..operators.registry import identity_collisions
 from ..session import broadcast_if_small, computed_once, materialise
 
@@ -92,18 +93,31 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
 
 def _split(content: Column) -> Column:
     """struct(opened, closed, yaml, body): the fences, without reading the YAML."""
-    text = F.regexp_replace(content, "\r\n?", "\n")
-    rest = F.substr(text, F.lit(4))
-    first = F.regexp_extract(rest, r"(?s)^(.*?)\n---(?=\n|\z)", 1)
+    text = F.when(content.contains("\r"), F.regexp_replace(content, "\r\n?", "\n")).otherwise(content)
+    return bound(text, lambda text: bound(F.substr(text, F.lit(4)), lambda rest: _parts(text, rest)))
+
+
+def _parts(text: Column, rest: Column) -> Column:
+    fence = F.instr(rest, F.lit("\n---\n"))
+    at = F.when(fence > 0, fence).when(rest.endswith("\n---"), F.length(rest) - 3).when(rest.isNotNull(), 0)
     # A fence right after an explicit document end only closes if no other fence follows.
     second = F.regexp_extract(rest, r"(?s)^(.*?\n---(?:\n.*?)?)\n---(?=\n|\z)", 1)
-    inner = F.when(first.endswith("\n...") & (second != ""), second).otherwise(first)
-    return F.struct(
-        text.startswith("---\n").alias("opened"),
-        rest.rlike(r"\n---(?:\n|\z)").alias("closed"),
-        F.when(inner == "", "").otherwise(F.concat(F.substr(inner, F.lit(2)), F.lit("\n"))).alias("yaml"),
-        F.regexp_replace(F.substr(rest, F.length(inner) + 5), r"^\n\n?", "").alias("body"),
-    )
+
+    def inner_of(first: Column) -> Column:
+        return F.when(first.endswith("\n...") & (second != ""), second).otherwise(first)
+
+    def parts(at: Column, inner: Column) -> Column:
+        body = F.substr(rest, F.length(inner) + 5)
+        return F.struct(
+            text.startswith("---\n").alias("opened"),
+            (at > 0).alias("closed"),
+            F.when(inner == "", "").otherwise(F.concat(F.substr(inner, F.lit(2)), F.lit("\n"))).alias("yaml"),
+            F.when(body.startswith("\n\n"), F.substr(body, F.lit(3)))
+            .when(body.startswith("\n"), F.substr(body, F.lit(2))).otherwise(body).alias("body"),
+        )
+
+    first = lambda at: F.when(at > 0, F.left(rest, at - 1)).when(rest.isNotNull(), "")
+    return bound(at, lambda at: bound(bound(first(at), inner_of), lambda inner: parts(at, inner)))
 
 
 def parse_frontmatter(

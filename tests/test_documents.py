@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.functions.frontmatter import core_scalar, read_mapping, write_yaml
 from corpusloom.operators import audit, pages as pageops
@@ -242,3 +243,17 @@ def test_index_in_locale_order(spark):
     unknown = index_in_locale_order(pages).where("type = 'unknown'").collect()
     assert [(r["position"], r["id"]) for r in unknown] == [(1, "p08")]
     assert index_in_locale_order(pages.limit(0)).count() == 0
+
+
+def test_fences_are_found_without_reading_the_rest(spark):
+    """A text of a megabyte without a closing fence, with line ends of all kinds; parts of texts with several fences."""
+    texts = {
+        "---\na: 1\n...\n---\nb\n---\n\n\nc": (True, True, "a: 1\n...\n---\nb\n", "\nc"), "---\na: 1\r\n---": (True, True, "a: 1\n", ""),
+        "---\n---\nx": (True, True, "", "x"), "a\n---\nb": (False, False, None, None), "---\n" + "x\n--" * 250_000: (True, False, "", None),
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    plan = df.select(src._split(F.col("v")).alias("s"))
+    # Only a second fence is looked for with a regular expression.
+    assert "^(.*?)" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    for row, want in zip(plan.collect(), texts.values()):
+        assert all(w is None or g == w for g, w in zip(row.s, want))
