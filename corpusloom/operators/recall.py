@@ -192,6 +192,10 @@ def _scorer(batch: _Batch, weight: float, keep_lexical: int, keep_fused: int):
                 weights=np.concatenate([counts[s] for s in found]), minlength=n,
             )
 
+        # Per vault and column, the score of each query's last kept row: what is below cannot rank.
+        least: dict[tuple[str, str], np.ndarray] = {}
+        none = np.full(n, -np.inf)
+
         def block(frame: pd.DataFrame) -> pd.DataFrame:
             """Scored rows of a block that are among its best per vault and query."""
             # In id order a stable sort by score breaks ties the way the ranking does.
@@ -232,10 +236,14 @@ def _scorer(batch: _Batch, weight: float, keep_lexical: int, keep_fused: int):
             vaults = frame["vault"].to_numpy()
             for vault in pd.unique(vaults):
                 mine = np.flatnonzero(vaults == vault)
-                for values, k in ((lexical, keep_lexical), (fused, keep_fused)):
-                    ranked = np.where(candidate[mine], -values[mine], np.inf)
+                for name, values, k in (("lexical", lexical, keep_lexical), ("fused", fused, keep_fused)):
+                    able = candidate[mine] & ~(values[mine] < least.get((vault, name), none))
+                    if able.sum() <= n:
+                        keep[mine] |= able
+                        continue
+                    ranked = np.where(able, -values[mine], np.inf)
                     first = np.argsort(ranked, axis=0, kind="stable")[:k]
-                    keep[mine[first], np.arange(n)] = True
+                    keep[mine[first], np.arange(n)] |= able[first, np.arange(n)]
             rows, cols = np.nonzero(keep & candidate)
             return pd.DataFrame({
                 "query_id": batch.query_ids[cols],
@@ -255,8 +263,14 @@ def _scorer(batch: _Batch, weight: float, keep_lexical: int, keep_fused: int):
                 order = rows.sort_values(column, ascending=False, kind="stable")
                 place = order.groupby(["query_id", "vault"], sort=False).cumcount()
                 keep[place.index[place < k]] = True
+                last = order[place == k - 1]
+                for vault, some in last.groupby("vault"):
+                    scores = none.copy()
+                    scores[[at[q] for q in some["query_id"]]] = some[column]
+                    least[vault, column] = scores
             return rows[keep]
 
+        at = {int(q): i for i, q in enumerate(batch.query_ids)}
         kept, seen = [], 0
         for frame in frames:
             for start in range(0, len(frame), BLOCK_ROWS):
